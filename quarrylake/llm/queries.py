@@ -7,18 +7,111 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import simhash
+from quarrylake.llm import decontaminate, mixing, pii, simhash
 from quarrylake.storage import table
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    name = F.array(*map(F.lit, pii.KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)]
+    base = F.filter("spans", lambda s: s["ok"])
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+MIX_SQL = """
+WITH d AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, [3, 1, 2][w + 1] AS weight,
+         row_number() OVER (ORDER BY 2.0 * source_size / [3, 1, 2][w + 1], source NULLS LAST) AS k
+  FROM s),
+c AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, sum(source_size) OVER () AS total
+  FROM r),
+l AS (
+  SELECT *, (1.5::DOUBLE * CAST(total AS DOUBLE) - CAST(filled AS DOUBLE)) / CAST(free AS DOUBLE) AS level FROM c),
+lam AS (
+  SELECT level FROM l WHERE NOT (2 * source_size < level * weight) ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, source_size, w,
+         least((SELECT level FROM lam) * CAST(weight AS DOUBLE), 2.0::DOUBLE * CAST(source_size AS DOUBLE)) AS target FROM r),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.w,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, CAST(least(greatest(floor(target) - first, 0), size)
+         + least(greatest(floor(target) - source_size - first, 0), size) AS BIGINT) AS taken,
+         CAST(first AS DOUBLE) / target AS u FROM p)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE
+    WHEN w = 0 THEN 1.5 - sqrt(greatest(2.25 - 2 * u, 0))
+    WHEN w = 1 THEN -0.5 + sqrt(0.25 + 2 * u)
+    ELSE u END, 9) END AS position
+FROM q
+"""
+
+
+def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+DECONTAMINATION_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+bn AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM bn, unnest(range(1, len(w) - n + 2)) AS u(i)),
+ns AS (SELECT DISTINCT n FROM bn),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+hits AS (SELECT r, item_id, i, n FROM dw JOIN bw USING (n, win)),
+pos AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM hits) GROUP BY r),
+its AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+
 def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash_bktree": op9_simhash_bktree}
+    return {
+        "op4_weak_supervision_pii": op4_weak_supervision_pii,
+        "op5_curriculum_mix": op5_curriculum_mix,
+        "op8_positional_decontamination": op8_positional_decontamination,
+        "op9_simhash_bktree": op9_simhash_bktree,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_curriculum_mix": MIX_SQL, "op8_positional_decontamination": DECONTAMINATION_SQL}
