@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylake.llm import simhash
+from quarrylake.llm import decontaminate, mixing, pii, simhash, toxicity
 from quarrylake.storage import stash, table
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not find toxic."""
+    return toxicity.reject(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
+    """One document of each group of SimHash near-duplicates: the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, in training order, with how many words it takes and where."""
+    return mixing.curriculum(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", remove_benchmark),
+    ("pii", redact_personal_data),
+    ("mixing to target weights", mix_sources),
+]
 
 #: SQL cannot express the trained and hashed stages; the tests compare with brute force.
 ORACLE_SQL = None

@@ -7,10 +7,74 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import decontaminate, mixing, pii, simhash
+from quarrylake.llm import decontaminate, langid, maxent, mixing, pii, simhash, spotsigs, toxicity, urlfilter, warc
 from quarrylake.storage import table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.compare(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sigs", "").alias("fingerprint"),
+        F.array_join("edited_sigs", "").alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
+SPOTSIGS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
+e AS (
+  SELECT a.r, a.n, a.doc_id, a.text, left(a.text, length(a.text) - length(a.text) // 2) || left(b.text, length(a.text) // 2) AS edited
+  FROM d a JOIN d b ON b.r = a.r % a.n + 1),
+t AS (SELECT r, 0 AS kind, text FROM e UNION ALL SELECT r, 1, edited FROM e),
+p AS (SELECT r, kind, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS plain FROM t),
+w AS (
+  SELECT r, kind, i, ws[i] AS word, ws[i] IN (ANCHORS) AS anchor
+  FROM (SELECT r, kind, string_split(plain, ' ') AS ws FROM p WHERE plain <> '') x, unnest(range(1, len(ws) + 1)) AS u(i)),
+g AS (SELECT *, coalesce(sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM w),
+c AS (
+  SELECT r, kind, k, string_agg(word, '_' ORDER BY i) FILTER (WHERE anchor) AS ahead, max(word) FILTER (WHERE NOT anchor) AS word
+  FROM g GROUP BY r, kind, k),
+l AS (SELECT *, coalesce(lead(word) OVER (PARTITION BY r, kind ORDER BY k), '') AS after FROM c WHERE word IS NOT NULL),
+s AS (
+  SELECT r, kind, list_sort(list(DISTINCT left(md5(ahead || '_' || word || ' ' || after), 8))) AS sigs
+  FROM l WHERE ahead IS NOT NULL GROUP BY r, kind),
+f AS (SELECT p.r, p.kind, coalesce(s.sigs, [left(md5('#' || p.plain), 8)]) AS sigs FROM p LEFT JOIN s ON p.r = s.r AND p.kind = s.kind),
+m AS (
+  SELECT e.*, o.sigs AS own, x.sigs AS changed, y.sigs AS following
+  FROM e JOIN f o ON o.r = e.r AND o.kind = 0 JOIN f x ON x.r = e.r AND x.kind = 1 JOIN f y ON y.r = e.r % e.n + 1 AND y.kind = 0),
+z AS (SELECT *, len(list_intersect(own, changed)) AS s1, len(list_intersect(own, following)) AS s2 FROM m)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint,
+       array_to_string(changed, '') AS edited_fingerprint, s1::DOUBLE / (len(own) + len(changed) - s1) AS near_edited,
+       s2::DOUBLE / (len(own) + len(following) - s2) AS near_next
+FROM z
+""".replace("ANCHORS", ", ".join(f"'{w}'" for w in spotsigs.ANCHORS))
+
+
+def op2_char_ratio_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False).where("problem is null")
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (h)
+"""
+
+
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     name = F.array(*map(F.lit, pii.KINDS))
@@ -65,6 +129,14 @@ FROM q
 """
 
 
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -104,14 +176,24 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs": op1_spotsigs,
+        "op2_char_ratio_urls": op2_char_ratio_urls,
+        "op3_warc_salvage": op3_warc_salvage,
         "op4_weak_supervision_pii": op4_weak_supervision_pii,
         "op5_curriculum_mix": op5_curriculum_mix,
+        "op6_hyperdimensional_language": op6_hyperdimensional_language,
+        "op7_toxicity_chain": op7_toxicity_chain,
         "op8_positional_decontamination": op8_positional_decontamination,
         "op9_simhash_bktree": op9_simhash_bktree,
+        "op10_maxent_lm": op10_maxent_lm,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mix": MIX_SQL, "op8_positional_decontamination": DECONTAMINATION_SQL}
+    return {"op1_spotsigs": SPOTSIGS_SQL, "op3_warc_salvage": WARC_SQL, "op5_curriculum_mix": MIX_SQL, "op8_positional_decontamination": DECONTAMINATION_SQL}
