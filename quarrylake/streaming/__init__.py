@@ -1 +1 @@
-"""Streaming of the library."""
+"""Structured Streaming jobs."""
