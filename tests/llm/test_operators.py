@@ -1,0 +1,332 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, and on awkward input."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylake.llm import decontaminate, langid, maxent, mixing, pii, simhash, spotsigs, toxicity, urlfilter, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, hash long, size long, bucket long, row long, position double, p_toxic string"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names clash with those inside the operators."""
+    full = [(i, t, la, so, None if t is None else len(t), 1, 2, 3, 4, 5, 6, 0.5, "kept") for i, t, la, so in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+WORDS = "the river of stone and old light near a quiet harbour where seven grey boats wait for wind".split()
+
+
+def awkward():
+    """Nulls in every column, empty and long texts, repeated rows and ids, all beside ordinary text."""
+    rng = random.Random(3)
+    plain = [(k, " ".join(rng.choices(WORDS, k=rng.randint(1, 60))), rng.choice(["en", "de"]), rng.choice(["a", "b", "c"])) for k in range(30)]
+    return plain + [(None, "no id here", "en", "a"), (100, None, None, None), (101, "", "en", None), (102, " \n\t ", "en", "a"), (103, "x" * 50_000, "en", "b"), (104, " ".join(WORDS) * 500, "en", "b"), plain[0], (105, plain[1][1], "en", "c"), (3, "another text under an old id", "en", "c"), (106, "Ünïcödé 𝔘 😀 texts", None, "é")]
+
+
+EMPTY: list = []
+
+
+def brute_simhash(text):
+    from xxhash import xxh64_intdigest
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxh64_intdigest(" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_matches_brute_force(spark):
+    rows = awkward()
+    found = simhash.components(docs_of(spark, rows)).select("id", simhash.hex_fingerprint().alias("h"), "component").collect()
+    assert Counter((r["id"], r["h"]) for r in found) == Counter((i, f"{brute_simhash(t):016x}") for i, t, *_ in rows)
+    group = {r["id"]: r["component"] for r in found}
+    assert group[100] == group[101] == group[102] == 100
+    assert group[105] == group[1] == 1
+    assert simhash.components(docs_of(spark, EMPTY)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [3, 4096])
+def test_links_connect_like_all_pairs(spark, shard_rows):
+    rng = random.Random(7)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for k in range(0, 60, 2):  # chains and clusters at distances around the radius
+        for _ in range(4):
+            flips = rng.sample(range(64), rng.randint(1, 6))
+            fps.append(fps[k] ^ sum(1 << b for b in flips))
+    signed = [f - (1 << 64) if f >> 63 else f for f in set(fps)]
+    from quarrylake.operators.components import connected_components
+
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), shard_rows=shard_rows)
+    found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    parent = {f: f for f in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in signed:
+        for b in signed:
+            if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    assert {f: root(f) for f in signed if root(f) != f or any(root(g) == f for g in signed if g != f)} == found
+
+
+def test_keep_one_keeps_the_smallest(spark):
+    kept = simhash.keep_one(docs_of(spark, [(5, "a b c d e", "en", "s"), (2, "A B C D E", "en", "s"), (9, "other words stand in this", "en", "s"), (None, "a b c d e", "en", "s")]))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 9]
+    assert kept.columns == docs_of(spark, EMPTY).columns
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choices(WORDS, k=n))) for k, n in enumerate((13, 20, 40, 5, 1, 12))] + [(6, None), (7, "..."), (None, "the river"), (0, " ".join(WORDS[:13]))]
+    rows = awkward() + [(200 + k, f"Before: {t.upper()} -- after it all; {t}", "en", "a") for k, (_, t) in enumerate(items) if t]
+    found = decontaminate.report(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+    windows = {(i, tuple(w[s : s + min(13, len(w))])) for i, t in items if i is not None and (w := words(t)) for s in range(len(w) - min(13, len(w)) + 1)}
+    expected = []
+    for i, t, *_ in rows:
+        w, hit, named = words(t), set(), set()
+        for item, window in windows:
+            n = len(window)
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) == window:
+                    hit |= set(range(s, s + n))
+                    named.add(str(item))
+        expected.append((i, len(w), len(hit), tuple(sorted(named)), bool(hit) and 20 * len(hit) >= len(w)))
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found) == Counter(expected)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.report(docs_of(spark, rows), none).where("n_hit > 0").count() == 0
+    assert decontaminate.report(docs_of(spark, EMPTY), none).count() == 0
+    clean = decontaminate.remove_contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert clean.count() == sum(not e[4] for e in expected) and clean.columns == docs_of(spark, EMPTY).columns
+
+
+def test_proximity_finds_shuffled_words(spark):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    mixed = "bravo alpha delta charlie foxtrot echo golf india hotel kilo juliet mike lima november"
+    _, matches = decontaminate.search(docs_of(spark, [(1, mixed, "en", "a"), (2, item, "en", "a"), (3, "alpha only", "en", "a")]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    kinds = {(r["doc_id"], r["kind"]) for r in matches.collect()}
+    assert (1, "proximity") in kinds and (2, "phrase") in kinds and not any(d == 3 for d, _ in kinds)
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    def luhn(digits):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_spans_match_brute_force(spark):
+    rng = random.Random(11)
+    parts = ["a@b.co", "x.y+z@mail-1.example.org", "@", ".", "..", "-", " ", "+1 (555) 123-4567", "+49.30.1234567", "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4", "256.1.1.1", "001.02.3.255.9", "é", "😀", "word", "_", "7", "12345678901234567890", "(", ")", "\n", "%"]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 12))), "en", "a") for k in range(400)] + awkward() + [(900, "1" * 30_000 + " a@b.de", "en", "a"), (901, "a" * 30_000 + "@", "en", "a")]
+    found = pii.find(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], tuple((pii.KINDS[s["kind"]], s["start"], s["stop"]) for s in r["spans"] if s["ok"])) for r in found) == Counter((i, tuple(base_spans(t))) for i, t, *_ in rows)
+    assert pii.find(docs_of(spark, EMPTY)).count() == 0
+
+
+def test_pii_adds_secrets_and_redacts(spark):
+    rng = random.Random(2)
+    secret = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    rows = [(k, f'some words token = "{secret()}" then mail m{k}@x.example.org and more', "en", "a") for k in range(40)] + [(99, None, "en", "a"), (98, "clean words only", "en", "a")]
+    found = {r["doc_id"]: r for r in pii.find(docs_of(spark, rows)).collect()}
+    assert all(any(pii.KINDS[s["kind"]] == "secret" for s in found[k]["spans"]) for k in range(40))
+    assert found[98]["spans"] == []
+    clean = {r["doc_id"]: r for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert clean[3]["text"] == 'some words token = "[SECRET]" then mail [EMAIL] and more' and clean[3]["n_chars"] == len(clean[3]["text"])
+    assert clean[99]["text"] is None and clean[98]["text"] == "clean words only"
+
+
+def test_mix_meets_targets(spark):
+    rows = awkward()
+    found = mixing.mixture(docs_of(spark, rows)).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in found) == Counter((i, s, size(t)) for i, t, _, s in rows)
+    held, taken, target = Counter(), Counter(), {}
+    for r in found:
+        held[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is not None) == (r["taken"] > 0)
+    assert all(math.floor(target[s]) == taken[s] and target[s] <= 2 * held[s] for s in held)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(held.values()))
+    free = [target[s] / w for s, w in zip(sorted(held, key=lambda s: (s is None, s or "")), [3, 1, 2] * 3, strict=False) if target[s] < 2 * held[s]]
+    assert max(free) == pytest.approx(min(free))
+    assert mixing.mixture(docs_of(spark, rows)).exceptAll(spark.createDataFrame(found, mixing.mixture(docs_of(spark, EMPTY)).schema)).count() == 0
+    assert mixing.mixture(docs_of(spark, EMPTY)).count() == 0
+    assert mixing.mixture(docs_of(spark, [(1, "", "en", "a"), (2, None, "en", "b")])).where("taken = 0 and target = 0").count() == 2
+    assert mixing.curriculum(docs_of(spark, rows)).where("mix_taken = 0").count() == 0
+
+
+def test_positions_follow_the_schedule(spark):
+    demand = spark.range(0, 11).select((F.col("id") / 10).alias("u"))
+    for k, (a, m, b) in enumerate(mixing.SCHEDULES):
+        got = demand.select("u", mixing._position(F.lit(k), F.col("u"), mixing.SCHEDULES).alias("t")).collect()
+        for r in got:
+            t = r["t"]
+            low = a * min(t, 0.5) + (m - a) * min(t, 0.5) ** 2
+            high = m * max(t - 0.5, 0) + (b - m) * max(t - 0.5, 0) ** 2
+            assert (low + high) / ((a + 2 * m + b) / 4) == pytest.approx(r["u"], abs=1e-9)
+
+
+def test_spotsigs_edges(spark):
+    rows = awkward()
+    found = spotsigs.compare(docs_of(spark, rows)).collect()
+    order = sorted(((i is not None, i or 0), t or "") for i, t, *_ in rows)
+    order.sort(key=lambda x: (not x[0][0], -x[0][1], x[1]))
+    texts = [t for _, t in order]
+    expected = Counter()
+    for k, t in enumerate(texts):
+        after = texts[(k + 1) % len(texts)]
+        expected[(t, t[: len(t) - len(t) // 2] + after[: len(t) // 2])] += 1
+    assert Counter((r["text"], r["edited"]) for r in found) == expected
+    assert all(r["sigs"] for r in found)
+    assert len({tuple(r["sigs"]) for r in found if r["text"] == ""}) == 1
+    one = spotsigs.compare(docs_of(spark, [(1, "the old boat of stone", "en", "a")])).first()
+    assert one["next_sigs"] == one["sigs"]
+    assert spotsigs.compare(docs_of(spark, EMPTY)).count() == 0
+
+
+def test_spotsigs_in_many_buckets(spark):
+    rows = [(k * 3 - 500, f"the word{k} of item{k} and more{k}", "en", "a") for k in range(900)]
+    found = {r["doc_id"]: r["edited"] for r in spotsigs.compare(docs_of(spark, rows)).collect()}
+    texts = {i: t for i, t, *_ in rows}
+    for i, t in texts.items():
+        after = texts.get(i - 3, texts[max(texts)])
+        assert found[i] == t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+
+
+def test_spotsigs_near_duplicates(spark):
+    rng = random.Random(1)
+    long = lambda: " ".join(rng.choice(["the", "of", f"w{rng.randint(0, 400)}", f"v{rng.randint(0, 400)}"]) for _ in range(200))
+    a, b = long(), long()
+    rows = [(1, a, "en", "s"), (2, a + " the end of it", "en", "s"), (3, b, "en", "s"), (4, b.upper(), "en", "s"), (5, long(), "en", "s")]
+    assert [(r["u"], r["v"]) for r in spotsigs.near_duplicates(docs_of(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_language_profiles(spark):
+    rng = random.Random(4)
+    vocabulary = {"en": ["the", "thing", "with", "having", "there"], "de": ["schön", "nicht", "über", "einig", "werden"], "fr": ["être", "quelle", "jour", "voilà", "leur"]}
+    rows = [(k, " ".join(rng.choices(vocabulary[la], k=20)), la, "a") for k in range(90) for la in [("en", "de", "fr")[k % 3]]]
+    rows += [(1000, None, "en", "a"), (1001, "", "en", "a"), (1002, "123 456 !!", None, "a"), (None, "the thing", "en", "a"), (1003, "the " * 20_000, None, "a")]
+    found = langid.identify(docs_of(spark, rows)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert 0 <= r["score"] <= 1
+    pred = {r["doc_id"]: r["lang_pred"] for r in found}
+    assert all(pred[i] == la for i, _, la, _ in rows[:90])
+    assert pred[1000] == pred[1001] == pred[1002] == "und" and pred[1003] == "en"
+    assert langid.identify(docs_of(spark, EMPTY)).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs_of(spark, [(1, "words", None, "a")])).collect()} == {"und"}
+
+
+def test_toxicity_chain(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(300):
+        bad = k % 6 == 0
+        words = rng.choices(WORDS, k=40) + (rng.choices(["vile", "wretch", "scumbag"], k=3) if bad else [])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "en", "a"))
+        if k < 200:
+            labels.append((k, 1 - int(k % 5 == 0), int(bad)))
+    labels += [(None, 1, 1), (5, None, None), (100_000, 0, 1)]
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "vile " * 20_000, "en", "a")]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.judge(docs_of(spark, rows), table).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k]["is_toxic"] == (k % 6 == 0) for k in range(300))
+    assert not found[900]["is_toxic"] and not found[901]["is_toxic"]
+    kept = toxicity.reject(docs_of(spark, rows), table)
+    assert kept.columns == docs_of(spark, EMPTY).columns and {r["p_toxic"] for r in kept.collect()} == {"kept"}
+    assert toxicity.judge(docs_of(spark, rows), table.limit(0)).where("is_toxic").count() == 0
+    assert toxicity.judge(docs_of(spark, EMPTY), table).count() == 0
+
+
+def test_url_rules_and_ratio(spark):
+    urls = ["http://A.Example.ORG/es/1?x", "https://example.org/en/12", "https://www.org/", "http://x.com/fr/2#a", "http://x.com/de/", "nothing", "", None, "http://org", "ftp://u@h.net:8/p/q?x#y", "http://com/fr/ok", "http://example.organic/es/"]
+    pages = spark.createDataFrame([(k, u, "h", "clash") for k, u in enumerate(urls)] + [(1, urls[1], "h", "clash")], "page_id long, url string, html string, rule string")
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages).orderBy("page_id").collect()]
+    assert got[0] == (0, "a.example.org", "/es/1", "example.org/es/", "block")
+    assert got[1] == got[2] == (1, "example.org", "/en/12", "example.org/en/1", "block")
+    rest = {g[0]: g[1:] for g in got[3:]}
+    assert rest[2][2:] == ("org/", "allow") and rest[3][2:] == ("com/fr/", "allow") and rest[4][2:] == ("com/de/", "block")
+    assert rest[5][:3] == ("", "", None) and rest[7][:3] == ("", "", None) and rest[8][:3] == ("org", "", None)
+    assert rest[9][:3] == ("u@h.net:8", "/p/q", None) and rest[10][2] == "com/fr/" and rest[11][2] is None
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+    model = {"good": urlfilter.MarkovModel([b"http://good.a/fr/1", b"http://good.a/fr/2"]), "bad": urlfilter.MarkovModel([b"http://bad.b/de/1", b"http://bad.b/de/2"])}
+    assert urlfilter.ratio(b"http://good.a/fr/9", model["good"], model["bad"], {}) > 0 > urlfilter.ratio(b"http://bad.b/de/9", model["good"], model["bad"], {})
+    for m in model.values():
+        assert sum(m.probability(b"ttp:", c) for c in range(256)) == pytest.approx(1)
+
+
+def test_warc_round_trip(spark):
+    long = "<p>" + "é" * 200
+    rows = [(3, "http://a", long), (1, "http://b", long), (2, "u\r\nx", "short"), (4, None, "short"), (5, "http://c", None), (None, "http://d", long), (6, "http://e", "z" * 300_000), (1, "http://b", long)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
+    found = [(r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"], r["payload"]) for r in warc.round_trip(pages).collect()]
+    assert len(found) == len(rows)
+    expected = Counter()
+    for i, _, html in rows:
+        body = (html or "").encode()
+        revisit = html == long and i != 1
+        expected[(None if i is None else str(i), "revisit" if revisit else "response", "1" if revisit else None, len(body), hashlib.sha256(body).hexdigest(), None if revisit else body)] += 1
+    assert Counter((*f[:5], None if f[5] is None else bytes(f[5])) for f in found) == expected
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_salvage_after_damage():
+    one = lambda k: warc._record(k, f"http://x/{k}", f"payload {k} {'y' * 500}".encode(), hashlib.sha256(f"payload {k} {'y' * 500}".encode()).hexdigest(), None, "1970-01-01T00:00:00Z")
+    import gzip
+
+    parts = [one(k) for k in range(6)]
+    broken = bytearray(parts[2])
+    broken[len(broken) // 2] ^= 0xFF
+    content = parts[0] + warc.EMPTY_MEMBER + b"junk bytes" + parts[1] + bytes(broken) + gzip.decompress(parts[3]) + parts[4] + parts[5][:-30]
+    out = list(warc.salvage(content))
+    good = [h["warc-record-id"] for _, _, h, _, p in out if p is None]
+    assert good == [f"<urn:page:{k}>" for k in (0, 1, 3, 4)]
+    gaps = [(a, b) for a, b, h, _, p in out if p is not None]
+    start = len(parts[0]) + len(warc.EMPTY_MEMBER)
+    assert gaps[0] == (start, start + 10) and len(gaps) == 3 and gaps[-1][1] == len(content)
+    plain = gzip.decompress(parts[0])
+    assert [p for *_, p in warc.salvage(plain.replace(b"payload", b"PAYLOAD"))] == ["block digest differs"]
+
+
+def test_language_model_base_is_exact(spark):
+    rows = awkward()
+    found = maxent.score(docs_of(spark, rows)).collect()
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")), "\n"]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t, *_ in rows if not out(i) for w in words(t))
+    total, kinds = sum(counts.values()), len(counts)
+    z = total + 0.5 * (kinds + 1)
+    expected = Counter((i, out(i), len(w := words(t)), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 0.5) / z) for x in w), 4)) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == expected
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
+    assert maxent.score(docs_of(spark, EMPTY)).count() == 0
