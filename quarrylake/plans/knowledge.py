@@ -168,11 +168,8 @@ def csv_edges_check(spark: S, d: str) -> DataFrame:
     return rows.join(known, "predecessor", "left").select("p_partkey", code.alias("code"))
 
 
-_PUB = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 60).cast("int"))
-
-
 def _publications(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 9 != 0, F.col("source")).alias("source"), F.concat(F.lit("HTTPS://News.Example.org/"), F.col("doc_id") % 700, F.lit("#a")).alias("url"), F.when(F.col("doc_id") % 13 != 0, F.date_format(_PUB, "yyyy-MM-dd")).alias("published"))
+    return table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 9 != 0, F.col("source")).alias("source"), F.concat(F.lit("HTTPS://News.Example.org/"), F.col("doc_id") % 700, F.lit("#a")).alias("url"), F.when(F.col("doc_id") % 13 != 0, F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 60).cast("int")), "yyyy-MM-dd")).alias("published"))
 
 
 def candidate_audit(spark: S, d: str) -> DataFrame:
