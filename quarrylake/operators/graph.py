@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -22,12 +21,15 @@ def edges_from(df: DataFrame, kind: str, start: Column, end: Column) -> DataFram
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], content: list[str]) -> tuple[DataFrame, DataFrame]:
     """(first row of each key in order, (keys, seen, duplicates, conflicting)): later equal rows are duplicates, later rows
-    with other content conflict. Nulls are equal to each other."""
+    with other content conflict. Nulls are equal to each other. Aggregates combine before the shuffle, so a key that many rows
+    share is never gathered."""
     digest = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content))
-    held = df.withColumn("__digest", digest)
-    first = held.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n", "__digest")
-    report = held.groupBy(*keys).agg(F.count("*").alias("seen"), (F.count("*") - 1).alias("duplicates"), (F.count_distinct("__digest") > 1).alias("conflicting"))
-    return first, report
+    held = df.groupBy(*keys).agg(
+        F.min_by(F.struct(*df.columns), F.struct(*order, digest.alias("__digest"))).alias("__first"),
+        F.count("*").alias("seen"), F.min(digest).alias("__low"), F.max(digest).alias("__high"),
+    )
+    report = held.select(*keys, "seen", (F.col("seen") - 1).alias("duplicates"), (F.col("__low") != F.col("__high")).alias("conflicting"))
+    return held.select("__first.*"), report
 
 
 def resolve_edges(edges: DataFrame, nodes: DataFrame, start_label: str, end_label: str) -> tuple[DataFrame, DataFrame]:

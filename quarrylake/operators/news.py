@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylake.operators.components import connected_components
+from quarrylake.storage import stash
 
 
 def canonical_url(c: Column) -> Column:
@@ -38,11 +39,20 @@ def audit(records: DataFrame, start: str, end: str, matches: Column) -> DataFram
 
 
 def duplicate_links(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
-    """(basis, u, v): each record is linked to the one before it, by id, with the same key; blank keys never link."""
+    """(basis, u, v): each record is linked to the one before it, by id, with the same key; blank keys never link.
+
+    Records are put in ranges of (key, id), so a frequent key spreads over several of them. Within a range a record looks
+    one row back; the first record of a range looks at the last one of the range before. Those ends, one for each shuffle
+    partition, are all that meets in one task.
+    """
     found = None
     for basis, key in keys.items():
-        held = records.select(F.lit(basis).alias("basis"), F.col(id_col).alias("v"), key.alias("k")).where("trim(k) <> ''")
-        linked = held.withColumn("u", F.lag("v").over(W.partitionBy("k").orderBy("v"))).where("u is not null").select("basis", "u", "v")
+        held = records.select(F.col(id_col).alias("v"), key.alias("k")).where("trim(k) <> ''").select("v", F.sha2("k", 256).alias("k"))
+        placed = stash(held.repartitionByRange("k", "v").withColumn("range", F.spark_partition_id()), "links")
+        inside = placed.withColumn("u", F.lag("v").over(W.partitionBy("range", "k").orderBy("v"))).where("u is not null").select("u", "v")
+        ends = placed.groupBy("range").agg(F.min(F.struct("k", "v")).alias("first"), F.max(F.struct("k", "v")).alias("last"))
+        across = ends.withColumn("before", F.lag("last").over(W.orderBy("range"))).where("before.k = first.k")
+        linked = inside.unionByName(across.select(F.col("before.v").alias("u"), F.col("first.v").alias("v"))).select(F.lit(basis).alias("basis"), "u", "v")
         found = linked if found is None else found.unionByName(linked)
     return found
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.storage import stash
+
 NUMERIC = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
@@ -17,9 +19,14 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
     return code
 
 
-def later_duplicate(key: Column, order: Column) -> Column:
-    """True for every row but the first of a trimmed key."""
-    return F.row_number().over(W.partitionBy(F.trim(key)).orderBy(order)) > 1
+def mark_later(df: DataFrame, key: str, order: str, into: str) -> DataFrame:
+    """df with a flag that is true for every row but the first, by order, of a trimmed key; nulls are one key.
+
+    The first row of a key is found by an aggregate and joined back, so a frequent key is never sorted in one task.
+    """
+    place = F.trim(F.col(key))
+    first = df.groupBy(place.alias("__key")).agg(F.min(order).alias("__first"))
+    return df.join(first, place.eqNullSafe(F.col("__key")), "left").withColumn(into, F.col(order) > F.col("__first")).drop("__key", "__first")
 
 
 def guard_cell(c: Column) -> Column:
@@ -40,5 +47,14 @@ def unknown_values(df: DataFrame, columns: list[str], known: DataFrame) -> DataF
 
 
 def codes(df: DataFrame, name: str, into: str) -> DataFrame:
-    """Distinct names numbered from 1 in sorted order; the window runs over the dictionary, not over the data."""
-    return df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(into, F.row_number().over(W.orderBy(name)))
+    """Distinct names numbered from 1 in sorted order; null gets none.
+
+    The dictionary is sorted in ranges. A range's names are numbered on their own and moved by the sizes of the ranges
+    before it; only these sizes, one for each shuffle partition, meet in one task.
+    """
+    names = df.select(name).where(F.col(name).isNotNull()).distinct().repartitionByRange(name)
+    placed = stash(names.withColumn("__range", F.spark_partition_id()), "codes")
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moved = placed.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return moved.select(name, (F.col("__before") + F.row_number().over(W.partitionBy("__range").orderBy(name))).alias(into))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrylake.storage import stash
+
 #: Most rows of a query block that is broadcast at a time.
 BLOCK_ROWS = 2000
+#: Most query blocks of one job.
+WAVE = 16
 
 
 def dot(a: str, b: str) -> Column:
@@ -28,21 +34,27 @@ def sound(v: Column, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def nearest(queries: DataFrame, catalogue: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, catalogue: DataFrame, k: int, block_rows: int = BLOCK_ROWS, within: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest catalogue rows of each query by cosine distance rounded to 5 places,
-    then id. queries has (query_id, vector) and catalogue (id, vector), unit vectors.
+    then id. queries has (query_id, vector) and catalogue (id, vector), unit vectors; with within, both have that column
+    and only rows that agree in it meet.
 
     A stated set of queries meets all rows: it is cut into blocks of a fixed size, each is broadcast, and every catalogue
-    partition keeps k candidates of each query before the candidates are shuffled.
+    partition keeps k candidates of each query before the candidates are shuffled. Many blocks run in waves whose results
+    are written, so that plans stay small however many queries there are.
     """
     if not 1 <= k <= 10:
         raise ValueError("k must be from 1 to 10")
-    rows = queries.count()
-    held = None
-    place = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-rows // block_rows))))
-    for b in range(max(1, -(-rows // block_rows))):
-        block = F.broadcast(queries.where(place == b).select("query_id", F.col("vector").alias("q")))
-        met = catalogue.crossJoin(block).select("query_id", "id", (F.round(1 - dot("vector", "q"), 5) + F.lit(0.0)).alias("distance"))
-        held = met if held is None else held.unionByName(met)
+    blocks = max(1, -(-queries.count() // block_rows))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return held.withColumn("rank", rank).where(F.col("rank") <= k)
+    waves = []
+    for start in range(0, blocks, WAVE):
+        met = []
+        for b in range(start, min(blocks, start + WAVE)):
+            block = F.broadcast(queries.where(place == b).select("query_id", F.col("vector").alias("q"), *([within] if within else [])))
+            pairs = catalogue.join(block, within) if within else catalogue.crossJoin(block)
+            met.append(pairs.select("query_id", "id", (F.round(1 - dot("vector", "q"), 5) + F.lit(0.0)).alias("distance")))
+        best = reduce(DataFrame.unionByName, met).withColumn("rank", rank).where(F.col("rank") <= k)
+        waves.append(stash(best, "nearest") if blocks > WAVE else best)
+    return reduce(DataFrame.unionByName, waves)

@@ -44,8 +44,8 @@ def knn_two_stage(spark: S, d: str) -> DataFrame:
     cats = cats.select(F.col("label").alias("id"), vectors.normalize(F.col("v")).alias("vector"))
     asked = _queries(spark, d).drop("label")
     best = vectors.nearest(asked, cats, 2).select("query_id", F.col("id").alias("label"))
-    met = best.join(F.broadcast(asked), "query_id").join(e, "label").select("query_id", F.col("vec_id").alias("id"), (F.round(1 - vectors.dot("embedding", "vector"), 5) + F.lit(0.0)).alias("distance"))
-    return met.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))).where("rank <= 5")
+    names = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vectors.nearest(asked.join(best, "query_id"), names, 5, within="label")
 
 
 def category_codes(spark: S, d: str) -> DataFrame:
@@ -110,7 +110,11 @@ def entity_merge_conflicts(spark: S, d: str) -> DataFrame:
 
 
 def input_fingerprint(spark: S, d: str) -> DataFrame:
-    hashes = table(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.sha2("text", 256))), ",").alias("h"))
+    """A checksum of each source's input that does not depend on row order: rows are summed up in 64 batches, and the sorted
+    batch checksums are hashed, so no source's texts meet in one task."""
+    part = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    batch = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 64).alias("batch")).agg(F.count("*").alias("n"), F.sum(part).alias("s"))
+    hashes = batch.select("source", F.sha2(F.concat_ws(":", "batch", "n", "s"), 256).alias("h")).groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("h")), ",").alias("h"))
     return hashes.select("source", F.sha2("h", 256).alias("fingerprint"))
 
 
@@ -134,7 +138,7 @@ def csv_violations(spark: S, d: str) -> DataFrame:
     name = F.when(F.col("p_partkey") % 11 == 0, " ").otherwise(F.col("p_name"))
     volume = F.when(F.col("p_partkey") % 7 == 0, "1,5").when(F.col("p_partkey") % 13 == 0, "nan").otherwise(F.col("p_size").cast("string"))
     rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("A"), F.floor(F.col("p_partkey") / 2), F.when(F.col("p_partkey") % 4 == 1, " ").otherwise("")).alias("activity_id"), name.alias("name"), volume.alias("volume"))
-    rows = rows.withColumn("later", tabular.later_duplicate(F.col("activity_id"), F.col("p_partkey")))
+    rows = tabular.mark_later(rows, "activity_id", "p_partkey", "later")
     code = tabular.first_failure([("blank_required", F.trim("name") == ""), ("duplicate_id", F.col("later")), ("bad_number", ~F.col("volume").rlike(tabular.NUMERIC))])
     return rows.select("p_partkey", code.alias("code"))
 
@@ -364,7 +368,9 @@ SELECT a.doc_id, coalesce(b.t, a.t) AS end_type, coalesce(b.t <> a.t, false) AS
     "entity_merge_conflicts": """
 WITH e AS (SELECT doc_id % 50 AS node_id, sha256(doc_id::VARCHAR) AS b, 'lang' AS name, lang AS value FROM documents UNION ALL SELECT doc_id % 50, sha256(doc_id::VARCHAR), 'source', source FROM documents)
 SELECT node_id, name, min_by(value, b) AS value, count(DISTINCT value) AS values FROM e GROUP BY ALL""",
-    "input_fingerprint": "SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source",
+    "input_fingerprint": """
+WITH b AS (SELECT source, doc_id % 64 AS batch, count(*) AS n, sum(('0x' || left(sha256(coalesce(text, '')), 15))::BIGINT) AS s FROM documents GROUP BY 1, 2)
+SELECT source, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM (SELECT source, sha256(batch || ':' || n || ':' || s) AS h FROM b) GROUP BY source""",
     "collection_sql": "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' GROUP BY source",
     "calculator_inputs": """
 SELECT l_returnflag, CASE l_linenumber WHEN 1 THEN 'missing' WHEN 2 THEN 'non_numeric' WHEN 3 THEN 'wrong_unit' ELSE 'used' END AS outcome, count(*) AS n,

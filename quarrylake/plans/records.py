@@ -207,8 +207,8 @@ def answer_grading(spark: S, d: str) -> DataFrame:
 
 
 def telemetry_batch(spark: S, d: str) -> DataFrame:
-    """Snapshots with points, and each missing field by path."""
-    e = table(spark, d, "events").select((F.col("event_id") % 500).alias("snapshot"), F.struct("event_id", F.when(F.col("event_id") % 6 != 0, F.lit("bar")).alias("unit")).alias("p"))
+    """Snapshots of twenty points, and each missing field by path."""
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 20).alias("snapshot"), F.struct("event_id", F.when(F.col("event_id") % 6 != 0, F.lit("bar")).alias("unit")).alias("p"))
     snaps = e.groupBy("snapshot").agg(F.array_sort(F.collect_list("p")).alias("points"))
     gaps = F.filter(F.transform("points", lambda p, i: F.when(p["unit"].isNull(), F.concat(F.lit("points["), i, F.lit("].unit")))), lambda x: x.isNotNull())
     return snaps.select("snapshot", F.array_join(gaps, ";").alias("missing"), F.when(F.size(gaps) > 0, "incomplete").otherwise("ok").alias("status"))
@@ -323,7 +323,7 @@ FROM t LEFT JOIN t k ON k.term = t.target GROUP BY 1""",
     "answer_grading": """
 SELECT conv_id, turn, len(list_intersect(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['the', 'of', 'la', 'der'])) AS found, contains(lower(text), 'insufficient data') AS insufficient FROM conversations""",
     "telemetry_batch": """
-WITH e AS (SELECT event_id % 500 AS snapshot, event_id, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id) - 1 AS i FROM events),
+WITH e AS (SELECT event_id // 20 AS snapshot, event_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS i FROM events),
 g AS (SELECT snapshot, coalesce(string_agg('points[' || i || '].unit', ';' ORDER BY i) FILTER (WHERE event_id % 6 = 0), '') AS missing FROM e GROUP BY snapshot)
 SELECT snapshot, missing, CASE WHEN missing = '' THEN 'ok' ELSE 'incomplete' END AS status FROM g""",
     "graph_upsert_stream": "SELECT user_id, count(*) AS events, min(event_id) AS first FROM events GROUP BY user_id",

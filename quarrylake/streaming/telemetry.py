@@ -32,23 +32,28 @@ def latest(points: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a stream over what is there and read its final result, which each batch replaces in the shared folder."""
+    """Run a stream over what is there and read its result from the shared folder. Complete output replaces the one before;
+    appended output has a folder for each batch, which a repeated batch replaces, so rows are kept once. A stream without
+    input gives an empty result."""
     spark: SparkSession = stream.sparkSession
     out, marks = scratch_path(spark, label), scratch_path(spark, f"{label}-marks")
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/first")
+
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/{'whole' if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def split_by_status(points: DataFrame, good: str, bad: str, marks: str):
-    """A streaming query that appends sound envelopes to one path and all others to another."""
+    """A streaming query that writes sound envelopes below one path and all others below another, a folder for each batch;
+    a repeated batch replaces its folders."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.where("status = 'ok'").write.mode("append").parquet(good)
-        batch.where("status <> 'ok'").write.mode("append").parquet(bad)
+        batch.where("status = 'ok'").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        batch.where("status <> 'ok'").write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
     return envelope(points).writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()

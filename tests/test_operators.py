@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylake.operators import graph, news, production, search, tabular, text, vectors
 from quarrylake.operators.components import connected_components
 from quarrylake.sources import files
+from quarrylake.streaming import telemetry
 
 
 def test_components_of_chain_loops_and_nulls(spark):
@@ -103,3 +104,63 @@ def test_file_sources(spark, tmp_path):
     assert {r["id"] for r in files.manifest_records(scan("*.json")).collect()} == {"1", None}
     listed = scan("*.csv").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "bytes", F.lit("0").alias("sha256")).limit(1)
     assert sorted(r["problem"] for r in files.verify(scan("*.csv"), listed).collect()) == ["checksum", "unexpected"]
+
+
+@pytest.fixture
+def plain_ranges(spark):
+    """Ranges stay apart: adaptive execution would join such small ones."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_links_of_a_frequent_key_cross_ranges(spark, plain_ranges):
+    rec = spark.range(200).selectExpr("id", "case when id % 50 = 7 then ' ' when id % 50 = 8 then null when id % 4 = 0 then 'rare' || id % 8 else 'hot' end k")
+    by_key, expected = {}, set()
+    for r in rec.orderBy("id").collect():
+        if (r["k"] or "").strip():
+            if r["k"] in by_key:
+                expected.add(("k", by_key[r["k"]], r["id"]))
+            by_key[r["k"]] = r["id"]
+    found = [tuple(r) for r in news.duplicate_links(rec, "id", {"k": F.col("k")}).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert news.duplicate_links(rec.limit(0), "id", {"k": F.col("k")}).count() == 0
+
+
+def test_codes_over_ranges(spark, plain_ranges):
+    names = spark.range(300).selectExpr("case when id % 9 = 0 then null else 'n' || id % 40 end n")
+    got = {r["n"]: r["code"] for r in tabular.codes(names, "n", "code").collect()}
+    assert got == {n: k for k, n in enumerate(sorted(f"n{i}" for i in range(40)), 1)}
+    assert tabular.codes(names.limit(0), "n", "code").count() == 0
+
+
+def test_first_and_later_rows(spark):
+    rows = spark.createDataFrame([("a ", 1), ("a", 3), (None, 2), (None, 5), ("b", 4)], "k string, n int")
+    assert {r["n"] for r in tabular.mark_later(rows, "k", "n", "later").where("later").collect()} == {3, 5}
+    first, report = graph.first_wins(rows, ["k"], ["n"], ["n"])
+    assert {tuple(r) for r in first.collect()} == {("a ", 1), ("a", 3), (None, 2), ("b", 4)}
+    assert {tuple(r) for r in report.collect()} == {("a ", 1, 0, False), ("a", 1, 0, False), (None, 2, 1, True), ("b", 1, 0, False)}
+
+
+def test_nearest_within_and_in_waves(spark):
+    e = spark.createDataFrame([(k, [float(k % 7 - 3), float(k % 5 - 2), 1.0], k % 3) for k in range(60)], "id long, vector array<double>, g int").withColumn("vector", vectors.normalize(F.col("vector")))
+    asked = e.where("id % 2 = 0").select(F.col("id").alias("query_id"), "vector", "g")
+    held = {tuple(r) for r in vectors.nearest(asked, e, 3, within="g").select("query_id", "id", "rank").collect()}
+    assert len(held) == 90 and all(q % 3 == i % 3 for q, i, _ in held)
+    assert held == {tuple(r) for r in vectors.nearest(asked, e, 3, block_rows=1, within="g").select("query_id", "id", "rank").collect()}
+
+
+def test_stream_without_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    assert telemetry.run_available(stream, "append", "nothing").count() == 0
+    assert telemetry.run_available(stream.groupBy("id").count(), "complete", "nothing").count() == 0
+
+
+def test_quarantine(spark, tmp_path):
+    points = "tag string, measured_at timestamp, value double, unit string"
+    spark.sql("select 'a' tag, timestamp'2024-01-01' measured_at, 0d value, 'bar' unit union all select 'b', null, null, 'bar' union all select 'c', timestamp'2024-01-01', 1d, null").write.parquet(str(tmp_path / "in"))
+    query = telemetry.split_by_status(spark.readStream.schema(points).parquet(str(tmp_path / "in")), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "marks"))
+    query.awaitTermination()
+    assert [r["tag"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a"]
+    assert {(r["tag"], *r["missing_fields"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("b", "measured_at"), ("c", "unit")}
