@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.storage import discard, stash
+
 
 def nodes_from(df: DataFrame, label: str, key: Column, properties: dict[str, Column]) -> DataFrame:
     """One node for each row; properties that are null are left out of the map."""
@@ -84,3 +86,21 @@ def parse_id(c: Column) -> dict[str, Column]:
 def surrogate_key(*parts: Column) -> Column:
     """sha256 of the compact JSON list of the parts as text."""
     return F.sha2(F.to_json(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 256)
+
+
+def parent_cycles(parents: DataFrame, rounds: int = 60) -> DataFrame:
+    """(key) of the rows of (key, parent) that never reach a root: they stand on a cycle of parents or below one.
+
+    Every round doubles the distance that a row looks up, so a hierarchy of depth n takes log2(n) joins; rows that reached
+    a root, a null parent or one that is no key, drop out. Of repeated keys the smallest parent counts.
+    """
+    step = stash(parents.where("key is not null").groupBy("key").agg(F.min("parent").alias("parent")), "parents")
+    total = step.count()
+    for done in range(1, rounds + 1):
+        above = step.select(F.col("key").alias("parent"), F.col("parent").alias("next"))
+        climbed = stash(step.join(above, "parent").where("next is not null").select("key", F.col("next").alias("parent")), "parents")
+        discard(step)
+        step = climbed
+        if 2**done > total or step.isEmpty():
+            break
+    return step.select("key")

@@ -36,3 +36,18 @@ def chunks(c: Column, size: int) -> Column:
     """The text in pieces of size characters; an empty text has none."""
     n = F.ceil(F.length(c) / F.lit(size)).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def search_form(c: Column) -> Column:
+    """Text as it is searched for: NFKC, case folded, ё as е, runs of white space as one space, trimmed; null stays null.
+
+    Spark has no Unicode normalisation, so that step is an Arrow-batched function.
+    """
+
+    @F.pandas_udf("string")
+    def folded(texts):  # noqa: ANN001, ANN202
+        import unicodedata
+
+        return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().replace("ё", "е").split()))
+
+    return folded(c)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.operators import graph, news, production, search, tabular, text, vectors
 from quarrylake.operators.components import connected_components
-from quarrylake.sources import files
+from quarrylake.sources import files, sinks
 from quarrylake.streaming import telemetry
 
 
@@ -164,3 +164,31 @@ def test_quarantine(spark, tmp_path):
     query.awaitTermination()
     assert [r["tag"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a"]
     assert {(r["tag"], *r["missing_fields"]) for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {("b", "measured_at"), ("c", "unit")}
+
+
+def test_parent_cycles(spark):
+    rows = [(k, k - 1 if k else None) for k in range(20)] + [(100, 102), (101, 100), (102, 101), (103, 102), (200, 200), (300, 999), (None, 1)]
+    parents = spark.createDataFrame(rows, "key int, parent int")
+    assert {r["key"] for r in graph.parent_cycles(parents).collect()} == {100, 101, 102, 103, 200}
+    assert graph.parent_cycles(parents.limit(0)).count() == 0
+
+
+def test_search_form(spark):
+    df = spark.createDataFrame([("ﬁn  Ё STRASSE ß",), ("",), (None,), ("é",)], "t string")
+    assert [r[0] for r in df.select(text.search_form(F.col("t"))).collect()] == ["fin е strasse ss", "", None, "é"]
+
+
+def test_written_forms(spark, tmp_path):
+    odd = spark.createDataFrame([(1, "a<&>b", None), (2, None, 2.5), (3, " ", 1.0)], "id int, t string, x double")
+    back = [r["cells"] for r in files.worksheet(sinks.workbooks(odd.coalesce(1))).orderBy("row").collect()]
+    assert back == [["id", "t", "x"], ["1", "a<&>b"], ["2", None, "2.5"], ["3", " ", "1"]]
+    assert sinks.workbooks(odd.limit(0)).count() == 0
+    cells = spark.createDataFrame([("{'a': (1, 2)}",), ('{"b":null,"a":[1]}',), ("3",), (None,), ("[[[1]]]",), ("[Infinity]",), ("__import__('os')",)], "c string")
+    assert [r[0] for r in cells.select(sinks.parse_nested(F.col("c"))).collect()] == ['{"a":[1,2]}', '{"a":[1],"b":null}', None, None, "[[[1]]]", None, None]
+    columns = "activity_id string, activity_name string, volume double, measurement string, structure array<int>, edges array<int>, granular_unit struct<code:string>"
+    rows = spark.createDataFrame([("1", '=a "b", c', 2.0, None, [1], [], None)], columns)
+    sinks.write_activities(rows.coalesce(1), str(tmp_path / "out"))
+    text_ = next((tmp_path / "out").glob("part-*")).read_text()
+    assert text_ == ",".join(sinks.ACTIVITY_COLUMNS) + '\n1,"\'=a ""b"", c",2.0,,[1],[],\n'
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_activities(rows, str(tmp_path / "out"))

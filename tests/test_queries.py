@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from quarrylake.plans import graphs, knowledge, records
+from quarrylake.plans import graphs, knowledge, outputs, records
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = graphs.QUERIES | knowledge.QUERIES | records.QUERIES
-SQL = graphs.SQL | knowledge.SQL | records.SQL
+QUERIES = graphs.QUERIES | knowledge.QUERIES | records.QUERIES | outputs.QUERIES
+SQL = graphs.SQL | knowledge.SQL | records.SQL | outputs.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
