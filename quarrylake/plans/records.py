@@ -251,12 +251,12 @@ def osdu_manifest(spark: S, d: str) -> DataFrame:
 
 
 def witsml_wells(spark: S, d: str) -> DataFrame:
-    path = scratch_path(spark, "wells")
+    """Well documents of at most ten wells each, read back; a document's status is that of its first well."""
     well = F.concat(F.lit('<well uid="'), F.col("s_suppkey"), F.lit('"><name>'), F.col("s_name"), F.lit("</name>"), F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit('<wellheadElevation uom="m">'), F.col("s_suppkey"), F.lit("</wellheadElevation>"))).otherwise(""), F.lit("</well>"))
-    docs = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(well), "").alias("w"))
-    xml = F.concat(F.lit('<wells xmlns="http://www.witsml.org/schemas/1series" version="'), F.when(F.col("s_nationkey") % 4 == 0, "2.0").otherwise("1.4.1.1"), F.lit('">'), F.col("w"), F.lit("</wells>"))
-    docs.select("s_nationkey", xml.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
-    return files.wells(files.scan(spark, path, "part-*")).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
+    docs = table(spark, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 10).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", well.alias("xml")))).alias("w"))
+    xml = F.concat(F.lit('<wells xmlns="http://www.witsml.org/schemas/1series" version="'), F.when(F.col("doc") % 4 == 0, "2.0").otherwise("1.4.1.1"), F.lit('">'), F.array_join("w.xml", ""), F.lit("</wells>"))
+    held = stash(docs.select(F.concat(F.lit("wells-"), "doc").alias("path"), xml.cast("binary").alias("content")), "wells")
+    return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
 QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
@@ -335,5 +335,5 @@ SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'truncated' WHEN n_nation
     "osdu_manifest": "SELECT 'p:master-data--Well:' || n_nationkey AS id, 'osdu:wks:master-data--Well:1.0.0' AS kind, n_name AS name FROM nation",
     "witsml_wells": """
 SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey::DOUBLE END AS elevation, CASE WHEN s_suppkey % 3 <> 0 THEN 'm' END AS uom,
-       CASE WHEN s_nationkey % 4 = 0 THEN 'unsupported' WHEN s_suppkey % 3 = 0 THEN 'incomplete' ELSE 'ok' END AS status FROM supplier""",
+       CASE WHEN s_suppkey // 10 % 4 = 0 THEN 'unsupported' WHEN min(s_suppkey) OVER (PARTITION BY s_suppkey // 10) % 3 = 0 THEN 'incomplete' ELSE 'ok' END AS status FROM supplier""",
 }

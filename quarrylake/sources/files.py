@@ -117,10 +117,10 @@ def wells(files: DataFrame) -> DataFrame:
     text = files.select("path", F.col("content").cast("string").alias("xml"))
     known = F.contains("xml", F.lit("http://www.witsml.org/schemas/1series")) & F.contains("xml", F.lit('version="1.4.1.1"'))
     parsed = text.select("path", known.alias("known"), F.from_xml("xml", f"well {one}").alias("d"))
-    well = parsed.select("path", "known", F.posexplode_outer("d.well").alias("at", "w"))
+    well = parsed.select("path", "known", F.get("d.well", F.lit(0)).alias("first"), F.posexplode_outer("d.well").alias("at", "w"))
     name = lambda field: F.concat(F.lit("wells["), F.col("at").cast("string"), F.lit(f"].{field}"))
     gaps = F.filter(F.array(F.when(F.col("w.name").isNull(), name("name")), F.when(F.col("w.wellheadElevation").isNull(), name("elevation"))), lambda x: x.isNotNull())
-    status = F.when(~F.col("known"), "unsupported").when(F.col("w").isNull(), "corrupt").when(F.size(gaps) > 0, "incomplete").otherwise("ok")
+    status = F.when(~F.col("known"), "unsupported").when(F.col("w").isNull(), "corrupt").when(F.col("first.name").isNull() | F.col("first.wellheadElevation").isNull(), "incomplete").otherwise("ok")
     return well.select("path", F.col("w._uid").alias("uid"), "w.name", F.col("w.wellheadElevation._VALUE").try_cast("double").alias("elevation"), F.col("w.wellheadElevation._uom").alias("uom"), status.alias("status"), gaps.alias("missing_fields"))
 
 

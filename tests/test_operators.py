@@ -192,3 +192,15 @@ def test_written_forms(spark, tmp_path):
     assert text_ == ",".join(sinks.ACTIVITY_COLUMNS) + '\n1,"\'=a ""b"", c",2.0,,[1],[],\n'
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.write_activities(rows, str(tmp_path / "out"))
+
+
+def test_status_of_a_well_document_is_that_of_its_first_well(spark):
+    head = '<wells xmlns="http://www.witsml.org/schemas/1series" version="1.4.1.1">'
+    full, bare = '<well uid="1"><name>a</name><wellheadElevation uom="m">2</wellheadElevation></well>', '<well uid="2"><name>b</name></well>'
+    docs = [("x", f"{head}{full}{bare}</wells>"), ("y", f"{head}{bare}{full}</wells>"), ("z", f"{head}</wells>"), ("v", head.replace("1.4.1.1", "2.0") + full + "</wells>"), ("n", None)]
+    found = files.wells(spark.createDataFrame(docs, "path string, xml string").selectExpr("path", "cast(xml as binary) content")).collect()
+    assert {(r["path"], r["uid"], r["status"], tuple(r["missing_fields"])) for r in found if r["path"] in "xy"} == {
+        ("x", "1", "ok", ()), ("x", "2", "ok", ("wells[1].elevation",)), ("y", "2", "incomplete", ("wells[0].elevation",)), ("y", "1", "incomplete", ()),
+    }
+    assert {r["path"]: r["status"] for r in found if r["path"] in "zv"} == {"z": "corrupt", "v": "unsupported"}
+    assert all(r["uid"] is None for r in found if r["path"] == "n")
