@@ -18,6 +18,8 @@ SHARD_ROWS = 4096
 #: Six blocks of the 64 bits. Two fingerprints that differ in at most four bits agree on at least two of them.
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 SEED = 42
+#: A fingerprint that at least one in so many rows share is joined by broadcast; there are no more such fingerprints than this.
+HOT_SHARE = 1000
 
 
 def simhash(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
@@ -191,23 +193,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read.
     """
     own = stash(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
-    classes = stash(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
+    classes = stash(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     joined = connected_components(links(classes, radius))
     roots = joined.join(classes.withColumnRenamed("fp", "node"), "node")
     smallest = roots.groupBy("component").agg(F.min("least").alias("smallest"))
     label = roots.join(smallest, "component").select(F.col("node").alias("fp"), "smallest")
-    labels = classes.join(label, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
-    return own.join(labels, "fp").select("id", "fp", "component")
+    labels = stash(classes.join(label, "fp", "left").select("fp", "n", F.coalesce("smallest", "least").alias("component")), "simhash-labels")
+    least = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / HOT_SHARE
+    hot = F.broadcast(labels.where(F.col("n") >= least).select("fp", "component"))
+    rare = own.join(hot, "fp", "left_anti").join(labels.where(F.col("n") < least), "fp")
+    return own.join(hot, "fp").select("id", "fp", "component").unionByName(rare.select("id", "fp", "component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest id stays.
+    """docs without near-duplicates: of each class the row with the smallest id stays, a null id counting as the greatest.
 
-    Rows with a null id stay: nothing tells them apart. Of rows that repeat an id and its text, all stay or none.
+    Rows that repeat an id with other texts are told apart by a hash of the text. Of rows that repeat an id and its text, all
+    stay or none.
     """
-    found = components(docs.select(id_col, text_col), id_col, text_col, radius)
-    dropped = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    found = components(docs.select(key.alias("key"), text.alias("text")), "key", "text", radius)
+    dropped = found.where("id <> component").select(F.col("id.id").alias("drop_id"), F.col("id.hash").alias("drop_hash")).distinct()
+    same = docs[id_col].eqNullSafe(dropped["drop_id"]) & (F.xxhash64(docs[text_col].cast("string")) == dropped["drop_hash"])
+    return docs.join(dropped, same, "left_anti")
 
 
 def hex_fingerprint(fp: str = "fp"):

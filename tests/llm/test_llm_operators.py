@@ -83,9 +83,20 @@ def test_links_connect_like_all_pairs(spark, shard_rows):
 
 
 def test_keep_one_keeps_the_smallest(spark):
-    kept = simhash.keep_one(docs_of(spark, [(5, "a b c d e", "en", "s"), (2, "A B C D E", "en", "s"), (9, "other words stand in this", "en", "s"), (None, "a b c d e", "en", "s")]))
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 9]
+    rows = [(5, "a b c d e", "en", "s"), (2, "A B C D E", "en", "s"), (9, "other words stand in this", "en", "s"), (None, "a b c d e", "en", "s")]
+    rows += [(None, "words of no other text", "en", "s"), (5, "a second text of one id", "en", "s")]
+    kept = simhash.keep_one(docs_of(spark, rows))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "words of no other text"), (2, "A B C D E"), (5, "a second text of one id"), (9, "other words stand in this")]
     assert kept.columns == docs_of(spark, EMPTY).columns
+    assert simhash.keep_one(docs_of(spark, EMPTY)).count() == 0
+
+
+def test_components_with_a_hot_fingerprint(spark):
+    rows = [(k, "one text that very many rows share", "en", "s") for k in range(10, 1500)] + [(k, f"text number {k} stands alone here", "en", "s") for k in range(1500, 1520)]
+    found = {r["id"]: r["component"] for r in simhash.components(docs_of(spark, rows)).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k] == 10 for k in range(10, 1500))
+    assert all(found[k] >= 1500 for k in range(1500, 1520))
 
 
 def test_decontamination_matches_brute_force(spark):
