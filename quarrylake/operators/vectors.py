@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +36,32 @@ def sound(v: Column, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], size: int, into: str = "embedding", batch: int = 32) -> DataFrame:
+    """df with the vectors that model gives for a text column, in batches of 1 to 128 texts; blank and null texts have none.
+
+    A batch of other than one finite vector of the size for each text ends the job: ValueError.
+    """
+    if not 1 <= batch <= 128:
+        raise ValueError("a batch has 1 to 128 texts")
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for texts in parts:
+            out = pd.Series([None] * len(texts), dtype=object)
+            at = [k for k, t in enumerate(texts) if t is not None and t.strip()]
+            for a in range(0, len(at), batch):
+                own = at[a : a + batch]
+                found = np.asarray(model([texts.iloc[k] for k in own]), np.float64)
+                if found.shape != (len(own), size) or not np.isfinite(found).all():
+                    raise ValueError(f"the model gave {found.shape} for {len(own)} texts of {size} dimensions")
+                for k, v in zip(own, found.tolist(), strict=True):
+                    out.iat[k] = v
+            yield out
+
+    return df.withColumn(into, F.pandas_udf(run, "array<double>")(F.col(text_col).cast("string")))
+
+
 def nearest(queries: DataFrame, catalogue: DataFrame, k: int, block_rows: int = BLOCK_ROWS, within: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest catalogue rows of each query by cosine distance rounded to 5 places,
     then id. queries has (query_id, vector) and catalogue (id, vector), unit vectors; with within, both have that column

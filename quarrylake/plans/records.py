@@ -54,6 +54,37 @@ def package_validate(spark: S, d: str) -> DataFrame:
     return rec.join(known, "entity", "left").groupBy(code.alias("problem")).agg(F.count("*").alias("n"))
 
 
+def package_reconcile(spark: S, d: str) -> DataFrame:
+    """The loaded totals of each entity against those of the package, within a relative tolerance."""
+    totals = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("v"), F.count("*").alias("n"))
+    package = totals.where("l_suppkey % 7 <> 0").select("l_suppkey", F.col("v").alias("wanted"))
+    live = totals.where("l_suppkey % 11 <> 0").select("l_suppkey", (F.col("v") + F.when(F.col("l_suppkey") % 13 == 0, 0.5).otherwise(0.0)).alias("found"))
+    off = F.abs(F.col("found") - F.col("wanted")) > F.greatest(F.lit(1e-6), F.abs("wanted") * 1e-12)
+    code = tabular.first_failure([("missing", F.col("found").isNull()), ("extra", F.col("wanted").isNull()), ("differs", off)])
+    return package.join(live, "l_suppkey", "full").select("l_suppkey", "wanted", "found", code.alias("problem"))
+
+
+def csv_row_validation(spark: S, d: str) -> DataFrame:
+    """Rows of an activity file by the first rule that they break."""
+    key = F.col("p_partkey")
+    ident = F.when(key % 17 == 0, F.lit(" ")).when(key % 5 == 0, F.concat(F.lit(" a"), key - 1, F.lit(" "))).otherwise(F.concat(F.lit("a"), key))
+    volume = F.when(key % 7 == 0, "1,5").when(key % 11 == 0, "nan").when(key % 13 == 0, "1e5").otherwise(F.col("p_size").cast("string"))
+    rows = table(spark, d, "part").select("p_partkey", ident.alias("activity_id"), volume.alias("volume"), F.when(key % 19 != 0, F.col("p_brand")).alias("measurement"))
+    marked = tabular.mark_later(rows, "activity_id", "p_partkey", "later")
+    checks = [("blank_id", F.trim("activity_id") == ""), ("duplicate_id", F.col("later")), ("bad_number", ~F.col("volume").rlike(tabular.NUMERIC)), ("blank_measurement", F.col("measurement").isNull())]
+    return marked.select("p_partkey", tabular.first_failure(checks).alias("problem"))
+
+
+def _vowels(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+def embed_batch(spark: S, d: str) -> DataFrame:
+    """Activity names embedded in batches by a model that is handed in; here one that counts vowels."""
+    held = vectors.embed(table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.lower("p_name")).alias("name")), "name", _vowels, 5)
+    return held.select("p_partkey", *(F.get("embedding", F.lit(k)).alias(c) for k, c in enumerate(("a", "e", "i", "o", "u"))), vectors.sound(F.col("embedding"), 5).alias("sound"))
+
+
 def csv_strict_rows(spark: S, d: str) -> DataFrame:
     """Cells of an activity file typed or refused, with nested cells read from JSON."""
     cell = F.when(F.col("p_partkey") % 10 == 0, F.lit("[broken")).otherwise(F.concat(F.lit('[{"code":"'), F.col("p_brand"), F.lit('","level":'), F.col("p_size") % 3 + 1, F.lit("}]")))
@@ -259,7 +290,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -274,6 +305,23 @@ SELECT c AS control, n AS expected, n AS actual, true AS passed FROM (SELECT unn
 UNION ALL SELECT unnest(['Wellbore', 'OF_WELL']), (SELECT count(*) FROM supplier))""",
     "graph_entity_enrich": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 <> 0 THEN 'POINT (' || s_suppkey % 180 || ' ' || s_suppkey % 90 || ')' END AS wkt FROM supplier",
     "package_validate": "SELECT CASE WHEN l_suppkey % 6 = 0 THEN 'unknown_entity' WHEN l_linenumber <= 2 THEN 'bad_period' END AS problem, count(*) AS n FROM lineitem GROUP BY 1",
+    "package_reconcile": """
+WITH t AS (SELECT l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY 1),
+p AS (SELECT l_suppkey, v AS wanted FROM t WHERE l_suppkey % 7 <> 0),
+l AS (SELECT l_suppkey, v + CASE WHEN l_suppkey % 13 = 0 THEN 0.5 ELSE 0 END AS found FROM t WHERE l_suppkey % 11 <> 0)
+SELECT l_suppkey, wanted, found, CASE WHEN found IS NULL THEN 'missing' WHEN wanted IS NULL THEN 'extra' WHEN abs(found - wanted) > greatest(1e-6, abs(wanted) * 1e-12) THEN 'differs' END AS problem
+FROM p FULL JOIN l USING (l_suppkey)""",
+    "csv_row_validation": """
+WITH r AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'a' || (p_partkey - 1) ELSE 'a' || p_partkey END AS id,
+         p_partkey % 7 = 0 OR p_partkey % 11 = 0 AS bad, p_partkey % 19 = 0 AS blank FROM part),
+m AS (SELECT *, p_partkey > min(p_partkey) OVER (PARTITION BY id) AS later FROM r)
+SELECT p_partkey, CASE WHEN id = '' THEN 'blank_id' WHEN later THEN 'duplicate_id' WHEN bad THEN 'bad_number' WHEN blank THEN 'blank_measurement' END AS problem FROM m""",
+    "embed_batch": """
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN lower(p_name) END AS t FROM part)
+SELECT p_partkey, CAST(length(t) - length(replace(t, 'a', '')) AS DOUBLE) AS a, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS e,
+       CAST(length(t) - length(replace(t, 'i', '')) AS DOUBLE) AS i, CAST(length(t) - length(replace(t, 'o', '')) AS DOUBLE) AS o,
+       CAST(length(t) - length(replace(t, 'u', '')) AS DOUBLE) AS u, t IS NOT NULL AS sound FROM n""",
     "csv_strict_rows": "SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_brand END AS code, CASE WHEN p_partkey % 10 <> 0 THEN p_size % 3 + 1 END AS level, p_partkey % 10 = 0 AS refused FROM part",
     "csv_project_dictionaries": """
 WITH r AS (SELECT DISTINCT p_type AS name, 'u' || p_size % 6 AS unit FROM part), k AS (SELECT DISTINCT p_type AS name, 'u' || p_size % 6 AS unit FROM part WHERE p_partkey % 3 = 0 AND p_size % 6 < 5)

@@ -204,3 +204,14 @@ def test_status_of_a_well_document_is_that_of_its_first_well(spark):
     }
     assert {r["path"]: r["status"] for r in found if r["path"] in "zv"} == {"z": "corrupt", "v": "unsupported"}
     assert all(r["uid"] is None for r in found if r["path"] == "n")
+
+
+def test_embed_checks_batches(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "  "), (4, "c")], "id int, t string")
+    sizes = vectors.embed(df, "t", lambda texts: [[float(len(t)), float(len(texts))] for t in texts], 2, batch=1)
+    assert {r["id"]: r["embedding"] for r in sizes.collect()} == {1: [2.0, 1.0], 2: None, 3: None, 4: [1.0, 1.0]}
+    for wrong in (lambda texts: [[1.0]] * len(texts), lambda texts: [[1.0, float("nan")]] * len(texts)):
+        with pytest.raises(Exception, match="the model gave"):
+            vectors.embed(df, "t", wrong, 2).collect()
+    with pytest.raises(ValueError, match="1 to 128"):
+        vectors.embed(df, "t", lambda texts: [], 2, batch=129)
