@@ -15,6 +15,7 @@ FOLDS, L2 = 3, 1.0
 #: Least share of correct ones among the out-of-fold rejections, from which the threshold of a category is set.
 PRECISION, LEAST = 0.97, 0.2
 STYLE = 6
+UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
 
 def _words(text: str) -> set[str]:
@@ -33,11 +34,10 @@ def _hashes(word: str) -> tuple[int, ...]:
 
 
 def _style(text: str, distinct: int) -> list[float]:
-    """Length, upper case, marks, variety and digits of a text."""
+    """Length, upper case, marks, variety and digits of a whole text."""
     n = max(len(text), 1)
     words = text.count(" ") + 1
-    letters = text.upper() if len(text) < 1000 else ""
-    upper = sum(map(str.isupper, text[:1000])) / min(n, 1000) if letters == "" else sum(map(str.isupper, text)) / n
+    upper = (len(text) - len(text.encode().translate(None, UPPER)) if text.isascii() else sum(map(str.isupper, text))) / n
     marks = sum(text.count(c) for c in "!#$%&*|@<>") / n
     return [len(text) ** 0.25 / 10, upper, min(marks * 5, 1.0), min(distinct / words, 1.0), min(n / words / 20, 1.0), 1.0]
 

@@ -341,3 +341,10 @@ def test_language_model_base_is_exact(spark):
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == expected
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in found)
     assert maxent.score(docs_of(spark, EMPTY)).count() == 0
+
+
+def test_upper_case_share_reads_the_whole_text():
+    tail = "quiet words " * 100 + "SHOUTED " * 100
+    for text in (tail, tail + "ÀÉ", "SHORT and loud", "LOUD " * 300 + "quiet " * 300, "", "é" * 2000 + "É" * 500):
+        assert toxicity._style(text, 3)[1] == pytest.approx(sum(c.isupper() for c in text) / max(len(text), 1))
+    assert toxicity._style(tail, 3)[1] > 0.3
