@@ -46,10 +46,13 @@ def examples(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     """(features, styles, labels) of at most rows labelled documents; a bounded sample by hash of the id.
 
     labels has (id, one column for each category); repeated ids count once, with the larger label. A label of None is unknown.
+    Of documents that repeat an id, the one with the smallest hash of its text is the example.
     """
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(*(F.max(F.col(c).cast("int")).alias(c) for c in categories))
     chosen = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows))
-    joined = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(chosen, "label_id")
+    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    of_id = [F.min_by("text", F.xxhash64("text")).alias("text"), *(F.first(c).alias(c) for c in categories)]
+    joined = texts.join(chosen, "label_id").groupBy("label_id").agg(*of_id)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np

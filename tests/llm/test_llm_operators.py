@@ -348,3 +348,12 @@ def test_upper_case_share_reads_the_whole_text():
     for text in (tail, tail + "ÀÉ", "SHORT and loud", "LOUD " * 300 + "quiet " * 300, "", "é" * 2000 + "É" * 500):
         assert toxicity._style(text, 3)[1] == pytest.approx(sum(c.isupper() for c in text) / max(len(text), 1))
     assert toxicity._style(tail, 3)[1] > 0.3
+
+
+def test_examples_hold_one_document_of_a_repeated_id(spark):
+    rows = [(k, f"text {k}", "en", "a") for k in range(5)] + [(2, f"copy {k} of one id", "en", "a") for k in range(300)] + [(None, "no id", "en", "a")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, toxic int")
+    features, styles, known = toxicity.examples(docs_of(spark, rows), labels, ["toxic"])
+    assert len(features) == len(styles) == 5 and known["toxic"] == [0, 1, 0, 1, 0]
+    again = toxicity.examples(docs_of(spark, rows[::-1]), labels, ["toxic"])
+    assert [f.tolist() for f in again[0]] == [f.tolist() for f in features]
