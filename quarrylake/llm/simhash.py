@@ -20,6 +20,7 @@ BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 SEED = 42
 #: A fingerprint that at least one in so many rows share is joined by broadcast; there are no more such fingerprints than this.
 HOT_SHARE = 1000
+ROW = "__simhash_row"
 
 
 def simhash(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
@@ -206,17 +207,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the smallest id stays, a null id counting as the greatest.
+    """docs without near-duplicates: of each class exactly one row stays, that with the smallest id; a null id is the greatest.
 
-    Rows that repeat an id with other texts are told apart by a hash of the text. Of rows that repeat an id and its text, all
-    stay or none.
+    Of rows with equal ids the one with the smallest hash of its text stays, of rows that repeat an id and its text the first.
+    Rows are told apart by their number in a copy of docs in the shared folder, which fixes it.
     """
+    held = stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
     text = F.col(text_col).cast("string")
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
-    found = components(docs.select(key.alias("key"), text.alias("text")), "key", "text", radius)
-    dropped = found.where("id <> component").select(F.col("id.id").alias("drop_id"), F.col("id.hash").alias("drop_hash")).distinct()
-    same = docs[id_col].eqNullSafe(dropped["drop_id"]) & (F.xxhash64(docs[text_col].cast("string")) == dropped["drop_hash"])
-    return docs.join(dropped, same, "left_anti")
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row"))
+    found = components(held.select(key.alias("key"), text.alias("text")), "key", "text", radius)
+    dropped = found.where("id <> component").select(F.col("id.row").alias(ROW))
+    return held.join(dropped, ROW, "left_anti").drop(ROW)
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -357,3 +357,10 @@ def test_examples_hold_one_document_of_a_repeated_id(spark):
     assert len(features) == len(styles) == 5 and known["toxic"] == [0, 1, 0, 1, 0]
     again = toxicity.examples(docs_of(spark, rows[::-1]), labels, ["toxic"])
     assert [f.tolist() for f in again[0]] == [f.tolist() for f in features]
+
+
+def test_keep_one_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "one row that is repeated here", "en", "s")] * 40 + [(None, "one text under many null ids", "en", "s")] * 40 + [(None, "only null ids of a", "en", "s"), (7, "some other text stands alone", "en", "s")]
+    rows += [(None, None, "en", "s"), (None, "", "en", "s"), (8, "", "de", "s"), (8, "", "en", "s")]
+    kept = simhash.keep_one(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter({(1, rows[0][1]): 1, (None, rows[40][1]): 1, (None, "only null ids of a"): 1, (7, "some other text stands alone"): 1, (8, ""): 1})
