@@ -364,3 +364,23 @@ def test_keep_one_keeps_one_of_repeated_rows(spark):
     rows += [(None, None, "en", "s"), (None, "", "en", "s"), (8, "", "de", "s"), (8, "", "en", "s")]
     kept = simhash.keep_one(docs_of(spark, rows)).collect()
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter({(1, rows[0][1]): 1, (None, rows[40][1]): 1, (None, "only null ids of a"): 1, (7, "some other text stands alone"): 1, (8, ""): 1})
+
+
+def test_mix_takes_each_repeated_row_for_itself(spark):
+    text = "five words are in here"
+    rows = [(None, f"{text} {k}", "en", "a") for k in range(60)] + [(4, text, "en", "a")] * 9000 + [(k, text, "en", "b") for k in range(20_000, 20_300)]
+    rows += [(None, None, "en", None)] * 3
+    docs = docs_of(spark, rows)
+    found = mixing.mixture(docs).collect()
+    taken, target = Counter(), {r["source"]: r["target"] for r in found}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    assert len(found) == len(rows) and all(math.floor(target[s]) == taken[s] for s in target)
+    kept = mixing.curriculum(docs)
+    assert kept.columns[: len(docs.columns)] == docs.columns
+    got, words = kept.collect(), Counter()
+    for r in got:
+        assert 0 < r["mix_taken"] <= 2 * r["mix_size"] == 2 * len(r["text"].split())
+        words[r["source"]] += r["mix_taken"]
+    assert all(words[s] == math.floor(target[s]) for s in target if target[s])
+    assert len(got) == sum(r["taken"] > 0 for r in found)
