@@ -16,6 +16,9 @@ from quarrylake.storage import scratch_path
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 1000
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: Bytes of a damaged member that are unpacked at a time.
+PIECE = 1 << 14
+TRUNCATED = "member does not end"
 #: A gzip member without content. It ends every record, as Spark's text writer ends every line with the same bytes.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,7 +95,7 @@ def _unpack(content: bytes, at: int) -> tuple[bytes, int] | str:
     packed, out, view, begin = zlib.decompressobj(31), [], memoryview(content), at
     while not packed.eof:
         if begin >= len(content):
-            return "member does not end"
+            return TRUNCATED
         stop = content.find(MAGIC, begin + 3)
         stop = len(content) if stop < 0 else stop
         try:
@@ -103,54 +106,112 @@ def _unpack(content: bytes, at: int) -> tuple[bytes, int] | str:
     return b"".join(out), begin - len(packed.unused_data)
 
 
+def _partial(content: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
+    """(data, position): what a damaged member gives up to its damage, or until most bytes are out, and how far it was read.
+
+    It is fed in pieces; the piece that fails, or that gives the last byte asked for, is fed again byte by byte.
+    """
+    packed, out, size, place, step = zlib.decompressobj(31), [], 0, at, PIECE
+    while place < len(content) and not packed.eof and (most is None or size < most):
+        before = packed.copy() if step > 1 else None
+        try:
+            data = packed.decompress(content[place : place + step])
+        except zlib.error:
+            data = None
+        if step > 1 and (data is None or most is not None and size + len(data) >= most):
+            packed, step = before, 1
+            continue
+        if data is None:
+            break
+        out.append(data)
+        size += len(data)
+        place = min(place + step, len(content))
+    return b"".join(out), place
+
+
+def _records(data: bytes) -> tuple[list[tuple | str], int]:
+    """Good records (headers, block) of a member's data and, for each gap between them, what is wrong; the last good record's end."""
+    items: list[tuple | str] = []
+    place = reached = 0
+    while 0 <= place < len(data):
+        parsed = _parse(data, place, len(data))
+        if not isinstance(parsed, str):
+            items.append((parsed[0], data[parsed[1] : parsed[2]]))
+            place = reached = parsed[3]
+            continue
+        if not items or not isinstance(items[-1], str):
+            items.append(parsed)
+        place = data.find(VERSION, place + 1)
+    return items, reached
+
+
+def _salvage_member(content: bytes, at: int) -> tuple[list[tuple | str], int, str]:
+    """(records and gaps, end, what is wrong with the member as a whole) of the member at a position.
+
+    Of a member that is damaged or ends early, the records before that are kept; end is then where they end. If the only
+    record of a damaged member is in order, the damage may be in its headers, which have no digest: it is not kept.
+    """
+    got = _unpack(content, at)
+    if not isinstance(got, str):
+        items, _ = _records(got[0])
+        return items, got[1], ""
+    items, reached = _records(_partial(content, at)[0])
+    if not reached or len(items) == 1 and got != TRUNCATED:
+        return [], at + 1, got
+    if isinstance(items[-1], str):  # part of the gap that follows
+        items.pop()
+    return items, _partial(content, at, reached)[1], got
+
+
 def salvage(content: bytes) -> Iterator[tuple]:
     """(offset, end, headers, payload, None) of each good record, (offset, end, None, None, reason) of each gap.
 
-    Positions are those in the file. After a failed check the reader looks for the next valid gzip member or version line;
-    what lies between is a gap.
+    Positions are those in the file; records and gaps inside a gzip member have the member's. After a failed check the
+    reader looks for the next valid gzip member or version line, inside a member for the next version line of its data; what
+    lies between is a gap. Headers have no digest: in a member that fails its checksum, a record's block is verified only.
     """
     at, bad, reason = 0, None, ""
     while at < len(content):
-        found: list[tuple] = []
+        items: list[tuple | str] = []
         problem, end = "neither member nor version line", at + 1
         if content.startswith(MAGIC, at):
-            got = _unpack(content, at)
-            if isinstance(got, str):
-                problem = got
-            else:
-                data, end = got
-                place, problem = 0, ""
-                while place < len(data) and not problem:
-                    parsed = _parse(data, place, len(data))
-                    if isinstance(parsed, str):
-                        problem = parsed
-                    else:
-                        found.append((parsed[0], data[parsed[1] : parsed[2]]))
-                        place = parsed[3]
+            items, end, problem = _salvage_member(content, at)
         elif content.startswith(VERSION, at):
             parsed = _parse(content, at, len(content))
             if isinstance(parsed, str):
                 problem = parsed
             else:
-                found, problem, end = [(parsed[0], content[parsed[1] : parsed[2]])], "", parsed[3]
-        if problem and not found:
+                items, problem, end = [(parsed[0], content[parsed[1] : parsed[2]])], "", parsed[3]
+        if items and all(isinstance(x, str) for x in items):
+            items, problem = [], items[0]
+        if problem and not items:
             if bad is None:
                 bad, reason = at, problem
-            hits = [p for p in (content.find(MAGIC, at + 1), content.find(VERSION, at + 1)) if p >= 0]
-            at = min(hits, default=len(content))
+            at = _next(content, at + 1)
             continue
         if bad is not None:
             yield bad, at, None, None, reason
             bad = None
-        for headers, block in found:
+        for item in items:
+            if isinstance(item, str):
+                yield at, end, None, None, item
+                continue
+            headers, block = item
             yield at, end, headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block, None
-        if problem:  # the member's later records are lost
+        if problem and end == len(content):
             yield at, end, None, None, problem
+        elif problem:  # the rest of a damaged member
+            bad, reason, end = end, problem, _next(content, end)
         at = end
     if bad is not None:
         yield bad, len(content), None, None, reason
 
 
+def _next(content: bytes, at: int) -> int:
+    """The next position that looks like a member or a version line, or the end."""
+    return min((p for p in (content.find(MAGIC, at), content.find(VERSION, at)) if p >= 0), default=len(content))
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "*") -> DataFrame:
     """All records and gaps of the archives under path, one row each.
 

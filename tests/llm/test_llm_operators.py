@@ -384,3 +384,39 @@ def test_mix_takes_each_repeated_row_for_itself(spark):
         words[r["source"]] += r["mix_taken"]
     assert all(words[s] == math.floor(target[s]) for s in target if target[s])
     assert len(got) == sum(r["taken"] > 0 for r in found)
+
+
+def test_warc_salvage_inside_a_member():
+    import gzip
+
+    rng = random.Random(8)
+    body = lambda k: f"payload {k} {rng.randbytes(700).hex()}".encode()
+    plain = [gzip.decompress(warc._record(k, f"http://x/{k}", b := body(k), hashlib.sha256(b).hexdigest(), None, "1970-01-01T00:00:00Z")) for k in range(60)]
+
+    def read(content):
+        out = list(warc.salvage(content))
+        return [int(h["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")) for _, _, h, _, p in out if p is None], [(a, b, p) for a, b, h, _, p in out if p is not None]
+
+    whole = gzip.compress(b"".join(plain), mtime=0)
+    assert read(whole) == (list(range(60)), [])
+    for lost in ([0], [30], [0, 1, 30, 59]):
+        held = [p.replace(b"payload", b"PAYLOAD") if k in lost else p for k, p in enumerate(plain)]
+        good, gaps = read(gzip.compress(b"".join(held), mtime=0) + gzip.compress(plain[0]))
+        assert good == [k for k in range(60) if k not in lost] + [0]
+        assert len(gaps) == len([k for k in lost if k - 1 not in lost]) and all(p == "block digest differs" for *_, p in gaps)
+    half = whole[: len(whole) // 2]
+    for content, after in ((half, []), (half + gzip.compress(plain[7]), [7]), (half + plain[7], [7])):
+        good, gaps = read(content)
+        head = good[: len(good) - len(after)]
+        assert head == list(range(len(head))) and 25 <= len(head) <= 31 and good[len(head) :] == after
+        assert len(gaps) == 1 and gaps[0][1] == len(half)
+    good, gaps = read(whole[:-8])
+    assert good == list(range(60)) and [p for *_, p in gaps] == [warc.TRUNCATED]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0x10
+    good, gaps = read(bytes(flipped) + gzip.compress(plain[3]))
+    assert good[-1] == 3 and len(good) >= 27 and set(good[:25]) == set(range(25)) and gaps
+    stored = bytearray(gzip.compress(b"".join(plain), 0, mtime=0))
+    stored[stored.index(b"payload 40")] ^= 0x20
+    good, gaps = read(bytes(stored))
+    assert good == [k for k in range(60) if k != 40] and gaps
