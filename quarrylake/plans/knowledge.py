@@ -295,9 +295,13 @@ def verified_scan(spark: S, d: str) -> DataFrame:
     return files.verify(found, listed).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+#: Rows of each delimited file that csv_file_scan writes and reads.
+CSV_ROWS = 5000
+
+
 def csv_file_scan(spark: S, d: str) -> DataFrame:
     path = scratch_path(spark, "delimited")
-    table(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition(4).write.option("header", True).option("sep", ";").csv(path)
+    table(spark, d, "part").select("p_partkey", "p_name", "p_size").write.option("maxRecordsPerFile", CSV_ROWS).option("header", True).option("sep", ";").csv(path)
     rows = files.delimited(files.scan(spark, path, "part-*"))
     return rows.select(F.get("cells", F.lit(0)).cast("long").alias("p_partkey"), F.get("cells", F.lit(1)).alias("p_name"), "encoding", "delimiter")
 

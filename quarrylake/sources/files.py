@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a delimited file that are held at a time.
+BATCH_ROWS = 10_000
+
 
 def scan(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, bytes, sha256, content) of all files below path whose name fits."""
@@ -43,10 +47,10 @@ def delimited(files: DataFrame) -> DataFrame:
                     text, encoding = content.decode("cp1251", "replace"), "cp1251"
                 first = text.split("\n", 1)[0]
                 mark = "," if first.count(",") > first.count(";") else ";"
-                rows = list(csv.reader(io.StringIO(text), delimiter=mark))
-                if len(rows) > 1:
-                    header = [h.strip() for h in rows[0]]
-                    out = [(path, n, encoding, mark, header, r) for n, r in enumerate(rows[1:], 2) if r]
+                rows = csv.reader(io.StringIO(text), delimiter=mark)
+                header = [h.strip() for h in next(rows, [])]
+                full = ((path, n, encoding, mark, header, r) for n, r in enumerate(rows, 2) if r)
+                while out := list(islice(full, BATCH_ROWS)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(run, "path string, row int, encoding string, delimiter string, header array<string>, cells array<string>")

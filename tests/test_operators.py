@@ -215,3 +215,15 @@ def test_embed_checks_batches(spark):
             vectors.embed(df, "t", wrong, 2).collect()
     with pytest.raises(ValueError, match="1 to 128"):
         vectors.embed(df, "t", lambda texts: [], 2, batch=129)
+
+
+def test_delimited_files_stay_bounded(spark, tmp_path, monkeypatch):
+    from quarrylake.plans import knowledge
+
+    part = spark.range(25_000).selectExpr("id as p_partkey", "concat('part;', id) as p_name", "1 as p_size")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(knowledge, "scratch_path", lambda s, label: str(tmp_path / label))
+    found = knowledge.csv_file_scan(spark, str(tmp_path))
+    assert found.count() == 25_000 and found.exceptAll(part.selectExpr("p_partkey", "p_name", "'utf-8'", "';'")).count() == 0
+    lines = [f.read_text().count("\n") for f in (tmp_path / "delimited").glob("part-*")]
+    assert sum(lines) - len(lines) == 25_000 and max(lines) <= 5001
