@@ -99,16 +99,19 @@ def test_components_with_a_hot_fingerprint(spark):
     assert all(found[k] >= 1500 for k in range(1500, 1520))
 
 
-def test_decontamination_matches_brute_force(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     items = [(k, " ".join(rng.choices(WORDS, k=n))) for k, n in enumerate((13, 20, 40, 5, 1, 12))] + [(6, None), (7, "..."), (None, "the river"), (0, " ".join(WORDS[:13]))]
     rows = awkward() + [(200 + k, f"Before: {t.upper()} -- after it all; {t}", "en", "a") for k, (_, t) in enumerate(items) if t]
     found = decontaminate.report(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # the same by shuffled joins
+    assert Counter(decontaminate.report(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("hash", "items").collect()) == Counter(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "contaminated")) for r in found)
+    monkeypatch.undo()
 
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
 
-    windows = {(i, tuple(w[s : s + min(13, len(w))])) for i, t in items if i is not None and (w := words(t)) for s in range(len(w) - min(13, len(w)) + 1)}
+    windows = {(i, tuple(w[s : s + min(13, len(w))])) for i, t in items if (w := words(t)) for s in range(len(w) - min(13, len(w)) + 1)}
     expected = []
     for i, t, *_ in rows:
         w, hit, named = words(t), set(), set()
@@ -117,7 +120,7 @@ def test_decontamination_matches_brute_force(spark):
             for s in range(len(w) - n + 1):
                 if tuple(w[s : s + n]) == window:
                     hit |= set(range(s, s + n))
-                    named.add(str(item))
+                    named |= {str(item)} - {"None"}
         expected.append((i, len(w), len(hit), tuple(sorted(named)), bool(hit) and 20 * len(hit) >= len(w)))
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in found) == Counter(expected)
     none = spark.createDataFrame([], "item_id long, text string")
@@ -130,8 +133,8 @@ def test_decontamination_matches_brute_force(spark):
 def test_proximity_finds_shuffled_words(spark):
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
     mixed = "bravo alpha delta charlie foxtrot echo golf india hotel kilo juliet mike lima november"
-    _, matches = decontaminate.search(docs_of(spark, [(1, mixed, "en", "a"), (2, item, "en", "a"), (3, "alpha only", "en", "a")]), spark.createDataFrame([(1, item)], "item_id long, text string"))
-    kinds = {(r["doc_id"], r["kind"]) for r in matches.collect()}
+    documents, matches = decontaminate.search(docs_of(spark, [(1, mixed, "en", "a"), (2, item, "en", "a"), (3, "alpha only", "en", "a")]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    kinds = {(r["doc_id"], r["kind"]) for r in matches.join(documents, "row").collect()}
     assert (1, "proximity") in kinds and (2, "phrase") in kinds and not any(d == 3 for d, _ in kinds)
 
 
@@ -420,3 +423,35 @@ def test_warc_salvage_inside_a_member():
     stored[stored.index(b"payload 40")] ^= 0x20
     good, gaps = read(bytes(stored))
     assert good == [k for k in range(60) if k != 40] and gaps
+
+
+def test_pii_takes_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"m{k}@host{k % 7}.example.org" for k in range(20_000))
+    docs = docs_of(spark, [(1, text, "en", "a"), (2, "plain words", "en", "a")])
+    start = time.time()
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert [(s["start"], s["stop"]) for s in found[1] if s["ok"] and s["kind"] == 0] == [m.span() for m in re.finditer(BASE["email"], text)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean == {1: " ".join(["[EMAIL]"] * 20_000), 2: "plain words"}
+    assert time.time() - start < 120
+
+
+def test_pii_label_model_and_classifier(spark):
+    rng = random.Random(4)
+    rows = [(k, f"Dear {rng.choice(pii.GIVEN)} {rng.choice(['Arnold', 'Meyer', 'Silva'])}, we met.", "en", "a") for k in range(60)]
+    rows += [(100 + k, f"and chapter {rng.choice(['Upper', 'Lower', 'Outer'])} {rng.choice(['Valley', 'River', 'Gate'])} ends", "en", "a") for k in range(60)]
+    rows.append((300, "Dear Zebulon Quist, we met.", "en", "a"))  # not in the gazetteer: known by its context
+    named = {r["doc_id"] for r in pii.find(docs_of(spark, rows)).collect() if any(pii.KINDS[s["kind"]] == "name" for s in r["spans"])}
+    assert named == {*range(60), 300}
+    # two labelers that agree outweigh one that is always silent
+    yes, no = 1 + 3 + 9 + 27 + 81, 2 + 6 + 18 + 54 + 162
+    p = pii.label_model([(0, yes, 50.0), (0, no, 50.0)])
+    assert p[yes] > 0.95 and p[no] < 0.05 and p[0] == 0.5
+
+
+def test_running_combines_what_stands_before(spark):
+    rows = [([rng % 7 for rng in range(n)],) for n in (0, 1, 2, 3, 10, 101)]
+    got = spark.createDataFrame(rows, "v array<int>").select("v", pii._running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("s")).collect()
+    assert all(r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] for r in got)
