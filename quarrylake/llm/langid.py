@@ -30,12 +30,12 @@ class Encoder:
         self.rows: dict[int, int] = {}
         self.matrix = np.zeros((1024, dimension), np.float32)
 
-    def trigrams(self, text: str | None):
-        """(codes, counts) of a text; none if it has no letter."""
+    def trigrams(self, text: bytes | None):
+        """(codes, counts) of a text in UTF-8, of which other bytes are no letters; none if it has no letter."""
         np = self.np
         if not text:
             return None
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         if (new := self.letter[points] < 0).any():
             for c in np.unique(points[new]).tolist():
                 self.letter[c] = chr(c).isalpha()
@@ -58,6 +58,7 @@ class Encoder:
         """The hypervector of counted trigrams."""
         np = self.np
         out = np.zeros(self.dimension, np.float64)
+        exact = np.float32 if counts.sum() < 1 << 24 else np.float64  # whole numbers up to here have no rounding
         for at in range(0, len(codes), CACHE_ROWS):
             part = codes[at : at + CACHE_ROWS].tolist()
             if len(self.rows) + len(part) > CACHE_ROWS:
@@ -69,7 +70,7 @@ class Encoder:
                         self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
                     a, b, c = code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
                     self.matrix[k] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-            out += counts[at : at + CACHE_ROWS].astype(np.float32) @ self.matrix[[self.rows[c] for c in part]]
+            out += counts[at : at + CACHE_ROWS].astype(exact) @ self.matrix[[self.rows[c] for c in part]]
         return out
 
 
@@ -91,7 +92,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
         encoder, sums = Encoder(dimension), {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (found := encoder.trigrams(text)) is not None:
                     own = sums.setdefault(lang, ([], []))
                     own[0].append(found[0])
@@ -105,7 +106,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     parts = known.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("at", "x"))
-    # halves of integers only: sums are exact, so their order does not matter
+    # whole numbers only: sums are exact, so their order does not matter
     sums = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).orderBy("lang").collect()
     return {r["lang"]: [x["x"] for x in r["v"]] for r in sums}
 
@@ -127,7 +128,7 @@ def predict(docs: DataFrame, prototypes: dict[str, object], text_col: str = "tex
         known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
                 name, score = UNKNOWN, 0.0
                 if languages and (found := encoder.trigrams(text)) is not None:
                     v = encoder.bundle(*found)
@@ -144,7 +145,12 @@ def predict(docs: DataFrame, prototypes: dict[str, object], text_col: str = "tex
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for each row of docs, learned from the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score) for each row of docs, learned from the rows that are not held out.
+
+    Null ids are never held out. Null texts and texts without a letter are und; bytes that are not UTF-8 count as no letters.
+    Repeated rows teach as often as they occur and each get their row. With nothing to learn from all texts are und. An empty
+    table gives an empty result; other columns are not read.
+    """
     held = is_held_out(F.col(id_col))
     prototypes = train(docs.where(~held), text_col, lang_col)
     return predict(docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")), prototypes)

@@ -18,6 +18,13 @@ STYLE = 6
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
 
+def _decoded(column) -> list[str]:
+    """Texts of an Arrow column: bytes that are not UTF-8 become U+FFFD, nulls the empty text."""
+    import pyarrow as pa
+
+    return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def _words(text: str) -> set[str]:
     import re
 
@@ -60,7 +67,7 @@ def examples(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
 
         for batch in batches:
             features, styles = [], []
-            for text in batch.column(1).to_pylist():
+            for text in _decoded(batch.column(1)):
                 words = _words(text)
                 features.append(np.unique(np.fromiter((h for w in words for h in _hashes(w)), np.int32)).tolist())
                 styles.append(_style(text, len(words)))
@@ -128,17 +135,33 @@ def _choose(features: list, y) -> list[int]:
     return seen[np.lexsort((seen, -gain))[:FEATURES]].tolist()
 
 
+def _table(features: list, picked: list[int], earlier, styles):
+    """The chosen features of each row as 0 and 1, then the earlier categories' logits and the style."""
+    import numpy as np
+
+    at = np.full(1 << HASH_BITS, -1)
+    at[picked] = np.arange(len(picked))
+    x = np.zeros((len(features), len(picked)))
+    for k, f in enumerate(features):
+        on = at[f]
+        x[k, on[on >= 0]] = 1
+    return np.concatenate([x, earlier, styles], axis=1)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """The links of the chain, one for each category in order: chosen features, weights and rejection threshold.
 
     A link sees words, style and the probabilities of all earlier categories. Later links are fitted to out-of-fold
     probabilities of the earlier ones, and thresholds are set on out-of-fold probabilities, so neither is flattered by rows
-    that a model has learned by heart. Without labels of both kinds a category has its base rate and rejects nothing.
+    that a model has learned by heart: a fold's words are chosen and weighed by the other folds alone, and rows with equal
+    features, as equal texts have, are in one fold. Without labels of both kinds a category has its base rate and rejects nothing.
     """
+    from zlib import crc32
+
     import numpy as np
 
     features, styles, known = examples(docs, labels, categories, id_col, text_col)
-    fold = np.arange(len(features)) % FOLDS
+    fold = np.array([crc32(f.tobytes()) % FOLDS for f in features], int)
     chain, earlier = [], np.zeros((len(features), 0))
     for c in categories:
         have = np.array([v is not None for v in known[c]], bool)
@@ -146,19 +169,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
         link = {"category": c, "index": {}, "weights": None, "rate": float((y[have].sum() + 0.5) / (have.sum() + 1)), "threshold": 2.0}
         own = np.full(len(features), link["rate"])
         if 3 <= y[have].sum() <= have.sum() - 3:
-            picked = _choose([f for f, h in zip(features, have, strict=True) if h], y[have])
-            at = np.full(1 << HASH_BITS, -1)
-            at[picked] = np.arange(len(picked))
-            x = np.zeros((len(features), len(picked)))
-            for k, f in enumerate(features):
-                on = at[f]
-                x[k, on[on >= 0]] = 1
-            x = np.concatenate([x, earlier, styles], axis=1)
             for k in range(FOLDS):
                 rest, out = have & (fold != k), fold == k
                 if 0 < y[rest].sum() < rest.sum():
+                    x = _table(features, _choose([f for f, h in zip(features, rest, strict=True) if h], y[rest]), earlier, styles)
                     own[out] = _prob(x[out], _fit(x[rest], y[rest]))
-            link |= {"index": {h: k for k, h in enumerate(picked)}, "weights": _fit(x[have], y[have]), "threshold": _threshold(own[have], y[have])}
+            picked = _choose([f for f, h in zip(features, have, strict=True) if h], y[have])
+            weights = _fit(_table(features, picked, earlier, styles)[have], y[have])
+            link |= {"index": {h: k for k, h in enumerate(picked)}, "weights": weights, "threshold": _threshold(own[have], y[have])}
         chain.append(link)
         earlier = np.concatenate([earlier, _logit(own)[:, None]], axis=1)
     return chain
@@ -188,7 +206,7 @@ def score(docs: DataFrame, chain: list[dict], text_col: str = "text") -> DataFra
 
         memo: dict[str, tuple] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = _decoded(batch.column(batch.num_columns - 1))
             on, styles = [], np.zeros((len(texts), STYLE))
             for k, text in enumerate(texts):
                 words = _words(text)
@@ -226,13 +244,17 @@ CHAIN = ["low_quality", "toxic"]
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_low_quality, is_low_quality, p_toxic, is_toxic) for each row of docs."""
+    """(doc_id, p_low_quality, is_low_quality, p_toxic, is_toxic) for each row of docs.
+
+    Null texts count as empty; empty texts, null ids and repeated rows are judged like others. Without labels of both kinds,
+    or with an empty label table, nothing is rejected. An empty table gives an empty result; other columns are not read.
+    """
     chain = train(docs, categories_of(labels, id_col), CHAIN, id_col, text_col)
     return score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), chain)
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the chain finds toxic; one scan, no shuffle of texts."""
+    """docs without the rows that the chain finds toxic; one scan, no shuffle of texts; all columns as they were. See judge()."""
     chain = train(docs, categories_of(labels, id_col), CHAIN, id_col, text_col)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("judged"))
     return score(held, chain, "judged").where(~F.col("is_toxic")).select("row.*")

@@ -80,7 +80,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_URLS) -> dict | None:
     bound. Every fifth one calibrates a logistic curve over the ratio, both kinds weighing the same.
     """
     known = labelled.where("url is not null").dropDuplicates(["url"])
-    urls = {v: [r["url"].encode() for r in known.where(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(rows).select("url").collect()] for v in ("allow", "block")}
+    urls = {v: [bytes(r["url"]) for r in known.where(F.col("verdict") == v).orderBy(F.xxhash64("url"), "url").limit(rows).select(F.col("url").cast("binary").alias("url")).collect()] for v in ("allow", "block")}
     if not urls["allow"] or not urls["block"]:
         return None
     cut = lambda u, rest: [x for k, x in enumerate(u) if (k % 5 == 4) == rest] or u
@@ -103,7 +103,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     A URL that a rule fits has the rule's verdict. The others are judged by how much better the model of the allowed URLs
     explains them than that of the blocked ones, for each byte; p_allow is the calibrated probability, and one half or more
     allows. Without URLs of both kinds, and for null URLs, there is no ratio and the verdict is allow. Repeated rows each
-    get their row; other columns are not read.
+    get their row; other columns are not read. Models see bytes, so a URL need not be valid UTF-8.
     """
     host, path = host_path(F.col(url_col))
     held = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
@@ -117,10 +117,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         memo: dict = {}
         for batch in batches:
             out = []
-            for url, ruled in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for url, ruled in zip(batch.column(5).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 p = None
                 if model and url is not None and ruled is None:
-                    z = model["slope"] * ratio(url.encode(), model["good"], model["bad"], memo) + model["shift"]
+                    z = model["slope"] * ratio(url, model["good"], model["bad"], memo) + model["shift"]
                     p = round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 6)
                 out.append(p)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64())], names=[*batch.schema.names[:5], "p_allow"])

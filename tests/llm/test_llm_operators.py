@@ -455,3 +455,70 @@ def test_running_combines_what_stands_before(spark):
     rows = [([rng % 7 for rng in range(n)],) for n in (0, 1, 2, 3, 10, 101)]
     got = spark.createDataFrame(rows, "v array<int>").select("v", pii._running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("s")).collect()
     assert all(r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] for r in got)
+
+
+def test_texts_that_are_not_utf8(spark):
+    raw = docs_of(spark, [(k, "the thing there", "en", "a") for k in range(20)]).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.expr("cast(X'66FF6F2074FE68' as string)")).otherwise(F.col("text")))
+    labels = spark.createDataFrame([(k, 1, int(k % 2 == 0)) for k in range(20)], "doc_id long, quality int, toxic int")
+    assert {r["is_toxic"] for r in toxicity.judge(raw, labels).where("doc_id % 2 = 0").collect()} == {True}
+    assert langid.identify(raw).where("lang_pred = 'en'").count() == 20
+    assert langid.Encoder().trigrams(b"\xff\xfe 12") is None
+    pages = raw.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://x.org/"), "text").alias("url"))
+    assert urlfilter.judge(pages).count() == 20 and urlfilter.judge(pages.withColumn("url", F.concat(F.lit("http://y/"), "url"))).count() == 20
+
+
+def test_language_prediction_matches_brute_force(spark):
+    import numpy as np
+
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choices(["abba", "Cäsar", "delta", "x1y"], k=4)), "de" if k % 2 else "en", "a") for k in range(40)]
+
+    def letter(c):
+        return 2 * np.random.Generator(np.random.PCG64([langid.SEED, ord(c)])).integers(0, 2, langid.DIMENSION) - 1
+
+    def vector(text):
+        plain = " " + re.sub("[^a-zäöü]+", " ", text.lower()).strip() + " "
+        return sum(np.roll(letter(plain[i]), 2) * np.roll(letter(plain[i + 1]), 1) * letter(plain[i + 2]) for i in range(len(plain) - 2))
+
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = {la: sum(vector(t) for i, t, x, _ in rows if x == la and not out(i)) for la in ("de", "en")}
+    for r in langid.identify(docs_of(spark, rows)).collect():
+        v = vector(rows[r["doc_id"]][1])
+        cosines = {la: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for la, p in known.items()}
+        best = max(sorted(cosines), key=lambda la: round(cosines[la], 12))
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(min(1, max(0, cosines[best])), abs=1e-6)
+
+
+def test_url_ratio_matches_brute_force():
+    urls = [b"http://a/xx", b"http://a/xyx", b"http://b/x"]
+    model, order = urlfilter.MarkovModel(urls), urlfilter.ORDER
+    text = [b"\n" * order + u + b"\n" for u in urls]
+
+    def p(context, byte, k):
+        """Witten-Bell from the definition: counts of a context of k bytes mixed with those of the next shorter one."""
+        below = 1 / 256 if k == 0 else p(context, byte, k - 1)
+        c = context[len(context) - k :]
+        after = [t[i] for t in text for i in range(order, len(t)) if t[i - k : i] == c]
+        if not after or (k and len(after) < urlfilter.LEAST):
+            return below if not after or k == 0 else p(context, byte, k - 1)
+        return (after.count(byte) + len(set(after)) * below) / (len(after) + len(set(after)))
+
+    for probe in (b"http://a/xyx", b"zz"):
+        padded = b"\n" * order + probe + b"\n"
+        for i in range(order, len(padded)):
+            assert model.probability(padded[i - order : i], padded[i]) == pytest.approx(p(padded[i - order : i], padded[i], order))
+
+
+def test_toxicity_folds_hold_equal_texts_together(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(1)
+    features = [np.unique(np.array(rng.sample(range(500), 5), np.int32)) for _ in range(40)] * 3  # every text three times
+    labels = [rng.random() < 0.5 for _ in range(40)] * 3  # nothing to learn
+    monkeypatch.setattr(toxicity, "examples", lambda *_: (features, np.zeros((120, toxicity.STYLE)), {"toxic": labels}))
+    seen = []
+    threshold = toxicity._threshold
+    monkeypatch.setattr(toxicity, "_threshold", lambda p, y: seen.append((p, y)) or threshold(p, y))
+    toxicity.train(None, None, ["toxic"])
+    p, y = seen[0]
+    assert abs(p[y == 1].mean() - p[y == 0].mean()) < 0.25  # out-of-fold probabilities know nothing of random labels
