@@ -186,6 +186,7 @@ def test_mix_meets_targets(spark):
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
         assert 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is not None) == (r["taken"] > 0)
+        assert len(r["positions"]) == (r["taken"] > 0) + (r["taken"] > r["size"]) and r["positions"] == sorted(r["positions"])
     assert all(math.floor(target[s]) == taken[s] and target[s] <= 2 * held[s] for s in held)
     assert sum(target.values()) == pytest.approx(1.5 * sum(held.values()))
     free = [target[s] / w for s, w in zip(sorted(held, key=lambda s: (s is None, s or "")), [3, 1, 2] * 3, strict=False) if target[s] < 2 * held[s]]
