@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: the session's spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a fresh temporary folder of its own.
+    Only a local session without that setting (a test) gets a fresh temporary folder of its own. Elsewhere executors would each
+    write to their own disk, so a session without it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylake-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
