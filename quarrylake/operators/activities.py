@@ -1,0 +1,108 @@
+"""Checks of delimited activity files: the header, then every row by the first rule that it breaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarrylake.operators.tabular import NUMERIC, first_failure, mark_later
+
+# Columns of an activity file in their order, those that must be there, kinds of links, default limits.
+COLUMNS = ("activity_id", "activity_name", "volume", "measurement", "structure", "edges", "granular_unit")
+REQUIRED = COLUMNS[:4]
+LINKS = ("FS", "SS", "FF", "SF")
+MAX_COLUMNS, MAX_CELL, MAX_ITEMS, MAX_DEPTH = 16, 16_000, 64, 3
+SPACE = " \t\n\r\f\x0b"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE))
+
+
+def header_problem(header: Column, max_columns: int = MAX_COLUMNS, max_cell: int = MAX_CELL) -> Column:
+    """The code of the first rule that a header, an array of names, breaks; null if none."""
+    names = F.transform(header, _trimmed)
+    return first_failure([
+        ("E_EMPTY_CONTENT", F.coalesce(F.size(header), F.lit(0)) < 1),
+        ("E_LIMIT_CELL", F.exists(header, lambda c: F.length(c) > max_cell)),
+        ("E_LIMIT_COLS", F.size(header) > max_columns),
+        ("E_HEADER_DUPLICATE", F.size(F.array_distinct(names)) < F.size(names)),
+        ("E_HEADER_UNKNOWN", F.size(F.array_except(names, F.array(*map(F.lit, COLUMNS)))) > 0),
+        ("E_REQUIRED_MISSING", F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), names)) > 0),
+    ])
+
+
+def _nested(cell: Column, own: list[tuple[str, Column]], max_depth: int) -> list[tuple[str, Column]]:
+    """Rules of a cell that holds JSON, its own ones behind those of all; a blank cell breaks none."""
+    bare = F.regexp_replace(F.regexp_replace(cell, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    for _ in range(max_depth):  # each turn takes away the innermost brackets
+        bare = F.regexp_replace(bare, r"\[\]|\{\}", "")
+    rules = [("E_NESTED_INVALID", F.try_parse_json(cell).isNull()), ("E_LIMIT_NESTED", bare != ""), *own]
+    return [(code, (_trimmed(cell) != "") & F.coalesce(failed, F.lit(True))) for code, failed in rules]
+
+
+def _text(v: Column) -> Column:
+    """Whether a variant is a text that is not blank."""
+    return (F.schema_of_variant(v) == "STRING") & (_trimmed(F.try_variant_get(v, "$", "string")) != "")
+
+
+def _listed(cell: Column, code: str, width: int, fits, max_items: int) -> list[tuple[str, Column]]:
+    """Rules of a list of entries of width values for which fits(entry) holds."""
+    value = F.try_parse_json(cell)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    entries = F.try_variant_get(value, "$", "array<array<variant>>")
+    good = F.forall(entries, lambda e: F.when(F.size(e) == width, F.coalesce(fits(e), F.lit(False))).otherwise(False))
+    return [(code, items.isNull()), ("E_LIMIT_NESTED", F.size(items) > max_items), (code, ~good)]
+
+
+def _whole(v: Column) -> Column:
+    return F.schema_of_variant(v) == "BIGINT"
+
+
+def structure_rules(cell: Column, max_items: int = MAX_ITEMS, max_depth: int = MAX_DEPTH) -> list[tuple[str, Column]]:
+    """A list of (code, name, level, priority)."""
+    fits = lambda e: _text(e[0]) & _text(e[1]) & _whole(e[2]) & _whole(e[3])
+    return _nested(cell, _listed(cell, "E_STRUCTURE_INVALID", 4, fits, max_items), max_depth)
+
+
+def edge_rules(cell: Column, max_items: int = MAX_ITEMS, max_depth: int = MAX_DEPTH) -> list[tuple[str, Column]]:
+    """A list of (predecessor, kind of link, lag)."""
+    fits = lambda e: _text(e[0]) & F.try_variant_get(e[1], "$", "string").isin(*LINKS) & _whole(e[2])
+    return _nested(cell, _listed(cell, "E_EDGE_INVALID", 3, fits, max_items), max_depth)
+
+
+def unit_rules(cell: Column, max_depth: int = MAX_DEPTH) -> list[tuple[str, Column]]:
+    """An object with code, name, measurement and perhaps category, or a list of these four."""
+    value = F.try_parse_json(cell)
+    keys = F.json_object_keys(cell)
+    four = F.try_variant_get(value, "$", "array<variant>")
+    names = ("code", "name", "measurement", "category")
+    own = {n: F.when(keys.isNotNull(), F.try_variant_get(value, f"$.{n}", "variant")).otherwise(F.get(four, F.lit(k))) for k, n in enumerate(names)}
+    shape = F.when(keys.isNotNull(), F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0).otherwise(F.coalesce(F.size(four) == 4, F.lit(False)))
+    category = own["category"].isNull() | F.is_variant_null(own["category"]) | (F.schema_of_variant(own["category"]) == "STRING")
+    good = shape & _text(own["code"]) & _text(own["name"]) & _text(own["measurement"]) & category
+    return _nested(cell, [("E_GRANULAR_UNIT_INVALID", ~F.coalesce(good, F.lit(False)))], max_depth)
+
+
+def row_problems(rows: DataFrame, header: list[str], cells: str = "cells", order: str = "row", max_cell: int = MAX_CELL, max_items: int = MAX_ITEMS, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """rows with problem: the code of the first rule that a row of cells breaks, null if none.
+
+    Rules in order: width, cell size, blank required cells, an id that an earlier row has, the number's form, a number beyond
+    the range of doubles, structure, edges, granular unit. Every row is judged, so the least row with a problem is where a
+    reader that stops at the first one stops. A null row of cells has no width; null cells are blank. Ids are compared without
+    surrounding space; of an id that repeats, all rows but the first are marked. An empty table gives an empty result.
+    """
+    place = {name: k for k, name in enumerate(header)}
+    cell = lambda name: F.coalesce(F.get(cells, F.lit(place[name])), F.lit("")) if name in place else F.lit("")
+    marked = mark_later(rows.withColumn("__id", F.when(_trimmed(cell("activity_id")) != "", _trimmed(cell("activity_id")))), "__id", order, "__later")
+    number = _trimmed(cell("volume"))
+    rules = [
+        ("E_ROW_WIDTH", F.coalesce(F.size(cells) != len(header), F.lit(True))),
+        ("E_LIMIT_CELL", F.exists(cells, lambda c: F.length(c) > max_cell)),
+        ("E_REQUIRED_MISSING", F.array_contains(F.array(*(_trimmed(cell(n)) for n in ("activity_id", "activity_name", "measurement"))), "")),
+        ("E_DUPLICATE_ID", F.col("__later") & F.col("__id").isNotNull()),
+        ("E_VOLUME_INVALID", ~number.rlike(NUMERIC)),
+        ("E_VOLUME_NON_FINITE", F.abs(number.try_cast("double")) == F.lit(float("inf"))),
+        *structure_rules(cell("structure"), max_items, max_depth), *edge_rules(cell("edges"), max_items, max_depth), *unit_rules(cell("granular_unit"), max_depth),
+    ]
+    return marked.withColumn("problem", first_failure(rules)).drop("__id", "__later")

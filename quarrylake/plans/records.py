@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylake.operators import graph, news, search, tabular, vectors
+from quarrylake.operators import activities, graph, news, search, tabular, vectors
 from quarrylake.plans.graphs import _edges, _nodes
 from quarrylake.sources import files
 from quarrylake.storage import scratch_path, stash, table
@@ -75,6 +75,22 @@ def csv_row_validation(spark: S, d: str) -> DataFrame:
     return marked.select("p_partkey", tabular.first_failure(checks).alias("problem"))
 
 
+def activity_file_checks(spark: S, d: str) -> DataFrame:
+    """Rows of an activity file, made from parts, by the first rule that they break."""
+    key = F.col("p_partkey")
+    quoted = lambda c: F.expr(f"substring(to_json(named_struct('x', {c})), 6, length(to_json(named_struct('x', {c}))) - 6)")
+    structure = F.when(key % 13 == 0, "[broken").when(key % 17 == 0, '[["b","t","1",2]]').when(key % 19 == 0, '{"a":1}')
+    structure = structure.otherwise(F.concat(F.lit("[["), quoted("p_brand"), F.lit(","), quoted("p_type"), F.lit(","), F.col("p_size") % 3 + 1, F.lit(",0]]")))
+    edges = F.when(key % 23 == 0, '[["a1","XX",1]]').when(key % 41 == 0, "").otherwise(F.concat(F.lit('[["a'), key - 1, F.lit('","FS",'), F.col("p_size"), F.lit("]]")))
+    unit = F.when(key % 43 == 0, '{"code":"u"}').otherwise(F.concat(F.lit('{"code":'), quoted("p_brand"), F.lit(',"name":'), quoted("p_type"), F.lit(',"measurement":"m"}')))
+    cells = F.array(
+        F.when(key % 29 == 0, F.concat(F.lit(" a"), key - 1, F.lit(" "))).otherwise(F.concat(F.lit("a"), key)), F.when(key % 37 == 0, " ").otherwise(F.col("p_name")),
+        F.when(key % 7 == 0, "1,5").when(key % 11 == 0, "1e999").otherwise(F.col("p_size").cast("string")), F.col("p_brand"), structure, edges, unit,
+    )
+    rows = table(spark, d, "part").select("p_partkey", F.when(key % 31 == 0, F.slice(cells, 1, 6)).otherwise(cells).alias("cells"))
+    return activities.row_problems(rows, list(activities.COLUMNS), order="p_partkey").select("p_partkey", "problem")
+
+
 def _vowels(texts: list[str]) -> list[list[float]]:
     return [[float(t.count(c)) for c in "aeiou"] for t in texts]
 
@@ -290,7 +306,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -311,6 +327,28 @@ p AS (SELECT l_suppkey, v AS wanted FROM t WHERE l_suppkey % 7 <> 0),
 l AS (SELECT l_suppkey, v + CASE WHEN l_suppkey % 13 = 0 THEN 0.5 ELSE 0 END AS found FROM t WHERE l_suppkey % 11 <> 0)
 SELECT l_suppkey, wanted, found, CASE WHEN found IS NULL THEN 'missing' WHEN wanted IS NULL THEN 'extra' WHEN abs(found - wanted) > greatest(1e-6, abs(wanted) * 1e-12) THEN 'differs' END AS problem
 FROM p FULL JOIN l USING (l_suppkey)""",
+    "activity_file_checks": """
+WITH p AS (
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 29 = 0 THEN 'a' || (p_partkey - 1) ELSE 'a' || p_partkey END AS id, CASE WHEN p_partkey % 37 = 0 THEN ' ' ELSE p_name END AS name,
+         CASE WHEN p_partkey % 7 = 0 THEN '1,5' WHEN p_partkey % 11 = 0 THEN '1e999' ELSE CAST(p_size AS VARCHAR) END AS volume,
+         CASE WHEN p_partkey % 13 = 0 THEN '[broken' WHEN p_partkey % 17 = 0 THEN '[["b","t","1",2]]' WHEN p_partkey % 19 = 0 THEN '{"a":1}'
+              ELSE CAST(json_array(json_array(p_brand, p_type, p_size % 3 + 1, 0)) AS VARCHAR) END AS structure,
+         CASE WHEN p_partkey % 23 = 0 THEN '[["a1","XX",1]]' WHEN p_partkey % 41 = 0 THEN '' ELSE CAST(json_array(json_array('a' || (p_partkey - 1), 'FS', p_size)) AS VARCHAR) END AS edges,
+         CASE WHEN p_partkey % 43 = 0 THEN '{"code":"u"}' ELSE CAST(json_object('code', p_brand, 'name', p_type, 'measurement', 'm') AS VARCHAR) END AS unit
+  FROM part),
+j AS (
+  SELECT *, k > min(k) OVER (PARTITION BY id) AS later,
+         CASE WHEN json_valid(structure) THEN structure END AS js, CASE WHEN json_valid(edges) THEN edges END AS je, CASE WHEN json_valid(unit) THEN unit END AS ju
+  FROM p)
+SELECT k AS p_partkey, CASE
+  WHEN k % 31 = 0 THEN 'E_ROW_WIDTH' WHEN trim(name) = '' THEN 'E_REQUIRED_MISSING' WHEN later THEN 'E_DUPLICATE_ID'
+  WHEN NOT regexp_full_match(volume, '[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN 'E_VOLUME_INVALID' WHEN volume = '1e999' THEN 'E_VOLUME_NON_FINITE'
+  WHEN js IS NULL THEN 'E_NESTED_INVALID'
+  WHEN json_type(js) <> 'ARRAY' OR json_array_length(js, '$[0]') <> 4 OR json_type(js, '$[0][0]') <> 'VARCHAR' OR json_type(js, '$[0][1]') <> 'VARCHAR'
+       OR json_type(js, '$[0][2]') <> 'UBIGINT' OR json_type(js, '$[0][3]') <> 'UBIGINT' THEN 'E_STRUCTURE_INVALID'
+  WHEN edges <> '' AND (json_array_length(je, '$[0]') <> 3 OR json_extract_string(je, '$[0][1]') NOT IN ('FS', 'SS', 'FF', 'SF') OR json_type(je, '$[0][2]') <> 'UBIGINT') THEN 'E_EDGE_INVALID'
+  WHEN json_extract_string(ju, '$.name') IS NULL OR json_extract_string(ju, '$.measurement') IS NULL THEN 'E_GRANULAR_UNIT_INVALID' END AS problem
+FROM j""",
     "csv_row_validation": """
 WITH r AS (
   SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'a' || (p_partkey - 1) ELSE 'a' || p_partkey END AS id,
