@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from quarrylake.storage import discard, stash
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over distinct (u, v) with u > v: neighbours are hung on the least node of the neighbourhood.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star step over stashed distinct (u, v) with u > v: neighbours are hung on the least node of the neighbourhood.
 
     The large step moves the greater neighbours of every node, the small step moves the smaller ones and the node.
-    Minima are aggregated and joined back, so a hub's neighbours are never gathered in one row.
+    Minima are written and joined back. That join reads written tables on both sides, so Spark broadcasts minima that are
+    small and cuts the part of a hub where they are not; a hub's neighbours meet neither in one row nor in one task.
     """
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stash(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components")
+        moved = edges.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), "components")
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    hung = stash(moved.where("u <> v").distinct(), "components")
+    discard(least)
+    return hung
 
 
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -41,9 +44,10 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        following = stash(_stars(_stars(current, large=True), large=False), "components")
+        hung = _star(current, large=True)
+        following = _star(hung, large=False)
         mark = _mark(following)
-        discard(current)
+        discard(current, hung)
         current = following
         if mark == seen:
             break

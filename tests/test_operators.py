@@ -227,3 +227,10 @@ def test_delimited_files_stay_bounded(spark, tmp_path, monkeypatch):
     assert found.count() == 25_000 and found.exceptAll(part.selectExpr("p_partkey", "p_name", "'utf-8'", "';'")).count() == 0
     lines = [f.read_text().count("\n") for f in (tmp_path / "delimited").glob("part-*")]
     assert sum(lines) - len(lines) == 25_000 and max(lines) <= 5001
+
+
+def test_components_with_hubs(spark):
+    pairs = [(0, k) for k in range(1, 3000)] + [(9000, k) for k in range(5000, 8000)] + [(2999, 5000), (10000, 10001)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert len(found) == 3000 + 3001 + 2
+    assert {found[k] for k in (0, 2999, 5000, 7999, 9000)} == {0} and found[10001] == 10000
