@@ -315,7 +315,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     Repeated rows and null ids are kept; all other columns stay as they were. An empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
-    light = stash(annotate(docs.select(text_col), text_col).where("size(pii) > 0").select("pii"), "pii-candidates")
+    # no filter on the candidates here: Spark would push it below the projections and compute each of them several times
+    light = stash(annotate(docs.select(text_col), text_col).select("pii"), "pii-candidates")
     weights = fit(light)
     discard(light)
     kinds = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
