@@ -60,13 +60,14 @@ def duplicate_links(records: DataFrame, id_col: str, keys: dict[str, Column]) ->
 def duplicate_groups(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
     """(node, component): records that exact keys join, each with the smallest id of its group.
 
-    Each record is linked to the smallest id with its key, found by an aggregate, so a key that many records share is never
-    gathered in one task.
+    Each record is linked to the smallest id with its key, by the hash of the key. The smallest ids come from an aggregate
+    and are written before they are joined back, so Spark broadcasts them or cuts the part of a frequent key.
     """
     found = None
     for key in keys.values():
-        held = records.select(F.col(id_col).alias("v"), key.alias("k")).where("trim(k) <> ''")
-        linked = held.join(held.groupBy("k").agg(F.min("v").alias("u"), F.count("*").alias("n")).where("n > 1"), "k").select("u", "v")
+        held = records.select(F.col(id_col).alias("v"), key.alias("k")).where("trim(k) <> ''").select("v", F.sha2("k", 256).alias("k"))
+        least = stash(held.groupBy("k").agg(F.min("v").alias("u"), F.count("*").alias("n")).where("n > 1"), "least-ids")
+        linked = held.join(least, "k").select("u", "v")
         found = linked if found is None else found.unionByName(linked)
     return connected_components(found)
 

@@ -22,10 +22,11 @@ def first_failure(checks: list[tuple[str, Column]]) -> Column:
 def mark_later(df: DataFrame, key: str, order: str, into: str) -> DataFrame:
     """df with a flag that is true for every row but the first, by order, of a trimmed key; nulls are one key.
 
-    The first row of a key is found by an aggregate and joined back, so a frequent key is never sorted in one task.
+    The first row of a key is found by an aggregate, written and joined back: Spark broadcasts the first rows where they are
+    few and cuts the part of a frequent key where they are not, so its rows never meet in one task.
     """
     place = F.trim(F.col(key))
-    first = df.groupBy(place.alias("__key")).agg(F.min(order).alias("__first"))
+    first = stash(df.groupBy(place.alias("__key")).agg(F.min(order).alias("__first")), "first-rows")
     return df.join(first, place.eqNullSafe(F.col("__key")), "left").withColumn(into, F.col(order) > F.col("__first")).drop("__key", "__first")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.operators import news, search, tabular, text, vectors
 from quarrylake.sources import files
-from quarrylake.storage import scratch_path, table
+from quarrylake.storage import scratch_path, stash, table
 from quarrylake.streaming import telemetry
 
 S = SparkSession
@@ -227,7 +227,7 @@ def url_outcomes(spark: S, d: str) -> DataFrame:
 
 def corpus_dedup(spark: S, d: str) -> DataFrame:
     held = table(spark, d, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("h"))
-    first = held.groupBy("h").agg(F.min("doc_id").alias("kept"))
+    first = stash(held.groupBy("h").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1"), "first-texts")
     return held.join(first, "h").where("doc_id <> kept").select("doc_id", "kept")
 
 
@@ -255,7 +255,8 @@ def answer_text_normalize(spark: S, d: str) -> DataFrame:
 
 
 def split_leakage(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("text")).join(table(spark, d, "benchmark").select("text"), "text", "left_semi").agg(F.count("*").alias("leaked"))
+    hashed = lambda name: table(spark, d, name).select(F.sha2("text", 256).alias("h"))
+    return hashed("documents").join(hashed("benchmark").distinct(), "h", "left_semi").agg(F.count("*").alias("leaked"))
 
 
 def _points(spark: S, d: str) -> DataFrame:
