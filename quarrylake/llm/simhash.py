@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.operators.components import connected_components
-from quarrylake.storage import stash
+from quarrylake.storage import discard, stash
 
 RADIUS = 4
 SHINGLE_WORDS = 4
@@ -20,25 +20,42 @@ BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 SEED = 42
 #: A fingerprint that at least one in so many rows share is joined by broadcast; there are no more such fingerprints than this.
 HOT_SHARE = 1000
+#: Near-duplicates by similarity: words of a shingle, least Jaccard similarity of two sets of shingles, and the bits by which
+#: two fingerprints of candidates may differ. Texts at the least similarity differ in about nine bits, hardly ever in over 17.
+SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, 0.8, 20
+#: Shards of a document in the search by similarity, one for each of so many least hashes of its shingles. Two texts of
+#: similarity s share no shard with probability (1 - s) ** KEYS: 0.00006 at 0.8.
+KEYS = 6
+#: Most texts and most shingles of a piece of a group whose similarities are computed.
+PIECE_ROWS, PIECE_SHINGLES = 1024, 1 << 22
+#: Counts of a text's shingles by their first bits, which bound how many two texts can share.
+BOUND_BITS = 9
 ROW = "__simhash_row"
 
 
-def simhash(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of UTF-8 text: A-Z lower-cased, words split at ASCII white space, shingles of width words."""
+def shingle_hashes(text: bytes | None, width: int = SHINGLE_WORDS):
+    """XXH64 of each shingle of UTF-8 text, repeats included: A-Z lower-cased, words split at ASCII white space, shingles of
+    width words; fewer words are one shingle, and no words have none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
+
+
+def simhash(hashes) -> int:
+    """The 64-bit SimHash of hashed shingles: a bit is 1 if it is set in over half of them; of none it is zero."""
+    import numpy as np
+
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -47,20 +64,37 @@ def simhash(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long): the fingerprint of every whole text; null and blank texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, keys: int = 0) -> DataFrame:
+    """(id, fp long, keys array<long>): the fingerprint of every whole text; null and blank texts have fingerprint zero.
+
+    keys holds the least of the text's shingle hashes under each of so many fixed shuffles of the hashes; a text without
+    words has none, and there is no such column if keys is 0.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
+        factors = [np.uint64(xxh64_intdigest(str(k), SEED) | 1) for k in range(keys)]
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.fromiter((simhash(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            fps, least, ends = [], [], [0]
+            for text in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(text.as_py(), width)
+                fps.append(simhash(hashes))
+                if keys:
+                    if len(hashes):
+                        mixed = hashes ^ (hashes >> np.uint64(31))
+                        least += [(mixed * f).min() for f in factors]
+                    ends.append(len(least))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            if keys:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(least, np.uint64).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "keys"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    out = f"id {kind}, fp long" + (", keys array<long>" if keys else "")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
 class BKTree:
@@ -93,27 +127,71 @@ class BKTree:
         return found
 
 
-def _link_shard(members: list[int], queries: list[int], radius: int) -> dict[int, int]:
-    """Links of one shard as a star forest {fingerprint: root}; queries empty: the members among themselves."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Joined fingerprints; the root of a class is its least member."""
+
+    __slots__ = ("parent",)
 
-    def root(x: int) -> int:
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.get(x, x)) != x:
             parent[x] = parent.get(p, p)
             x = p
         return x
 
-    tree, among = BKTree(), not queries
+    def unite(self, x: int, y: int) -> None:
+        a, b = self.root(x), self.root(y)
+        self.parent[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple[int, int]]:
+        """A link from each joined fingerprint to its root."""
+        return [(x, root) for x in list(self.parent) if (root := self.root(x)) != x]
+
+
+def _link_shard(members: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links of one shard as a star forest; queries empty: the members among themselves."""
+    forest, tree, among = Forest(), BKTree(), not queries
     for fp in members:
         for other in tree.within(fp, radius) if among else ():
-            a, b = root(fp), root(other)
-            parent[max(a, b)] = min(a, b)
+            forest.unite(fp, other)
         tree.add(fp)
     for fp in queries:
         for other in tree.within(fp, radius):
-            a, b = root(fp), root(other)
-            parent[max(a, b)] = min(a, b)
-    return {x: root(x) for x in parent if root(x) != x}
+            forest.unite(fp, other)
+    return forest.links()
+
+
+def _link_similar(members: list[tuple], queries: list[tuple], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links of (fingerprint, distinct shingle hashes) with a Jaccard similarity of least or more, as a star forest.
+
+    The tree gives the candidates of a text. Those that are joined with it already are passed over; counts of shingles by
+    their first bits bound what the others can share, and only what the bound leaves is intersected.
+    """
+    import numpy as np
+
+    rows = members + queries
+    first = np.uint64(64 - BOUND_BITS)
+    counts = np.array([np.bincount((own >> first).astype(np.int64), minlength=1 << BOUND_BITS) for _, own in rows], np.int32)
+    sizes = np.array([len(own) for _, own in rows])
+    place = {fp: at for at, (fp, _) in enumerate(rows)}
+    forest, tree, among = Forest(), BKTree(), not queries
+    for at, (fp, own) in enumerate(rows):
+        asks = at >= len(members)
+        if among or asks:
+            mine = forest.root(fp)
+            near = np.array([place[other] for other in tree.within(fp, radius) if forest.root(other) != mine], np.int64)
+            need = least * (sizes[near] + sizes[at]) / (1 + least) - 1e-9
+            bound = np.minimum(counts[near], counts[at]).sum(axis=1)
+            for k in np.flatnonzero(bound >= need).tolist():
+                other, theirs = rows[near[k]]
+                if forest.root(other) != forest.root(fp) and len(np.intersect1d(own, theirs, assume_unique=True)) >= need[k]:
+                    forest.unite(fp, other)
+        if not asks:
+            tree.add(fp)
+    return forest.links()
 
 
 def _masks() -> list[int]:
@@ -128,59 +206,111 @@ def links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) ->
     """(u, v): links that connect exactly the distinct fingerprints of column fp that radius bits or fewer join.
 
     Each fingerprint goes to one shard per pair of bit blocks; two that differ in at most four bits meet in at least one
-    of the fifteen. A BK-tree is built and searched for each shard in the task where its rows meet. Shards of more than
-    shard_rows are cut into pieces by hash, and every two pieces meet in a task of their own, so no task holds more than
-    two pieces. A task returns the links of a shard as a star forest, never all pairs.
+    of the fifteen.
     """
     if radius > 4:
         raise ValueError("the block scheme is complete for a radius of at most 4")
     shards = fps.select("fp").distinct().select(
         "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(_masks())))).alias("shard")
     ).select("fp", "shard.pair", "shard.bits")
+    return search(shards, radius, shard_rows)
+
+
+def search(shards: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(u, v): links that connect the fingerprints of each shard (pair, bits) that radius bits or fewer join.
+
+    A BK-tree is built and searched for each shard in the task where its rows meet. Shards of more than shard_rows are cut
+    into pieces by hash, and every two pieces meet in a task of their own, so no task holds more than two pieces. A task
+    returns the links of a shard as a star forest, never all pairs. The rows of shards are distinct.
+    """
     shards = stash(shards, "simhash-shards")
     sizes = shards.groupBy("pair", "bits").count().where("count > 1").select("pair", "bits", F.ceil(F.col("count") / F.lit(shard_rows)).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    cells = (
-        shards.join(sizes, ["pair", "bits"])
-        .withColumn("own", piece)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select("pair", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("asks"), "fp")
-    )
-    keys = ["pair", "bits", "lo", "hi"]
+    cells = _cells(shards.join(sizes, ["pair", "bits"]), ["pair", "bits"], ["fp"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        def flush(members: list, queries: list, two: bool, out: list) -> None:
-            if len(members) + len(queries) > 1 and (queries or not two):
-                out += _link_shard(members, queries, radius).items()
+        values = lambda batch: batch.column(5).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+        for members, queries in _meetings(batches, 4, values):
+            yield _pairs(_link_shard(members, queries, radius))
+
+    return cells.mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_links(sets: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILAR) -> DataFrame:
+    """(u, v): links that connect the fingerprints of each group that are joined by similarity: a Jaccard similarity of least or
+    more and at most radius differing bits. sets has (group, fp, shingles), shingles distinct; it is read more than once.
+
+    Groups of more than PIECE_ROWS texts or PIECE_SHINGLES shingles are cut into pieces, every two of which meet in a task of
+    their own. A task returns a star forest.
+    """
+    pieces = F.greatest(F.ceil(F.count("*") / F.lit(PIECE_ROWS)), F.ceil(F.sum(F.size("shingles")) / F.lit(PIECE_SHINGLES))).cast("int")
+    large = stash(sets.groupBy("group").agg(pieces.alias("pieces")).where("pieces > 1"), "simhash-pieces")
+    cut = sets.join(large, "group", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    cells = _cells(cut, ["group"], ["fp", "shingles"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        def values(batch) -> list:
+            fps, lists = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64).tolist(), batch.column(5)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            return [(fp, flat[a:b]) for fp, a, b in zip(fps, [0, *ends], ends, strict=False)]
+
+        for members, queries in _meetings(batches, 3, values):
+            yield _pairs(_link_similar(members, queries, radius, least))
+
+    return cells.mapInArrow(run, "u long, v long").distinct()
+
+
+def _cells(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows with a number of pieces, dealt to the cells (keys, lo, hi) in which every two pieces of a key meet.
+
+    In a cell of two pieces the rows of the greater one ask; rows that do not ask stand first.
+    """
+    keyed = (
+        rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("asks"), *values)
+    )
+    cell = [*keys, "lo", "hi"]
+    return keyed.repartition(*cell).sortWithinPartitions(*cell, "asks", "fp")
+
+
+def _meetings(batches: Iterator, keys: int, values) -> Iterator[tuple[list, list]]:
+    """(members, queries) of each cell in sorted batches whose first columns are the cell's keys and then asks.
+
+    A cell of one piece has members alone. Cells in which nothing can be linked are passed over.
+    """
+    import numpy as np
+
+    last, members, queries = None, [], []
+    worth = lambda: len(members) + len(queries) > 1 and (queries or last[-2] == last[-1])
+    for batch in batches:
+        *cols, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys + 1))
+        rows = values(batch)
+        change = np.ones(len(rows), bool)
+        if len(rows) > 1:
+            change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        at = np.flatnonzero(change).tolist()
+        for a, b in zip(at, [*at[1:], len(rows)], strict=True):
+            key = tuple(c[a] for c in cols)
+            if key != last:
+                if worth():
+                    yield members, queries
+                last, members, queries = key, [], []
+            cut = a + int(np.count_nonzero(~asks[a:b]))
+            members += rows[a:cut]
+            queries += rows[cut:b]
+    if worth():
+        yield members, queries
+
+
+def _pairs(out: list[tuple[int, int]]):
+    import numpy as np
+    import pyarrow as pa
 
-        last, members, queries, two = None, [], [], False
-        for batch in batches:
-            *cols, asks, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            values = fp.view(np.uint64).tolist()
-            change = np.ones(len(fp), bool)
-            if len(fp) > 1:
-                change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-            at, out = np.flatnonzero(change).tolist(), []
-            for a, b in zip(at, [*at[1:], len(values)], strict=True):
-                key = tuple(c[a] for c in cols)
-                if key != last:
-                    flush(members, queries, two, out)
-                    last, members, queries, two = key, [], [], key[2] != key[3]
-                cut = a + int(np.count_nonzero(~asks[a:b]))
-                members += values[a:cut]
-                queries += values[cut:b]
-            yield _pairs(pa, np, out)
-        out = []
-        flush(members, queries, two, out)
-        yield _pairs(pa, np, out)
-
-    return cells.repartition(*keys).sortWithinPartitions(*keys, "asks", "fp").mapInArrow(run, "u long, v long").distinct()
-
-
-def _pairs(pa, np, out: list):
     both = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
@@ -195,7 +325,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = stash(fingerprints(docs, id_col, text_col, width), "simhash-fingerprints")
     classes = stash(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-classes")
-    joined = connected_components(links(classes, radius))
+    return _labelled(own, classes, connected_components(links(classes, radius)))
+
+
+def _labelled(own: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, fp, component): for each row of own the least id of its fingerprint's class, or of all classes joined with it.
+
+    Labels of fingerprints that many rows share are joined by broadcast.
+    """
     roots = joined.join(classes.withColumnRenamed("fp", "node"), "node")
     smallest = roots.groupBy("component").agg(F.min("least").alias("smallest"))
     label = roots.join(smallest, "component").select(F.col("node").alias("fp"), "smallest")
@@ -206,16 +343,44 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(hot, "fp").select("id", "fp", "component").unionByName(rare.select("id", "fp", "component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int = SIMILAR_WORDS) -> DataFrame:
+    """(group, fp, shingles array<long>): the distinct shingle hashes of each whole text of (group, fp, text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py(), width)).view(np.int64) for text in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["group", "fp", "shingles"])
+
+    return docs.select("group", "fp", "text").mapInArrow(run, "group long, fp long, shingles array<long>")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WORDS, least: float = SIMILAR) -> DataFrame:
     """docs without near-duplicates: of each class exactly one row stays, that with the smallest id; a null id is the greatest.
 
-    Of rows with equal ids the one with the smallest hash of its text stays, of rows that repeat an id and its text the first.
-    Rows are told apart by their number in a copy of docs in the shared folder, which fixes it.
+    Texts are linked by equal fingerprints or by a Jaccard similarity of least or more of their sets of width-word shingles; a
+    class is all that links connect. Fingerprints that share a least hash (see KEYS) and lie within SIMILAR_RADIUS bits in
+    their shard's BK-tree form groups of candidates, and the similarity of candidates is computed from the whole texts, so
+    only similar texts are linked. A link is missed where two texts share no least hash or differ in more bits.
+
+    Null and blank texts are one class. Of rows with equal ids the one with the smallest hash of its text stays, of rows that
+    repeat an id and its text the first. Rows are told apart by their number in a copy of docs in the shared folder, which
+    fixes it. An empty table gives an empty result; all columns of docs stay.
     """
     held = stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
-    text = F.col(text_col).cast("string")
+    text = F.col(text_col).cast("string").alias("text")
     key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row"))
-    found = components(held.select(key.alias("key"), text.alias("text")), "key", "text", radius)
+    own = stash(fingerprints(held.select(key.alias("key"), text), "key", "text", width, KEYS), "simhash-fingerprints")
+    classes = stash(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    shards = own.select("fp", F.posexplode("keys").alias("pair", "bits")).distinct()
+    near = connected_components(search(shards, SIMILAR_RADIUS))
+    chosen = near.join(classes, near["node"] == classes["fp"]).select(F.col("least.row").alias(ROW), "fp", F.col("component").alias("group"))
+    sets = stash(shingle_sets(held.select(ROW, text).join(chosen, ROW), width), "simhash-sets")
+    joined = connected_components(similar_links(sets, SIMILAR_RADIUS, least))
+    discard(sets)
+    found = _labelled(own, classes, joined)
     dropped = found.where("id <> component").select(F.col("id.row").alias(ROW))
     return held.join(dropped, ROW, "left_anti").drop(ROW)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from brute_force import brute_similar
 from pyspark.sql import functions as F
 
 from quarrylake.llm import decontaminate, langid, maxent, mixing, pii, simhash, spotsigs, toxicity, urlfilter, warc
@@ -91,6 +92,42 @@ def test_keep_one_keeps_the_smallest(spark):
     assert simhash.keep_one(docs_of(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("pieces", [(1024, 1 << 22), (5, 1 << 22), (1024, 400)])
+def test_keep_one_matches_all_pairs_by_similarity(spark, monkeypatch, pieces):
+    monkeypatch.setattr(simhash, "PIECE_ROWS", pieces[0])
+    monkeypatch.setattr(simhash, "PIECE_SHINGLES", pieces[1])
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    passage = rng.choices(words, k=40)
+    texts = {}
+    for _ in range(24):
+        base = rng.choices(words, k=rng.randint(40, 200))
+        if rng.random() < 0.5:
+            base += passage  # a passage that many texts share does not make them similar
+        for _ in range(rng.choice([1, 2, 6, 20])):
+            edited = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 35))):
+                edited[rng.randrange(len(edited))] = rng.choice(words)
+            texts[len(texts)] = " ".join(edited)
+    ids = list(texts)
+    rng.shuffle(ids)
+    roots = brute_similar(texts)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [(i, texts[i], "en", "s") for i in ids])).collect()}
+    expected = set(roots.values())
+    assert len(expected) < len(texts) / 2
+    assert kept == expected
+
+
+def test_keep_one_with_awkward_rows(spark):
+    rows = awkward()
+    docs = docs_of(spark, rows).withColumn("fp", F.lit("mine")).withColumn("group", F.lit(1)).withColumn("least", F.lit(None).cast("int"))
+    kept = simhash.keep_one(docs)
+    found = kept.collect()
+    assert kept.columns == docs.columns and {r["fp"] for r in found} == {"mine"}
+    assert Counter(r["text"] for r in found if r["doc_id"] in (100, 101, 102)) == Counter({None: 1})
+    assert len(found) == len({re.sub("[A-Z]", lambda m: m.group().lower(), t or "").strip() for _, t, *_ in rows})
+
+
 def test_components_with_a_hot_fingerprint(spark):
     rows = [(k, "one text that very many rows share", "en", "s") for k in range(10, 1500)] + [(k, f"text number {k} stands alone here", "en", "s") for k in range(1500, 1520)]
     found = {r["id"]: r["component"] for r in simhash.components(docs_of(spark, rows)).collect()}
