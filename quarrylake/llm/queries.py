@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the given tables, and their DuckDB SQL where SQL can express them."""
+"""Queries op1 to op13 over the given tables, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import decontaminate, langid, maxent, mixing, pii, simhash, spotsigs, toxicity, urlfilter, warc
+from quarrylake.llm import decontaminate, langid, maxent, mixing, mtree, pii, simhash, spotsigs, toxicity, urlfilter, warc
 from quarrylake.storage import table
 
 
@@ -180,6 +180,23 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op11_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of each fiftieth embedding; see mtree.nearest for nulls, ties, repeated rows and empty tables."""
+    return mtree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+MTREE_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -192,8 +209,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_decontamination": op8_positional_decontamination,
         "op9_simhash_bktree": op9_simhash_bktree,
         "op10_maxent_lm": op10_maxent_lm,
+        "op11_mtree_topk": op11_mtree_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spotsigs": SPOTSIGS_SQL, "op3_warc_salvage": WARC_SQL, "op5_curriculum_mix": MIX_SQL, "op8_positional_decontamination": DECONTAMINATION_SQL}
+    return {
+        "op1_spotsigs": SPOTSIGS_SQL,
+        "op3_warc_salvage": WARC_SQL,
+        "op5_curriculum_mix": MIX_SQL,
+        "op8_positional_decontamination": DECONTAMINATION_SQL,
+        "op11_mtree_topk": MTREE_SQL,
+    }

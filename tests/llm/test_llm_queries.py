@@ -14,14 +14,14 @@ def rows_of(df):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect()), key=str)
 
 
-@pytest.mark.parametrize("name", ["op1_spotsigs", "op3_warc_salvage", "op5_curriculum_mix", "op8_positional_decontamination"])
+@pytest.mark.parametrize("name", ["op1_spotsigs", "op3_warc_salvage", "op5_curriculum_mix", "op8_positional_decontamination", "op11_mtree_topk"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     cursor = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
