@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import decontaminate, langid, maxent, mixing, mtree, pii, simhash, spotsigs, toxicity, urlfilter, warc
+from quarrylake.llm import decontaminate, langid, maskrank, maxent, mixing, mtree, pii, simhash, spotsigs, toxicity, urlfilter, warc
 from quarrylake.storage import table
 
 
@@ -197,6 +197,36 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank
 """
 
 
+def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of each benchmark item; see maskrank.search for nulls, ties, repeated rows and empty tables."""
+    return maskrank.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MASKRANK_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+bt AS (SELECT q, item_id, t, count(*) AS repeats FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY q, item_id, t),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM bt) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY t, docs),
+x AS (
+  SELECT q, item_id, r, doc_id,
+         CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM bt JOIN p USING (t) JOIN f USING (t) JOIN n USING (r), s GROUP BY q, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -210,6 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_bktree": op9_simhash_bktree,
         "op10_maxent_lm": op10_maxent_lm,
         "op11_mtree_topk": op11_mtree_topk,
+        "op12_presence_mask_search": op12_presence_mask_search,
     }
 
 
@@ -220,4 +251,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_curriculum_mix": MIX_SQL,
         "op8_positional_decontamination": DECONTAMINATION_SQL,
         "op11_mtree_topk": MTREE_SQL,
+        "op12_presence_mask_search": MASKRANK_SQL,
     }

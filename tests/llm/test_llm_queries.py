@@ -14,7 +14,7 @@ def rows_of(df):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect()), key=str)
 
 
-@pytest.mark.parametrize("name", ["op1_spotsigs", "op3_warc_salvage", "op5_curriculum_mix", "op8_positional_decontamination", "op11_mtree_topk"])
+@pytest.mark.parametrize("name", ["op1_spotsigs", "op3_warc_salvage", "op5_curriculum_mix", "op8_positional_decontamination", "op11_mtree_topk", "op12_presence_mask_search"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
