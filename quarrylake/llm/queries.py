@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.llm import decontaminate, langid, maskrank, maxent, mixing, mtree, pii, simhash, spotsigs, toxicity, urlfilter, warc
+from quarrylake.llm import decontaminate, langid, maskrank, maxent, mixing, mtree, periodic, pii, simhash, spotsigs, toxicity, urlfilter, warc
 from quarrylake.storage import table
 
 
@@ -227,6 +227,24 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document, planted ones included; see periodic.runs for nulls, repeated rows and empty tables."""
+    found = periodic.runs(table(spark, sf_dir, "documents"), edit=periodic.repeat_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    found = found.withColumn("best", best)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.less")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.less)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.coalesce(F.sha2("collapsed", 256), "words_sha256").alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -241,6 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_maxent_lm": op10_maxent_lm,
         "op11_mtree_topk": op11_mtree_topk,
         "op12_presence_mask_search": op12_presence_mask_search,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
