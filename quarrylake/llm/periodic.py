@@ -14,12 +14,14 @@ from quarrylake.storage import stash
 
 #: Words of the shortest run.
 LEAST = 12
-#: Words whose documents are looked through together, and boundaries of a tile.
-GROUP_WORDS, TILE_BOUNDS = 200_000, 64
+#: Words whose documents are looked through together.
+GROUP_WORDS = 200_000
+#: Words that the boundaries of a tile are spread over, and the least number of boundaries.
+TILE_WORDS, LEAST_BOUNDS = 4096, 8
 #: The first octave has the periods 1 to 7 and boundaries 2 words apart.
 FIRST_HIGH, FIRST_GRAIN = 8, 2
-TILES = "array<struct<low: int, base: int, at: binary, codes: binary>>"
-PARSED = "doc_id {id}, key string, n_words long, words binary, tiles " + TILES
+TILES = "array<struct<low: int, base: int, whole: boolean, at: binary, codes: binary>>"
+PARSED = "doc_id {id}, key binary, words_sha256 string, n_words long, words binary, tiles " + TILES
 
 
 def need(period: int) -> int:
@@ -39,8 +41,8 @@ def repeat_tail(words: list[bytes], doc_id) -> list[bytes]:
 
 
 def tiles(documents: list[list[bytes]]) -> list[list[dict]]:
-    """The tiles of each document in which a run can be: low (the octave's least period), base (the first word), at
-    (boundaries, from base on), codes (a number for each word).
+    """The tiles of each document in which a run can be: low (the octave's least period), base (the first word), whole (no
+    run of the octave goes on in another tile), at (boundaries, from base on), codes (a number for each word).
 
     Boundaries of an octave are grain words apart, and each of its runs has grain consecutive words from a boundary on that
     occur again a period later; boundaries where no such words recur get no tile. Substrings of 2, 4, 8, ... words have
@@ -62,17 +64,17 @@ def tiles(documents: list[list[bytes]]) -> list[list[dict]]:
 
     def cut(blocks, grain: int, low: int) -> None:
         """Tiles around the boundaries blocks, ascending places in flat."""
-        reach = 2 * grain
+        reach, most = 2 * grain, max(LEAST_BOUNDS, TILE_WORDS // grain)
         for d in np.unique(doc[blocks]):
             places = blocks[doc[blocks] == d] - start[d]
             own = codes[live[d]]
             breaks = np.flatnonzero(np.diff(places) > 4 * reach) + 1
             for part in np.split(places, breaks):
-                for k in range(0, len(part), TILE_BOUNDS):
-                    at = part[k : k + TILE_BOUNDS]
+                for k in range(0, len(part), most):
+                    at = part[k : k + most]
                     base = max(0, int(at[0]) - reach)
                     held = own[base : int(at[-1]) + 3 * reach]
-                    found[live[d]].append({"low": low, "base": base, "at": (at - base).astype(np.int32).tobytes(), "codes": held.astype(np.int32).tobytes()})
+                    found[live[d]].append({"low": low, "base": base, "whole": len(part) <= most, "at": (at - base).astype(np.int32).tobytes(), "codes": held.astype(np.int32).tobytes()})
 
     # First octave: words that equal the word q later, often enough in a row.
     covered = np.zeros(len(flat) + 1, np.int64)
@@ -136,11 +138,28 @@ def z_function(s: list) -> list[int]:
     return z
 
 
-def solve(low: int, base: int, at: list[int], codes: list[int]) -> list[tuple[int, int, int]]:
+def primitive(q: int, stretch: list) -> bool:
+    """Whether a stretch of period q and length 2 * q or more has no smaller period: such a one would divide q."""
+    rest, factor = q, 2
+    while rest > 1:
+        if factor * factor > rest:
+            factor = rest
+        if rest % factor == 0:
+            d = q // factor
+            if stretch[d:] == stretch[: len(stretch) - d]:
+                return False
+            while rest % factor == 0:
+                rest //= factor
+        factor += 1
+    return True
+
+
+def solve(low: int, base: int, whole: bool, at: list[int], codes: list[int]) -> list[tuple[int, int, int]]:
     """(period, start, stop) of a tile: words from start to before stop equal the word a period later.
 
     One Z-function from each boundary on and one back from it give, for every period of the octave, how far that holds on
-    both sides, at most to the next boundaries; what may go on in another tile is given however short it is.
+    both sides, at most to the next boundaries. What may go on in another tile is given however short it is; in whole
+    tiles only runs with their smallest period are.
     """
     high = FIRST_HIGH if low == 1 else 2 * low
     grain = FIRST_GRAIN if low == 1 else low // 2
@@ -161,21 +180,26 @@ def solve(low: int, base: int, at: list[int], codes: list[int]) -> list[tuple[in
                 held[-1][1], held[-1][3] = max(held[-1][1], b + right), right == reach
             else:
                 held.append([b - left, b + right, left == reach, right == reach])
-    return [(q, base + a, base + e) for q, held in pieces.items() for a, e, before, after in held if before or after or e - a >= need(q)]
+    return [
+        (q, base + a, base + e)
+        for q, held in pieces.items()
+        for a, e, before, after in held
+        if before or after or (e - a >= need(q) and (not whole or primitive(q, codes[a : e + q])))
+    ]
 
 
 def _parse(edit: Callable | None, id_type):
     def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = (id_type, pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("low", pa.int32()), ("base", pa.int32()), ("at", pa.binary()), ("codes", pa.binary())])))
+        kinds = (id_type, pa.binary(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("low", pa.int32()), ("base", pa.int32()), ("whole", pa.bool_()), ("at", pa.binary()), ("codes", pa.binary())])))
 
         def out(ids, documents):
             cut = tiles(documents)
             joined = [b" ".join(ws) for ws in documents]
-            keys = [hashlib.sha256(j).hexdigest() for j in joined]
-            columns = (ids, keys, [len(ws) for ws in documents], [j if t else None for j, t in zip(joined, cut, strict=True)], [t or None for t in cut])
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "key", "n_words", "words", "tiles"])
+            hashes = [hashlib.sha256(j) for j in joined]
+            columns = (ids, [h.digest()[:16] for h in hashes], [h.hexdigest() for h in hashes], [len(ws) for ws in documents], [j if t else None for j, t in zip(joined, cut, strict=True)], [t or None for t in cut])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "key", "words_sha256", "n_words", "words", "tiles"])
 
         for batch in batches:
             ids, documents, size = [], [], 0
@@ -202,12 +226,12 @@ def _solve(batches: Iterator) -> Iterator:
         keys, periods, starts, stops = [], [], [], []
         for row in batch.to_pylist():
             t = row["tile"]
-            for q, a, e in solve(t["low"], t["base"], np.frombuffer(t["at"], np.int32).tolist(), np.frombuffer(t["codes"], np.int32).tolist()):
+            for q, a, e in solve(t["low"], t["base"], t["whole"], np.frombuffer(t["at"], np.int32).tolist(), np.frombuffer(t["codes"], np.int32).tolist()):
                 keys.append(row["key"])
                 periods.append(q)
                 starts.append(a)
                 stops.append(e)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, pa.int64()) for c in (periods, starts, stops))], names=["key", "period", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, pa.int64()) for c in (periods, starts, stops))], names=["key", "period", "start", "stop"])
 
 
 def _collapse(batches: Iterator) -> Iterator:
@@ -247,21 +271,22 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit:
     where nothing repeats, and words_sha256 is the hash of all words so joined. edit, a function of words and id, changes the
     words first.
 
-    Texts with the same words are solved once. A tile has some thousand words at most but for the long periods, so a long
+    Texts with the same words (by 128 bits of their hash) are solved once. A tile has some thousand words at most but for the long periods, so a long
     document's tiles are solved in many tasks. Null and empty texts have no words and no runs, rows that repeat each get
     their row, and an empty table gives an empty result. Other columns are not read; bytes that are not UTF-8 are parts of words.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     id_type = source.select("doc_id").limit(0).toArrow().schema.field(0).type
     parsed = stash(source.mapInArrow(_parse(edit, id_type), PARSED.format(id=docs.schema[id_col].dataType.simpleString())), "periodic-documents")
-    candidates = stash(parsed.where("tiles is not null").select("key", "words", "tiles").dropDuplicates(["key"]), "periodic-candidates")
-    dealt = candidates.select("key", F.explode("tiles").alias("tile")).repartition("key", F.col("tile.low"), F.col("tile.base"))
-    found = stitch(dealt.mapInArrow(_solve, "key string, period long, start long, stop long"))
+    candidates = parsed.where("tiles is not null")
+    dealt = candidates.select("key", F.explode("tiles").alias("tile")).select("key", F.col("tile.low").alias("low"), F.col("tile.base").alias("base"), "tile")
+    found = stitch(dealt.dropDuplicates(["key", "low", "base"]).select("key", "tile").mapInArrow(_solve, "key binary, period long, start long, stop long"))
     listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     kind = listed.schema["runs"].dataType.simpleString()
-    collapsed = candidates.select("key", "words").join(listed, "key").mapInArrow(_collapse, f"key string, runs {kind}, collapsed binary")
+    texts = candidates.select("key", "words").dropDuplicates(["key"])
+    collapsed = texts.join(listed, "key").mapInArrow(_collapse, f"key binary, runs {kind}, collapsed binary")
     collapsed = stash(collapsed.withColumn("collapsed", F.col("collapsed").cast("string")), "periodic-runs")
     none = F.array().cast(kind)
-    columns = ["doc_id", "n_words", F.col("key").alias("words_sha256")]
+    columns = ["doc_id", "n_words", "words_sha256"]
     plain = parsed.where("tiles is null").select(*columns, none.alias("runs"), F.lit(None).cast("string").alias("collapsed"))
-    return plain.unionByName(parsed.where("tiles is not null").join(collapsed, "key", "left").select(*columns, F.coalesce("runs", none).alias("runs"), "collapsed"))
+    return plain.unionByName(candidates.join(collapsed, "key", "left").select(*columns, F.coalesce("runs", none).alias("runs"), "collapsed"))

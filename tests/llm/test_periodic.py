@@ -88,7 +88,8 @@ def test_small_tables(spark, monkeypatch, docs):
 @pytest.mark.parametrize("seed", range(6))
 def test_tiles_of_any_size(monkeypatch, seed):
     """Tiles and groups cut small: every run is found from fragments."""
-    monkeypatch.setattr(periodic, "TILE_BOUNDS", 1 + seed)
+    monkeypatch.setattr(periodic, "LEAST_BOUNDS", 1 + seed * seed * seed)
+    monkeypatch.setattr(periodic, "TILE_WORDS", 1)
     rng = random.Random(seed)
     texts = [[w.encode() for w in split(made_up(rng, rng.randrange(1, 600)))] for _ in range(40)]
     for words, cut in zip(texts, periodic.tiles(texts), strict=True):
@@ -96,7 +97,7 @@ def test_tiles_of_any_size(monkeypatch, seed):
         import numpy as np
 
         for t in cut:
-            for q, a, e in periodic.solve(t["low"], t["base"], np.frombuffer(t["at"], np.int32).tolist(), np.frombuffer(t["codes"], np.int32).tolist()):
+            for q, a, e in periodic.solve(t["low"], t["base"], t["whole"], np.frombuffer(t["at"], np.int32).tolist(), np.frombuffer(t["codes"], np.int32).tolist()):
                 fragments.setdefault(q, []).append((a, e))
         found = {}
         for q, held in sorted(fragments.items()):
