@@ -112,7 +112,8 @@ def violations(tables: dict[str, DataFrame], keys: dict[str, list[str]], foreign
         n = tables[name].groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.expr(" or ".join(f"`{c}` is null" for c in columns))).count()
         found.append((f"key of {name}", n))
     for name, columns in required.items():
-        found += [(f"{name}.{c} is null", tables[name].where(F.col(c).isNull()).count()) for c in columns]
+        gaps = tables[name].agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+        found += [(f"{name}.{c} is null", gaps[c]) for c in columns]
     for name, column, parent, to in foreign:
         ends = tables[name].where(F.col(column).isNotNull()).select(F.col(column).alias("end")).groupBy("end").count()
         n = ends.join(tables[parent].select(F.col(to).alias("end")), "end", "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]

@@ -82,7 +82,7 @@ def test_digest_tells_content_not_order(spark):
     rows = [(1, None, {"a": "1", "b": "2"}), (None, 1, {"b": "2", "a": "1"}), (1, None, {"a": "1", "b": "2"})]
     df = spark.createDataFrame(rows, "a int, b int, m map<string,string>")
     assert publish.content_digest(df) == publish.content_digest(df.repartition(5).orderBy(F.desc("b")))
-    assert publish.content_digest(df)[1] != publish.content_digest(df.distinct())[1]
+    assert publish.content_digest(df)[1] != publish.content_digest(spark.createDataFrame(rows[:2], df.schema))[1]
     swapped = spark.createDataFrame([(None, 1, {"a": "1", "b": "2"})] + rows[1:], df.schema)
     assert publish.content_digest(df)[1] != publish.content_digest(swapped)[1]
     assert publish.content_digest(df.where("false"))[0] == 0
