@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +54,13 @@ def search_form(c: Column) -> Column:
         return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().replace("ё", "е").split()))
 
     return folded(c)
+
+
+def nfc(c: Column) -> Column:
+    """Unicode normal form C; null stays null."""
+
+    @F.pandas_udf("string")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
+
+    return normal(c)

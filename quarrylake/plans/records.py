@@ -176,15 +176,6 @@ def ontology_validate(spark: S, d: str) -> DataFrame:
     return held.withColumn("duplicate", F.col("n") > 1)
 
 
-def fact_batch_validate(spark: S, d: str) -> DataFrame:
-    """Values of facts against declared kinds; a boolean is no number."""
-    raw = F.element_at(F.array(*map(F.lit, ('"a"', "1", "1.5", "true", "null", '["x"]'))), (F.col("doc_id") % 6 + 1).cast("int"))
-    kind = F.schema_of_variant(F.parse_json("raw"))
-    facts = table(spark, d, "labels").select("doc_id", raw.alias("raw"))
-    typed = F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "number").when(kind == "BOOLEAN", "boolean").when(kind == "ARRAY<STRING>", "string_list").otherwise("none")
-    return facts.select("doc_id", typed.alias("value_kind"), typed.isin("integer", "number").alias("numeric"))
-
-
 def fact_batch_pinning(spark: S, d: str) -> DataFrame:
     pin = F.sha2(F.concat(F.lit("v"), F.col("doc_id") % 3), 256)
     return table(spark, d, "labels").groupBy(pin.alias("pin")).agg(F.count("*").alias("facts"), F.min("doc_id").alias("first"))
@@ -261,13 +252,6 @@ def telemetry_batch(spark: S, d: str) -> DataFrame:
     return snaps.select("snapshot", F.array_join(gaps, ";").alias("missing"), F.when(F.size(gaps) > 0, "incomplete").otherwise("ok").alias("status"))
 
 
-def graph_upsert_stream(spark: S, d: str) -> DataFrame:
-    """Nodes upserted from a stream, batch by batch, and read at the end."""
-    raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    held = raw.groupBy("user_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first"))
-    return telemetry.run_available(held, "complete", "upsert-stream")
-
-
 def index_stream(spark: S, d: str) -> DataFrame:
     """Fragments appended to an index from a stream, once each."""
     raw = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet")
@@ -306,7 +290,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, graph_upsert_stream, index_stream, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, index_stream, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -384,8 +368,6 @@ WITH r AS (SELECT n_nationkey, n_regionkey AS t FROM nation UNION ALL SELECT n_n
 SELECT n_nationkey, t AS unknown_type FROM r WHERE t NOT IN (SELECT r_regionkey FROM region)""",
     "ontology_validate": """
 SELECT lower(p_type) AS type_id, count(*) AS n, count(*) AS bad_versions, count(*) > 1 AS duplicate FROM part GROUP BY 1""",
-    "fact_batch_validate": """
-SELECT doc_id, ['string', 'integer', 'number', 'boolean', 'none', 'string_list'][doc_id % 6 + 1] AS value_kind, doc_id % 6 IN (1, 2) AS numeric FROM labels""",
     "fact_batch_pinning": "SELECT sha256('v' || doc_id % 3) AS pin, count(*) AS facts, min(doc_id) AS first FROM labels GROUP BY 1",
     "collection_inspect": """
 SELECT 'documents' AS name, count(*) AS rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic' FROM labels
@@ -412,7 +394,6 @@ SELECT conv_id, turn, len(list_intersect(regexp_extract_all(lower(text), '[\\p{L
 WITH e AS (SELECT event_id // 20 AS snapshot, event_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS i FROM events),
 g AS (SELECT snapshot, coalesce(string_agg('points[' || i || '].unit', ';' ORDER BY i) FILTER (WHERE event_id % 6 = 0), '') AS missing FROM e GROUP BY snapshot)
 SELECT snapshot, missing, CASE WHEN missing = '' THEN 'ok' ELSE 'incomplete' END AS status FROM g""",
-    "graph_upsert_stream": "SELECT user_id, count(*) AS events, min(event_id) AS first FROM events GROUP BY user_id",
     "index_stream": "SELECT doc_id, sha256(doc_id || chr(0) || 'document' || chr(0) || text) AS fragment_id FROM documents",
     "segy_headers": """
 SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'truncated' WHEN n_nationkey % 5 = 0 THEN 'unsupported' ELSE 'ok' END AS status,
