@@ -94,9 +94,7 @@ def judge(facts: DataFrame, types: DataFrame, properties: DataFrame, fragments:
 
     given = F.when(F.col("kind") == "entity", F.try_parse_json("properties")).when(F.col("kind") == "observation", F.try_parse_json("conditions"))
     pairs = held.select("row", "kind", "type_id", given.alias("given")).where("given is not null and schema_of_variant(given) like 'OBJECT%'")
-    pairs.createOrReplaceTempView("__fact_values")
-    each = held.sparkSession.sql("SELECT row, kind, type_id, e.key AS property_id, e.value FROM __fact_values, LATERAL variant_explode(given) e")
-    held.sparkSession.catalog.dropTempView("__fact_values")
+    each = held.sparkSession.sql("SELECT row, kind, type_id, e.key AS property_id, e.value FROM {pairs}, LATERAL variant_explode(given) e", pairs=pairs)
     declared = properties.select("kind", "type_id", "property_id", F.col("value_type").alias("wanted"), F.coalesce("required", F.lit(False)).alias("required"))
     checked = each.join(declared, ["kind", "type_id", "property_id"], "left")
     values = checked.groupBy("row").agg(

@@ -1,12 +1,14 @@
 """Queries over what is handed in and published as a whole: collections with guarded SQL, graphs kept up to date from
-streams, fact batches; documents are fragments, labels observations, events changes of a graph."""
+streams, fact batches and manifests; documents are fragments, labels observations, events changes of a graph, customers
+wells, orders wellbores and logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import collection, facts, search
+from quarrylake.operators import collection, facts, manifest, search
+from quarrylake.sources import files
 from quarrylake.storage import scratch_path, table
 from quarrylake.streaming import graph_load
 
@@ -133,16 +135,73 @@ def fact_batch_validate(spark: S, d: str) -> DataFrame:
     return judged.select("batch", "kind", "id", "code", "rule")
 
 
+def _manifest_files(spark: S, d: str) -> DataFrame:
+    """JSON files of fifty customers each, their orders and some logs, as a list, in envelopes, and three and six levels down."""
+    text = lambda c: F.col(c).cast("string")
+    record = lambda i, kind, data: F.to_json(F.struct(i.alias("id"), F.lit(kind).alias("kind"), F.struct(*data).alias("data")))
+    wells = table(spark, d, "customer").select(
+        F.floor(F.col("c_custkey") / 50).alias("g"), record(F.concat(F.lit("osdu:master-data--Well:c"), text("c_custkey"), F.lit(":")), "osdu:wks:master-data--Well:1.0.0", [F.col("c_name").alias("FacilityName"), F.col("c_nationkey").alias("FacilityID")]).alias("j")
+    )
+    orders = table(spark, d, "orders").withColumn("g", F.floor(F.col("o_custkey") / 50))
+    low = F.col("o_orderpriority") == "5-LOW"
+    of = F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400000), "Well").otherwise("Wellbore")
+    name = F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 50000), " ").otherwise(F.concat(F.lit("bore "), text("o_orderkey")))
+    bore_id = F.concat(F.lit("osdu:master-data--"), of, F.lit(":o"), text("o_orderkey"))
+    bore_data = [name.alias("Name"), F.concat(F.lit("osdu%3Amaster-data--Well:c"), text("o_custkey"), F.lit(":")).alias("WellID"), F.col("o_totalprice").alias("SequenceNumber")]
+    bores = orders.where(~low).select("g", record(bore_id, "osdu:wks:master-data--Wellbore:1.1.0", bore_data).alias("j"))
+    skipped = orders.where(low).select("g", record(text("o_orderkey"), "osdu:wks:dataset--File.Generic:1.0.0", [F.col("o_orderkey").alias("Name")]).alias("j"))
+    log_data = [F.concat(F.lit("log "), text("o_orderkey")).alias("Name"), F.concat(F.lit("osdu:master-data--Wellbore:o"), text("o_orderkey")).alias("WellboreID")]
+    logs = orders.where(~low & (F.col("o_orderstatus") == "O")).select("g", record(F.lit(None).cast("string"), "osdu:wks:work-product-component--WellLog:1.0.0", log_data).alias("j"))
+    lists = wells.unionByName(bores).unionByName(skipped).unionByName(logs).groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("l"))
+    around = lambda before, after: F.concat(F.lit(before), F.col("l"), F.lit(after))
+    envelope = '{"kind":"osdu:wks:Manifest:1.0.0","Data":{"x":'
+    whole = F.when(F.col("g") % 4 == 0, F.col("l")).when(F.col("g") % 4 == 1, around(envelope, "}}")).when(F.col("g") % 4 == 2, around('{"a":[5,', ',"text"]}')).otherwise(around(envelope + '[{"b":{"c":', "}}]}}"))
+    path = scratch_path(spark, "manifests")
+    lists.select("g", whole.alias("value")).repartition("g").write.partitionBy("g").text(path)
+    return files.scan(spark, path, "part-*").select("path", "content")
+
+
+def manifest_walk(spark: S, d: str) -> DataFrame:
+    """Each record of the manifests: what it becomes, its parent, or why it is rejected."""
+    records, issues = manifest.walk(_manifest_files(spark, d))
+    judged = manifest.judge(records).select("label", "key", "parent", F.size("properties").cast("long").alias("properties"), "reason")
+    return judged.unionByName(issues.select(F.lit(None).cast("string").alias("label"), F.col("source").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("properties"), "reason"))
+
+
+def manifest_graph_load(spark: S, d: str) -> DataFrame:
+    """The report of the graph of the manifests, and what two loads of it publish."""
+    built, path = manifest.build(_manifest_files(spark, d)), scratch_path(spark, "manifest-graph")
+    first, again = manifest.load(spark, built, path), manifest.load(spark, built, path)
+    told = [(f"published {name}", n) for name, n in first["counts"].items()] + [("second load unchanged", int(again["unchanged"]))]
+    return manifest.report(built).unionByName(spark.createDataFrame(told, "measure string, n long"))
+
+
 def queries() -> dict:
-    found = (collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
+    found = (manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
     return {f.__name__: f for f in found}
 
 
 QUERIES = queries()
 
+_MANIFEST = """
+WITH o AS (
+  SELECT *, o_orderstatus = 'F' AND o_totalprice > 400000 AS wrong, o_orderstatus = 'P' AND o_totalprice < 50000 AS nameless FROM orders WHERE o_orderpriority <> '5-LOW'),
+r AS (
+  SELECT 'Well' AS label, 'osdu:master-data--Well:c' || c_custkey AS key, NULL AS parent, 4 AS properties, NULL AS reason FROM customer
+  UNION ALL SELECT 'Wellbore', 'osdu:master-data--' || CASE WHEN wrong THEN 'Well' ELSE 'Wellbore' END || ':o' || o_orderkey, 'osdu:master-data--Well:c' || o_custkey,
+                   CASE WHEN nameless THEN 3 ELSE 4 END, CASE WHEN wrong THEN 'wrong id' WHEN nameless THEN 'missing name' END FROM o
+  UNION ALL SELECT 'WellLog', 'urn:osdu-demo:WellLog:' || sha256('["osdu:master-data--Wellbore:o' || o_orderkey || '","log ' || o_orderkey || '","osdu:wks:work-product-component--WellLog:1.0.0"]'),
+                   'osdu:master-data--Wellbore:o' || o_orderkey, 3, NULL FROM o WHERE o_orderstatus = 'O')"""
+
 _FRAGMENT = "sha256(source || chr(0) || 'document:' || doc_id || chr(0) || coalesce(text, ''))"
 
 SQL = {
+    "manifest_walk": f"{_MANIFEST} SELECT * FROM r",
+    "manifest_graph_load": f"""{_MANIFEST}, good AS (SELECT * FROM r WHERE reason IS NULL), bad AS (SELECT count(*) AS n FROM r WHERE reason IS NOT NULL)
+SELECT 'records' AS measure, count(*) AS n FROM r UNION ALL SELECT label, count(*) FROM good GROUP BY label
+UNION ALL SELECT 'BELONGS_TO_WELL', count(*) FROM good WHERE label = 'Wellbore' UNION ALL SELECT 'BELONGS_TO_WELLBORE', count(*) FROM good WHERE label = 'WellLog'
+UNION ALL SELECT 'issues', n FROM bad UNION ALL SELECT 'fatal', 0 UNION ALL SELECT 'passed', 1 UNION ALL SELECT 'published nodes', count(*) FROM good
+UNION ALL SELECT 'published edges', count(parent) FROM good UNION ALL SELECT 'second load unchanged', 1""",
     "collection_build": """
 SELECT name, rows, true AS unchanged FROM (
   SELECT 'nodes' AS name, (SELECT count(*) FROM documents) + (SELECT count(DISTINCT lang) FROM documents) AS rows
