@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylake.operators import collection, facts, manifest, search
 from quarrylake.sources import files
 from quarrylake.storage import scratch_path, table
-from quarrylake.streaming import graph_load
+from quarrylake.streaming import graph_load, telemetry
 
 S = SparkSession
 
@@ -176,8 +176,40 @@ def manifest_graph_load(spark: S, d: str) -> DataFrame:
     return manifest.report(built).unionByName(spark.createDataFrame(told, "measure string, n long"))
 
 
+#: Days of January up to which each part of the events is delivered, and those delivered with the last part only.
+_PARTS, _LATE_EVERY = (7, 15, 22, 31), 50
+
+
+def telemetry_sliding_stream(spark: S, d: str) -> DataFrame:
+    """Sliding windows of two days a day apart, by well and tag, from events delivered in four parts; one in fifty comes with
+    the last part, too late for the windows that closed by then."""
+    landed, path, marks = (scratch_path(spark, x) for x in ("landed", "sliding", "marks"))
+    day, late = F.dayofmonth("ts"), F.col("event_id") % _LATE_EVERY == 0
+    points = table(spark, d, "events").select("ts", "event_id", (F.col("user_id") % 5).alias("well"), F.col("event_type").alias("tag"), F.col("ts").cast("timestamp").alias("measured_at"), F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("value"))
+    found = None
+    for k, last in enumerate(_PARTS):
+        own = (day <= last) & (day > ([0, *_PARTS])[k]) & ~late
+        points.where(own | late if k == len(_PARTS) - 1 else own).drop("ts").write.mode("append").parquet(landed)
+        found = telemetry.sliding(spark.readStream.schema(points.drop("ts").schema).parquet(landed), "2 days", "1 day", "1 day")
+        telemetry.append(found, path, marks)
+    rows = telemetry.appended(spark, path, found.schema)
+    return rows.select("well", "tag", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "points", "gaps", "total")
+
+
+def index_stream(spark: S, d: str) -> DataFrame:
+    """Fragments added to an index once each, from two runs of a stream of which the second brings most documents again."""
+    landed, path, marks = (scratch_path(spark, x) for x in ("landed", "index", "marks"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    for part in (docs.where("length(text) < 2000"), docs):
+        part.write.mode("append").parquet(landed)
+        raw = spark.readStream.schema(docs.schema).parquet(landed)
+        found = raw.select("source", "text", search.fragment_id(F.col("source"), F.lit("document"), F.col("text")).alias("fragment_id"))
+        telemetry.append_once(found, "fragment_id", path, marks)
+    return telemetry.appended(spark, path, found.schema).select("source", "fragment_id", F.length("text").alias("chars"))
+
+
 def queries() -> dict:
-    found = (manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
+    found = (telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
     return {f.__name__: f for f in found}
 
 
@@ -196,6 +228,14 @@ r AS (
 _FRAGMENT = "sha256(source || chr(0) || 'document:' || doc_id || chr(0) || coalesce(text, ''))"
 
 SQL = {
+    "telemetry_sliding_stream": """
+WITH p AS (SELECT *, event_id % 50 = 0 AS late FROM events),
+closed AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM p WHERE NOT late AND day(ts) <= 22), done AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM p),
+w AS (SELECT *, (date_trunc('day', ts) - to_days(CAST(k AS INTEGER)))::TIMESTAMP AS window_start FROM p, range(2) AS r(k))
+SELECT user_id % 5 AS well, event_type AS tag, window_start, count(*) AS points, count(*) FILTER (event_id % 10 = 3 OR value IS NULL) AS gaps,
+       CAST(sum(CASE WHEN event_id % 10 <> 3 THEN value::DECIMAL(28,6) END) AS DOUBLE) AS total
+FROM w, closed, done WHERE (NOT late OR window_start + INTERVAL 2 DAY > closed.at) AND window_start + INTERVAL 2 DAY <= done.at GROUP BY 1, 2, 3""",
+    "index_stream": "SELECT DISTINCT source, sha256(source || chr(0) || 'document' || chr(0) || coalesce(text, '')) AS fragment_id, CAST(length(coalesce(text, '')) AS INTEGER) AS chars FROM documents",
     "manifest_walk": f"{_MANIFEST} SELECT * FROM r",
     "manifest_graph_load": f"""{_MANIFEST}, good AS (SELECT * FROM r WHERE reason IS NULL), bad AS (SELECT count(*) AS n FROM r WHERE reason IS NOT NULL)
 SELECT 'records' AS measure, count(*) AS n FROM r UNION ALL SELECT label, count(*) FROM good GROUP BY label

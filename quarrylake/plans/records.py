@@ -252,13 +252,6 @@ def telemetry_batch(spark: S, d: str) -> DataFrame:
     return snaps.select("snapshot", F.array_join(gaps, ";").alias("missing"), F.when(F.size(gaps) > 0, "incomplete").otherwise("ok").alias("status"))
 
 
-def index_stream(spark: S, d: str) -> DataFrame:
-    """Fragments appended to an index from a stream, once each."""
-    raw = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents*.parquet")
-    found = telemetry.run_available(raw.select("doc_id", search.fragment_id(F.col("doc_id"), F.lit("document"), F.col("text")).alias("fragment_id")), "append", "index-stream")
-    return found.dropDuplicates(["fragment_id"])
-
-
 def segy_headers(spark: S, d: str) -> DataFrame:
     """Headers of one binary file for each nation, built from its key, written and read back."""
     path = scratch_path(spark, "segy")
@@ -290,7 +283,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, index_stream, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -394,7 +387,6 @@ SELECT conv_id, turn, len(list_intersect(regexp_extract_all(lower(text), '[\\p{L
 WITH e AS (SELECT event_id // 20 AS snapshot, event_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS i FROM events),
 g AS (SELECT snapshot, coalesce(string_agg('points[' || i || '].unit', ';' ORDER BY i) FILTER (WHERE event_id % 6 = 0), '') AS missing FROM e GROUP BY snapshot)
 SELECT snapshot, missing, CASE WHEN missing = '' THEN 'ok' ELSE 'incomplete' END AS status FROM g""",
-    "index_stream": "SELECT doc_id, sha256(doc_id || chr(0) || 'document' || chr(0) || text) AS fragment_id FROM documents",
     "segy_headers": """
 SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'truncated' WHEN n_nationkey % 5 = 0 THEN 'unsupported' ELSE 'ok' END AS status,
        CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey * 100 END AS sample_interval, CASE WHEN n_nationkey % 7 <> 0 THEN n_nationkey + 1000 END AS samples,

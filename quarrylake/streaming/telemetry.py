@@ -57,3 +57,40 @@ def split_by_status(points: DataFrame, good: str, bad: str, marks: str):
         batch.where("status <> 'ok'").write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
     return envelope(points).writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start()
+
+
+def sliding(points: DataFrame, width: str, slide: str, delay: str) -> DataFrame:
+    """Number of points, of gaps, and the mean value by well and tag in sliding windows of a stream in append mode: a window
+    is given once, when it ended more than delay before the newest point so far. A point that comes later than that for
+    a window is dropped from it; for windows that are still open it counts."""
+    grouped = points.withWatermark("measured_at", delay).groupBy("well", "tag", F.window("measured_at", width, slide).alias("w"))
+    found = grouped.agg(F.count("*").alias("points"), F.count(F.when(F.col("value").isNull(), 1)).alias("gaps"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
+    return found.select("well", "tag", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "points", "gaps", "total")
+
+
+def append(stream: DataFrame, path: str, marks: str) -> None:
+    """Run a stream over what is new since the run before with the checkpoint marks, and add its rows to path: a folder for
+    each batch, which a repeated batch replaces. Read it back with appended()."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+def appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows that append() added to path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def append_once(stream: DataFrame, key: str, path: str, marks: str) -> None:
+    """append() for rows whose key no earlier row had, in this run or one before: what is known is the stream's state in its
+    checkpoint, on disk where the state is kept, so a batch costs what the batch has and not what the index has. The state
+    has the keys alone and grows with the index; marks must live as long as path does."""
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(setting)
+    conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        append(stream.dropDuplicates([key]), path, marks)
+    finally:
+        conf.set(setting, before)
