@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +77,67 @@ def evidence(quotes: DataFrame, fragments: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.contains("known_text", "quote"), F.lit(False)), "absent_quote")
     )
     return joined.select("quote_id", "fragment_id", problem.alias("problem"))
+
+
+#: Characters of the phrases that are looked for together; every task gets them. Fewest letters of a word that counts alone.
+PHRASE_CHARS, LEAST_WORD = 4 << 20, 3
+
+
+def folded(text: str | None) -> str:
+    """Compatibility form, case folded, ё as е, with single spaces."""
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().replace("ё", "е").split())
+
+
+def _finder(phrases: list[tuple[int, str]]):
+    """A mapInArrow function from (row, text) to (row, term, phrase_found, words) for the phrases that a text matches."""
+
+    def find(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
+
+        tree, of_word = ahocorasick.Automaton(), {}
+        for number, phrase in phrases:
+            tree.add_word(phrase, [*tree.get(phrase, []), number])
+            for word in {w for w in re.findall(r"\w+", phrase) if len(w) >= LEAST_WORD}:
+                of_word.setdefault(word, []).append(number)
+        if phrases:
+            tree.make_automaton()
+        for batch in batches:
+            rows, terms, whole, words = [], [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = folded(text.as_py())
+                met: dict[int, list[str]] = {}
+                for word in of_word.keys() & set(re.findall(r"\w+", text)):
+                    for number in of_word[word]:
+                        met.setdefault(number, []).append(word)
+                found = {n for _, numbers in tree.iter(text) for n in numbers} if phrases and text else set()
+                for number in sorted(met.keys() | found):
+                    rows.append(row)
+                    terms.append(number)
+                    whole.append(number in found)
+                    words.append(sorted(met.get(number, [])))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rows, terms, whole, words), kinds, strict=True)], names=["row", "term", "phrase_found", "words"])
+
+    return find
+
+
+def phrase_candidates(records: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str, phrase_col: str) -> DataFrame:
+    """(record_id, term_id, phrase_found, words) for each record and term that match: the whole phrase stands in the text, as
+    letters stand, or they share a word of at least LEAST_WORD letters; words lists those shared, sorted.
+
+    Texts and phrases are compared folded(). All phrases of a round (PHRASE_CHARS) are looked for in one walk of a text, in
+    the task that has the text, so texts are not shuffled; more phrases take more rounds. Blank phrases match nothing. Rows
+    that repeat an id match on their own, null texts match nothing, empty tables give an empty result.
+    """
+    spark = records.sparkSession
+    held = stash(terms.select(F.monotonically_increasing_id().alias("term"), F.col(term_col).alias("term_id"), F.col(phrase_col).cast("string").alias("phrase")), "terms")
+    rounds = max(1, -(-held.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0))).first()[0] // PHRASE_CHARS))
+    numbered = stash(records.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("record_id"), F.col(text_col).cast("string").alias("text")), "records")
+    found = spark.createDataFrame([], "row long, term long, phrase_found boolean, words array<string>")
+    for r in range(rounds):
+        mine = held.where(F.pmod(F.xxhash64("term"), F.lit(rounds)) == r).select("term", "phrase").collect()
+        phrases = [(m["term"], folded(m["phrase"])) for m in mine if folded(m["phrase"])]
+        found = found.unionByName(numbered.select("row", "text").mapInArrow(_finder(phrases), found.schema))
+    hits = stash(found, "candidates")
+    return hits.join(held.select("term", "term_id"), "term").join(numbered.select("row", "record_id"), "row").select("record_id", "term_id", "phrase_found", "words")

@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import collection, facts, manifest, search
-from quarrylake.sources import files
+from quarrylake.operators import activities, collection, facts, manifest, search
+from quarrylake.sources import documents, files
 from quarrylake.storage import scratch_path, table
 from quarrylake.streaming import graph_load, telemetry
 
@@ -208,8 +208,57 @@ def index_stream(spark: S, d: str) -> DataFrame:
     return telemetry.appended(spark, path, found.schema).select("source", "fragment_id", F.length("text").alias("chars"))
 
 
+def document_scan(spark: S, d: str) -> DataFrame:
+    """Conversations as files of four types, by their number; those with a blank or very long turn are broken on purpose of
+    their type. Fragments, and refused files with where their fault stands."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct("turn", F.to_json(F.struct("text", "role", "turn")).alias("j"), F.to_csv(F.struct("role", "text"), {"quoteAll": "true", "escape": '"'}).alias("c"), "text")
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"), F.max(F.length("text")).alias("longest"))
+    join = lambda field, sep: F.array_join(F.transform("t", lambda t: t[field]), sep)
+    bad = F.col("longest") > 700
+    body = (
+        F.when(F.col("conv_id") % 4 == 0, F.concat(join("text", "\n"), F.when(bad, F.lit("\0")).otherwise("")))
+        .when(F.col("conv_id") % 4 == 1, F.concat(F.lit("["), join("j", ","), F.when(bad, ",1e999]").otherwise("]")))
+        .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("\n"), join("j", "\n\n"), F.when(bad, "\nNaN").otherwise("")))
+        .otherwise(F.concat(F.lit("role,text\n"), join("c", "\n"), F.when(bad, "\nx").otherwise("")))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("text/plain", "application/json", "application/x-ndjson", "text/csv"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    held = whole.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), kind.alias("content_type"), body.cast("binary").alias("content"))
+    found, refused = documents.fragments(held)
+    good = found.select("path", "locator", F.sha2("text", 256).alias("text_sha256"), "metadata", F.lit(None).cast("string").alias("code"))
+    return good.unionByName(refused.select("path", "locator", "code"), allowMissingColumns=True)
+
+
+def activity_file_scan(spark: S, d: str) -> DataFrame:
+    """Activity files of fifty parts each, with columns in three orders and two delimiters, by the first rule that each breaks."""
+    part = table(spark, d, "part").withColumn("g", F.floor(F.col("p_partkey") / 50))
+    volume = F.when((F.col("p_size") == 17) & (F.col("p_retailprice") > 950), "1,5").otherwise(F.col("p_size").cast("string"))
+    ident = F.concat(F.lit("a"), F.when((F.col("p_size") == 3) & (F.col("p_partkey") % 50 > 0), F.col("p_partkey") - 1).otherwise(F.col("p_partkey")).cast("string"))
+    cells = {"activity_id": ident, "activity_name": F.col("p_name"), "volume": volume, "measurement": F.col("p_brand")}
+    orders = [list(cells), ["volume", "activity_id", "measurement", "activity_name"], ["activity_name", "measurement", "activity_id", "volume"]]
+    line, header = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, names in enumerate(orders):
+        for j, mark in enumerate((";", ",")):
+            mine = F.col("g") % 6 == 2 * k + j
+            line = F.when(mine, F.concat_ws(mark, *(F.concat(F.lit('"'), cells[n], F.lit('"')) for n in names))).otherwise(line)
+            header = F.when(mine, F.lit(mark.join(names))).otherwise(header)
+    rows = part.select("g", header.alias("header"), F.struct("p_partkey", line.alias("line")).alias("r"), F.col("p_type"))
+    files_ = rows.groupBy("g").agg(F.first("header").alias("header"), F.array_sort(F.collect_list("r")).alias("r"))
+    name = F.when(F.col("g") % 7 == 5, F.replace("header", F.lit("volume"), F.lit("amount"))).when(F.col("g") % 11 == 7, F.replace("header", F.lit("measurement"), F.lit("volume"))).otherwise(F.col("header"))
+    text = F.concat(name, F.lit("\n"), F.array_join(F.transform("r", lambda r: r["line"]), "\n"), F.when(F.col("g") % 13 == 9, F.lit("\n\"x\"y")).otherwise(""))
+    return activities.file_problems(files_.select(F.concat(F.lit("g"), F.col("g").cast("string")).alias("path"), text.alias("text")))
+
+
+def phrase_candidates(spark: S, d: str) -> DataFrame:
+    """Documents that match a phrase of three words from each benchmark item, wholly or by a shared word."""
+    words = F.split(F.regexp_replace("text", "\\s+", " "), " ")
+    terms = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(words, 2, 3), " ").alias("phrase"))
+    found = search.phrase_candidates(table(spark, d, "documents"), terms, "doc_id", "text", "item_id", "phrase")
+    return found.select(F.col("record_id").alias("doc_id"), F.col("term_id").alias("item_id"), "phrase_found", F.array_join("words", ",").alias("words"))
+
+
 def queries() -> dict:
-    found = (telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
+    found = (phrase_candidates, document_scan, activity_file_scan, telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
     return {f.__name__: f for f in found}
 
 
@@ -228,6 +277,41 @@ r AS (
 _FRAGMENT = "sha256(source || chr(0) || 'document:' || doc_id || chr(0) || coalesce(text, ''))"
 
 SQL = {
+    "phrase_candidates": """
+WITH d AS (SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT item_id, replace(lower(array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[2:4], ' ')), 'ß', 'ss') AS p FROM benchmark),
+bw AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(p, '[\\p{L}\\p{N}_]+')) AS w FROM b) WHERE length(w) >= 3),
+dw AS (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+')) AS w FROM d)),
+s AS (SELECT doc_id, item_id, string_agg(w, ',' ORDER BY w) AS words FROM dw JOIN bw USING (w) GROUP BY doc_id, item_id),
+p AS (SELECT doc_id, item_id, contains(t, p) AS found FROM d, b WHERE p <> '')
+SELECT doc_id, item_id, found AS phrase_found, coalesce(words, '') AS words FROM p LEFT JOIN s USING (doc_id, item_id) WHERE found OR words IS NOT NULL""",
+    "document_scan": """
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+f AS (
+  SELECT conv_id, conv_id % 4 AS kind, count(*) AS n, max(length(text)) > 700 AS bad, min(CASE WHEN NOT regexp_matches(text, '[^\\s\\p{Z}]') THEN k END) AS blank, bool_and(NOT regexp_matches(text, '[^\\s\\p{Z}]')) AS empty,
+         string_agg(text, chr(10) ORDER BY turn) AS whole FROM c GROUP BY conv_id),
+p AS (
+  SELECT conv_id, 'c' || conv_id AS path, CASE WHEN kind = 0 AND empty AND NOT bad THEN 'DOCUMENT_EMPTY' WHEN kind = 0 AND bad THEN 'DOCUMENT_FORMAT_INVALID'
+           WHEN kind = 1 AND bad THEN 'DOCUMENT_FORMAT_INVALID' WHEN kind IN (1, 2) AND blank IS NOT NULL THEN 'DOCUMENT_EMPTY' WHEN kind > 1 AND bad THEN 'DOCUMENT_FORMAT_INVALID' END AS code,
+         CASE WHEN kind = 1 AND bad THEN 'document' WHEN kind = 1 THEN 'item:' || blank WHEN kind = 2 AND blank IS NOT NULL THEN 'line:' || 2 * blank WHEN kind = 2 THEN 'line:' || 2 * n + 1 WHEN kind = 3 THEN 'row:' || n + 2 END AS locator,
+         kind, whole FROM f)
+SELECT path, locator, NULL AS text_sha256, NULL AS metadata, code FROM p WHERE code IS NOT NULL
+UNION ALL SELECT path, 'document', sha256(whole), '{}', NULL FROM p WHERE code IS NULL AND kind = 0
+UNION ALL SELECT path, CASE kind WHEN 1 THEN 'item:' || k WHEN 2 THEN 'line:' || 2 * k ELSE 'row:' || k + 1 END,
+  sha256(CASE WHEN kind = 3 THEN 'role: ' || role || chr(10) || 'text: ' || text ELSE text END),
+  CASE WHEN kind = 3 THEN '{"role":' || to_json(role) || ',"text":' || to_json(text) || '}' ELSE '{"role":' || to_json(role) || ',"turn":' || turn || '}' END, NULL
+FROM p JOIN c USING (conv_id) WHERE code IS NULL AND kind > 0""",
+    "activity_file_scan": """
+WITH r AS (
+  SELECT p_partkey // 50 AS g, p_partkey % 50 + 1 AS k, p_size = 17 AND p_retailprice > 950 AS bad_number, p_name, p_brand,
+         CASE WHEN p_size = 3 AND p_partkey % 50 > 0 THEN p_partkey - 1 ELSE p_partkey END AS id FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY g, id ORDER BY k) > 1 AS twice FROM r),
+b AS (SELECT g, count(*) AS n, min(CASE WHEN twice OR bad_number THEN k END) AS pos FROM o GROUP BY g),
+w AS (
+  SELECT g, n, pos, CASE WHEN g % 13 = 9 THEN 'E_ROW_WIDTH' WHEN g % 7 = 5 THEN 'E_HEADER_UNKNOWN' WHEN g % 11 = 7 THEN 'E_HEADER_DUPLICATE' END AS whole FROM b)
+SELECT 'g' || w.g AS path, CASE WHEN w.g % 2 = 0 THEN ';' ELSE ',' END AS delimiter, n + CASE WHEN w.g % 13 = 9 THEN 1 ELSE 0 END AS rows,
+  coalesce(whole, CASE WHEN twice THEN 'E_DUPLICATE_ID' WHEN bad_number THEN 'E_VOLUME_INVALID' END) AS problem, CASE WHEN whole IS NULL THEN CAST(pos AS INTEGER) END AS "row"
+FROM w LEFT JOIN o ON o.g = w.g AND o.k = w.pos""",
     "telemetry_sliding_stream": """
 WITH p AS (SELECT *, event_id % 50 = 0 AS late FROM events),
 closed AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM p WHERE NOT late AND day(ts) <= 22), done AS (SELECT max(ts) - INTERVAL 1 DAY AS at FROM p),
