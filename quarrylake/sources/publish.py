@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -98,6 +100,12 @@ def _content(df: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(_row_hash(df, s)), F.lit(0)).cast("string").alias(f"sum{s}") for s in (1, 2))]
 
 
+def _together(jobs: list[Callable]) -> list:
+    """Results of Spark jobs that are handed in at once: small tables leave most of a cluster idle otherwise."""
+    with ThreadPoolExecutor(max(1, min(8, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def content_digest(df: DataFrame) -> tuple[int, str]:
     """(rows, digest) of a table: equal rows in another order or partitioning have the same digest. Repeated rows count."""
     rows, one, two = df.agg(*_content(df)).first()
@@ -107,17 +115,22 @@ def content_digest(df: DataFrame) -> tuple[int, str]:
 def violations(tables: dict[str, DataFrame], keys: dict[str, list[str]], foreign: Iterable[tuple[str, str, str, str]], required: dict[str, list[str]]) -> list[tuple[str, int]]:
     """(rule, rows) of the broken rules: keys that are null or repeat, references (table, column, parent, column) without a
     row in the parent, required columns that are null. A null reference points nowhere and is no violation."""
-    found = []
-    for name, columns in keys.items():
-        n = tables[name].groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.expr(" or ".join(f"`{c}` is null" for c in columns))).count()
-        found.append((f"key of {name}", n))
-    for name, columns in required.items():
+
+    def repeated(name: str, columns: list[str]) -> list:
+        bad = (F.col("n") > 1) | F.expr(" or ".join(f"`{c}` is null" for c in columns))
+        return [(f"key of {name}", tables[name].groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(bad).count())]
+
+    def empty(name: str, columns: list[str]) -> list:
         gaps = tables[name].agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
-        found += [(f"{name}.{c} is null", gaps[c]) for c in columns]
-    for name, column, parent, to in foreign:
+        return [(f"{name}.{c} is null", gaps[c]) for c in columns]
+
+    def dangling(name: str, column: str, parent: str, to: str) -> list:
         ends = tables[name].where(F.col(column).isNotNull()).select(F.col(column).alias("end")).groupBy("end").count()
         n = ends.join(tables[parent].select(F.col(to).alias("end")), "end", "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-        found.append((f"{name}.{column} has no {parent}.{to}", n))
+        return [(f"{name}.{column} has no {parent}.{to}", n)]
+
+    jobs = [partial(repeated, *k) for k in keys.items()] + [partial(empty, *r) for r in required.items()] + [partial(dangling, *f) for f in foreign]
+    found = [rule for rules in _together(jobs) for rule in rules]
     return [(rule, n) for rule, n in found if n]
 
 
@@ -136,24 +149,27 @@ def publish(
     before = marker(spark, path)
     if issues is not None and (fatal := issues.where("fatal").count()):
         raise Refused("FATAL_ISSUES", [("fatal issues", fatal)])
-    contents = {name: content_digest(df) for name, df in tables.items()}
+    contents = dict(zip(tables, _together([partial(content_digest, df) for df in tables.values()]), strict=True))
     digest = hashlib.sha256(canonical_json([contents, metadata or {}]).encode()).hexdigest()
     counts = {name: rows for name, (rows, _) in contents.items()}
-    if before and before["digest"] == digest and {name: read(spark, path, name).count() for name in counts} == counts:
+    if before and before["digest"] == digest and _together([read(spark, path, name).count for name in counts]) == list(counts.values()):
         return before | {"unchanged": True}
     if expected and (off := [(f"rows of {name}", counts.get(name, 0)) for name, n in expected.items() if counts.get(name, 0) != n]):
         raise Refused("COUNT_MISMATCH", off)
     version = uuid.uuid4().hex
     staged = f"{path}/versions/{version}"
+
+    def write(name: str, df: DataFrame) -> None:
+        seen = Observation()
+        df.observe(seen, *_content(df)).write.parquet(f"{staged}/{name}")
+        got = seen.get
+        written = spark.read.parquet(f"{staged}/{name}").count()
+        again = hashlib.sha256(canonical_json([df.dtypes, got["rows"], got["sum1"], got["sum2"]]).encode()).hexdigest()
+        if written != counts[name] or again != contents[name][1]:
+            raise Refused("CHANGED_MEANWHILE", [(f"rows of {name}", written)])
+
     try:
-        for name, df in tables.items():
-            seen = Observation()
-            df.observe(seen, *_content(df)).write.parquet(f"{staged}/{name}")
-            got = seen.get
-            written = spark.read.parquet(f"{staged}/{name}").count()
-            again = hashlib.sha256(canonical_json([df.dtypes, got["rows"], got["sum1"], got["sum2"]]).encode()).hexdigest()
-            if written != counts[name] or again != contents[name][1]:
-                raise Refused("CHANGED_MEANWHILE", [(f"rows of {name}", written)])
+        _together([partial(write, *t) for t in tables.items()])
         held = {name: spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in tables.items()}
         if broken := violations(held, keys or {}, foreign, required or {}):
             raise Refused("INVALID", broken)
