@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from quarrylake.storage import stash
 
-#: Most rows of a query block that is broadcast at a time.
-BLOCK_ROWS = 2000
-#: Most query blocks of one job.
-WAVE = 16
+#: Most rows and bytes of a block of queries, which every task gets, and catalogue rows that meet it at a time.
+BLOCK_ROWS, BLOCK_BYTES, CHUNK_ROWS = 2000, 16 << 20, 1024
+#: Most vectors that cells are fitted to, queries that recall is measured with, and the recall that is asked for.
+SAMPLE_ROWS, PROBE_SAMPLE, LEAST_RECALL = 4096, 100, 0.9
 
 
 def dot(a: str, b: str) -> Column:
@@ -62,27 +62,143 @@ def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[f
     return df.withColumn(into, F.pandas_udf(run, "array<double>")(F.col(text_col).cast("string")))
 
 
+def _matrix(column):
+    """A list column of numbers as a matrix of doubles, and which rows have a vector without nulls of the first one's size."""
+    import numpy as np
+
+    held = column.to_pylist()
+    width = next((len(v) for v in held if v), 0)
+    good = np.array([v is not None and len(v) == width > 0 and None not in v for v in held], bool)
+    return np.array([v for v, g in zip(held, good, strict=True) if g], np.float64).reshape(-1, max(width, 1)), good
+
+
+def _keep(found, k: int):
+    """The k rows of each query (first column) with the least (distance, id) of parallel arrays (query, distance, id)."""
+    import numpy as np
+
+    order = np.lexsort((found[2], found[1], found[0]))
+    q, d, i = (a[order] for a in found)
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], d[place < k], i[place < k]
+
+
+def _near(asked, labels, numbers, k: int, within: bool, kinds):
+    """A mapInArrow function over (id, vector[, label]): the k nearest rows of a task for each query."""
+
+    def near(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        of_label: dict = {}
+        for n, label in enumerate(labels if within else [None] * len(asked)):
+            of_label.setdefault(label, []).append(n)
+        worst = np.full(len(asked), np.inf)
+        best = None
+        for whole in batches if len(asked) else ():
+            for at in range(0, whole.num_rows, CHUNK_ROWS):
+                part = whole.slice(at, CHUNK_ROWS)
+                x, good = _matrix(part.column(1))
+                if not len(x) or x.shape[1] != asked.shape[1]:
+                    continue
+                own_ids = part.column(0).filter(pa.array(good))
+                ids = own_ids.to_numpy(zero_copy_only=False)
+                own = np.array(part.column(2).to_pylist(), object)[good] if within else None
+                for label in set(own.tolist()) & of_label.keys() if within else [None]:
+                    mine, rows = np.array(of_label[label]), np.flatnonzero(own == label) if within else np.arange(len(x))
+                    distance = np.round(1 - asked[mine] @ x[rows].T, 5) + 0.0
+                    most = min(k, len(rows)) - 1
+                    reach = np.partition(distance, most, axis=1)[:, most] if len(rows) >= k else np.inf
+                    q, r = np.nonzero(distance <= np.minimum(worst[mine], reach)[:, None])
+                    new = (mine[q], distance[q, r], ids[rows[r]])
+                    best = _keep(new if best is None else tuple(np.concatenate(p) for p in zip(best, new, strict=True)), k)
+                    counts = np.bincount(best[0], minlength=len(asked))
+                    last = np.cumsum(counts) - 1
+                    worst = np.where(counts == k, best[1][np.maximum(last, 0)], np.inf)
+        if best is not None and len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([numbers[n] for n in best[0]], kinds[0]), pa.array(best[2].tolist(), kinds[1]), pa.array(best[1])], names=["query_id", "id", "distance"])
+
+    return near
+
+
 def nearest(queries: DataFrame, catalogue: DataFrame, k: int, block_rows: int = BLOCK_ROWS, within: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest catalogue rows of each query by cosine distance rounded to 5 places,
     then id. queries has (query_id, vector) and catalogue (id, vector), unit vectors; with within, both have that column
     and only rows that agree in it meet.
 
-    A stated set of queries meets all rows: it is cut into blocks of a fixed size, each is broadcast, and every catalogue
-    partition keeps k candidates of each query before the candidates are shuffled. Many blocks run in waves whose results
-    are written, so that plans stay small however many queries there are.
+    A stated set of queries meets all rows: it goes to the tasks in blocks of at most block_rows rows and BLOCK_BYTES, a job
+    for each. A task multiplies the block with some rows at a time, with within only those of one value, and keeps the k
+    nearest of each query. Null vectors, and vectors with nulls or of another size than the query's, are near nothing.
     """
     if not 1 <= k <= 10:
         raise ValueError("k must be from 1 to 10")
-    blocks = max(1, -(-queries.count() // block_rows))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    columns = [*([within] if within else [])]
+    asked = stash(queries.select("query_id", "vector", *columns), "nearest-queries")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    blocks = max(1, -(-n // max(1, min(block_rows, BLOCK_BYTES // (8 * max(width, 1))))))
+    types = asked.schema["query_id"].dataType.simpleString(), catalogue.schema["id"].dataType.simpleString()
+    kinds = asked.select("query_id").limit(0).toArrow().schema.field(0).type, catalogue.select("id").limit(0).toArrow().schema.field(0).type
+    schema = f"query_id {types[0]}, id {types[1]}, distance double"
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     waves = []
-    for start in range(0, blocks, WAVE):
-        met = []
-        for b in range(start, min(blocks, start + WAVE)):
-            block = F.broadcast(queries.where(place == b).select("query_id", F.col("vector").alias("q"), *([within] if within else [])))
-            pairs = catalogue.join(block, within) if within else catalogue.crossJoin(block)
-            met.append(pairs.select("query_id", "id", (F.round(1 - dot("vector", "q"), 5) + F.lit(0.0)).alias("distance")))
-        best = reduce(DataFrame.unionByName, met).withColumn("rank", rank).where(F.col("rank") <= k)
-        waves.append(stash(best, "nearest") if blocks > WAVE else best)
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        x, good = _matrix(held.column("vector"))
+        mine = [v for v, g in zip(held.column("query_id").to_pylist(), good, strict=True) if g]
+        labels = [v for v, g in zip(held.column(within).to_pylist(), good, strict=True) if g] if within else []
+        found = catalogue.select("id", "vector", *columns).mapInArrow(_near(x, labels, mine, k, within is not None, kinds), schema)
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        waves.append(stash(best, "nearest") if blocks > 1 else best)
     return reduce(DataFrame.unionByName, waves)
+
+
+def centers(catalogue: DataFrame, cells: int, sample: int = SAMPLE_ROWS, turns: int = 8):
+    """Unit vectors in the middle of cells, fitted to a sample of at most sample different vectors, the first by hash."""
+    import numpy as np
+
+    sound_rows = catalogue.where(F.col("vector").isNotNull()).select("vector").distinct()
+    x, _ = _matrix(sound_rows.orderBy(F.xxhash64("vector")).limit(sample).toArrow().column("vector"))
+    middle = x[: min(cells, len(x))].copy()
+    for _ in range(turns):
+        own = (x @ middle.T).argmax(1)
+        for c in range(len(middle)):
+            if (own == c).any():
+                middle[c] = x[own == c].mean(0)
+        middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-12)
+    return middle
+
+
+def _cells_of(df: DataFrame, middle, probes: int, into: str) -> DataFrame:
+    """df with its vectors' nearest cells, one row for each of them."""
+
+    @F.pandas_udf("array<int>")
+    def near(values: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return values.map(lambda v: None if v is None or len(v) != middle.shape[1] else np.argsort(-(middle @ np.asarray(v, np.float64)), kind="stable")[:probes].astype(np.int32))
+
+    return df.withColumn(into, F.explode(near(F.col("vector").cast("array<double>"))))
+
+
+def nearest_probed(queries: DataFrame, catalogue: DataFrame, k: int, middle, probes: int) -> DataFrame:
+    """nearest() over the catalogue rows of the probes cells nearest to each query; every row is in the cell of its nearest
+    center. With as many probes as cells the result is that of nearest()."""
+    rows = _cells_of(catalogue.select("id", "vector"), middle, 1, "cell")
+    return nearest(_cells_of(queries.select("query_id", "vector"), middle, probes, "cell"), rows, k, within="cell")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """The share of the exact neighbours that were found."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
+
+
+def probes_for(queries: DataFrame, catalogue: DataFrame, k: int, middle, least: float = LEAST_RECALL, sample: int = PROBE_SAMPLE) -> tuple[int, float]:
+    """(probes, recall): probes doubled until at least that share of the exact neighbours of a sample of queries, the first
+    by hash, is found among all rows; at most all cells, which find everything."""
+    some = stash(queries.select("query_id", "vector").orderBy(F.xxhash64("query_id")).limit(sample), "probe-sample")
+    exact, probes = stash(nearest(some, catalogue, k), "probe-exact"), 1
+    while True:
+        share = recall(nearest_probed(some, catalogue, k, middle, probes), exact)
+        if share >= least or probes >= len(middle):
+            return probes, share
+        probes = min(2 * probes, len(middle))

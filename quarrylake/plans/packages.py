@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import activities, collection, facts, manifest, search
+from quarrylake.operators import activities, collection, facts, manifest, search, vectors
 from quarrylake.sources import documents, files
 from quarrylake.storage import scratch_path, table
 from quarrylake.streaming import graph_load, telemetry
@@ -257,8 +257,17 @@ def phrase_candidates(spark: S, d: str) -> DataFrame:
     return found.select(F.col("record_id").alias("doc_id"), F.col("term_id").alias("item_id"), "phrase_found", F.array_join("words", ",").alias("words"))
 
 
+def knn_probed(spark: S, d: str) -> DataFrame:
+    """Neighbours from the cells nearest to each query, with as many cells as measured recall asks for."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    middle = vectors.centers(rows, 16)
+    probes, _ = vectors.probes_for(asked, rows, 5, middle)
+    return vectors.nearest_probed(asked, rows, 5, middle, probes)
+
+
 def queries() -> dict:
-    found = (phrase_candidates, document_scan, activity_file_scan, telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
+    found = (knn_probed, phrase_candidates, document_scan, activity_file_scan, telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
     return {f.__name__: f for f in found}
 
 

@@ -234,3 +234,26 @@ def test_components_with_hubs(spark):
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert len(found) == 3000 + 3001 + 2
     assert {found[k] for k in (0, 2999, 5000, 7999, 9000)} == {0} and found[10001] == 10000
+
+
+def test_probed_neighbours_reach_the_recall_and_all_cells_are_exact(spark):
+    import random
+
+    rng = random.Random(7)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(k, [m + rng.gauss(0, 0.2) for m in rng.choice(middles)]) for k in range(600)] + [(1000, None), (1001, [])]
+    e = spark.createDataFrame(rows, "id long, vector array<double>").withColumn("vector", F.when(F.size("vector") > 0, vectors.normalize(F.col("vector"))).otherwise(F.col("vector"))).repartition(3)
+    asked = e.where("id % 10 = 0 and id < 1000").withColumnRenamed("id", "query_id")
+    exact = vectors.nearest(asked, e, 5)
+    brute = {}
+    held = {r["id"]: r["vector"] for r in e.collect() if r["vector"]}
+    for q in asked.collect():
+        near = sorted((round(1 - sum(a * b for a, b in zip(q["vector"], v, strict=True)), 5) + 0.0, i) for i, v in held.items())[:5]
+        brute |= {(q["query_id"], n + 1): i for n, (_, i) in enumerate(near)}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in exact.collect()} == brute
+    middle = vectors.centers(e, 12)
+    probes, share = vectors.probes_for(asked, e, 5, middle)
+    assert share >= 0.9 and probes < 12
+    assert vectors.recall(vectors.nearest_probed(asked, e, 5, middle, probes), exact) >= 0.9
+    assert sorted(map(tuple, vectors.nearest_probed(asked, e, 5, middle, 12).collect())) == sorted(map(tuple, exact.collect()))
+    assert vectors.nearest(asked.limit(0), e, 5).count() == 0 and vectors.nearest(asked, e.limit(0), 5).count() == 0
