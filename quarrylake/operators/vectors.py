@@ -132,9 +132,10 @@ def nearest(queries: DataFrame, catalogue: DataFrame, k: int, block_rows: int =
     if not 1 <= k <= 10:
         raise ValueError("k must be from 1 to 10")
     columns = [*([within] if within else [])]
-    asked = stash(queries.select("query_id", "vector", *columns), "nearest-queries")
+    asked = queries.select("query_id", "vector", *columns)
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     blocks = max(1, -(-n // max(1, min(block_rows, BLOCK_BYTES // (8 * max(width, 1))))))
+    asked = stash(asked, "nearest-queries") if blocks > 1 else asked
     types = asked.schema["query_id"].dataType.simpleString(), catalogue.schema["id"].dataType.simpleString()
     kinds = asked.select("query_id").limit(0).toArrow().schema.field(0).type, catalogue.select("id").limit(0).toArrow().schema.field(0).type
     schema = f"query_id {types[0]}, id {types[1]}, distance double"
