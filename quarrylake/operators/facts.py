@@ -16,17 +16,17 @@ KINDS = ("entity", "relation", "observation")
 ENDS = {"relation": ("source_entity_id", "source_type_id", "target_entity_id", "target_type_id"), "observation": ("subject_entity_id", "subject_type_id")}
 NAMES = ["id", "type_id", *ENDS["relation"], *ENDS["observation"], "source_id", "fragment_id"]
 COLUMNS = ["batch", "kind", *NAMES, "value", "unit", "properties", "conditions", "evidence"]
-#: White space around a name that does not count.
-SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: White space that may not stand around a name.
+SPACE = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 
 TYPES = "kind string, type_id string, source_type string, target_type string, subject_type string, value_type string, unit_required boolean"
 PROPERTIES = "kind string, type_id string, property_id string, value_type string, required boolean"
 
 
 def _name(c: Column) -> Column:
-    """A name as it counts: without space around it, in normal form C; null if nothing is left or it holds a NUL."""
+    """A name in normal form C; null if it is empty, has space around it or holds a NUL."""
     bare = F.regexp_replace(c, SPACE, "")
-    return nfc(F.when((bare != "") & ~F.contains(bare, F.lit("\0")), bare))
+    return nfc(F.when((bare != "") & (bare == c) & ~F.contains(bare, F.lit("\0")), c))
 
 
 def value_matches(value: Column, value_type: Column, raw: Column | None = None) -> Column:
@@ -76,7 +76,7 @@ def judge(facts: DataFrame, types: DataFrame, properties: DataFrame, fragments:
     the same batch has (an entity of no row of the batch is allowed); undeclared, missing and ill-typed properties; the
     value, unit and conditions of observations; the evidence's fragment, its source, and its text, which must stand there.
 
-    Names are compared without space around them and in normal form C, evidence exactly. Declarations and values are joined
+    Names are compared in normal form C, evidence exactly; a name with space around it breaks the form. Declarations and values are joined
     by type and property, so that a declaration of any size is data. Texts stay with their fragments: only the facts that
     name a fragment come to it. Empty tables give an empty result; repeated rows are repeated ids; other columns are not read.
     """

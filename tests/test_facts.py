@@ -30,11 +30,11 @@ def judged(spark, *rows):
 CASES = [
     ("entity", {}, None), ("relation", {}, None), ("observation", {}, None),
     ("entity", {"properties": '{"label":"a","steps":2,"hot":true,"ratio":1,"café":"x"}'}, None), ("entity", {"properties": '{"label":"a","ratio":1.5e3}'}, None),
-    ("entity", {"id": " x "}, None), ("entity", {"evidence": "Café"}, None), ("entity", {"properties": '{"label":"a","steps":12345678901234567890123}'}, None),
+    ("entity", {"id": "e\u0301"}, None), ("entity", {"evidence": "Café"}, None), ("entity", {"properties": '{"label":"a","steps":12345678901234567890123}'}, None),
     ("observation", {"type_id": "note", "value": '["a","b"]', "unit": None, "conditions": "{}"}, None), ("observation", {"type_id": "note", "value": "[]", "conditions": "{}"}, None),
     ("observation", {"type_id": "count", "value": "1" + "0" * 400, "conditions": "{}"}, None), ("observation", {"unit": "mN/mé"}, None), ("observation", {"value": "-2"}, None),
     # form
-    ("thing", {}, "SCHEMA"), (None, {}, "SCHEMA"), ("entity", {"id": None}, "SCHEMA"), ("entity", {"id": "  "}, "SCHEMA"), ("entity", {"type_id": " "}, "SCHEMA"), ("entity", {"properties": "[1]"}, "SCHEMA"),
+    ("thing", {}, "SCHEMA"), (None, {}, "SCHEMA"), ("entity", {"id": None}, "SCHEMA"), ("entity", {"id": " x"}, "SCHEMA"), ("entity", {"type_id": "recipe\t"}, "SCHEMA"), ("relation", {"source_type_id": "recipe "}, "ENDPOINT"), ("entity", {"id": "  "}, "SCHEMA"), ("entity", {"type_id": " "}, "SCHEMA"), ("entity", {"properties": "[1]"}, "SCHEMA"),
     ("entity", {"properties": "{"}, "SCHEMA"), ("entity", {"properties": None}, "SCHEMA"), ("entity", {"properties": '{"label":"a","label":"b"}'}, "SCHEMA"), ("entity", {"fragment_id": "xyz"}, "SCHEMA"),
     ("observation", {"value": None}, "SCHEMA"), ("observation", {"conditions": "1"}, "SCHEMA"),
     ("entity", {"evidence": None}, "EVIDENCE"), ("entity", {"evidence": " \n"}, "EVIDENCE"), ("relation", {"source_type_id": None}, "ENDPOINT"), ("relation", {"target_entity_id": " "}, "ENDPOINT"),
@@ -67,12 +67,12 @@ def test_batches(spark):
     rows = [
         fact("entity", batch="one", id="r"), fact("entity", batch="one", id="p", type_id="part", properties="{}"), fact("relation", batch="one", id="u"), fact("observation", batch="one", id="d"),
         fact("entity", batch="two", id="r", type_id="part", properties="{}"), fact("relation", batch="two", id="u"), fact("observation", batch="two", id="d"),
-        fact("entity", batch="three", id="é"), fact("entity", batch="three", id=" é"), fact("entity", batch="three", id="f"),
+        fact("entity", batch="three", id="é"), fact("entity", batch="three", id="e\u0301"), fact("entity", batch="three", id="f"),
         fact("relation", batch="four", id="u"),
     ]
     found = judged(spark, *rows).cache()
     codes = {(r["batch"], r["id"]): r["code"] for r in found.collect()}
-    assert {k: v for k, v in codes.items() if v} == {("two", "u"): facts.ENDPOINT, ("two", "d"): facts.ENDPOINT, ("three", "é"): facts.DUPLICATE}
+    assert {k: v for k, v in codes.items() if v} == {("two", "u"): facts.ENDPOINT, ("two", "d"): facts.ENDPOINT, ("three", "\u00e9"): facts.DUPLICATE}
     assert {tuple(r) for r in facts.batches(found).collect()} == {("one", 4, 0, True), ("two", 3, 2, False), ("three", 3, 2, False), ("four", 1, 0, True)}
     held = spark.createDataFrame([tuple(r[c] for c in facts.COLUMNS) for r in rows], COLUMNS)
     assert sorted(r["batch"] for r in facts.accepted(held, found).collect()) == ["four"] + ["one"] * 4
