@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylake.operators import activities, collection, facts, manifest, search, vectors
+from quarrylake.operators import activities, collection, facts, manifest, ontology, search, vectors
 from quarrylake.sources import documents, files
 from quarrylake.storage import scratch_path, table
 from quarrylake.streaming import graph_load, telemetry
@@ -266,8 +266,24 @@ def knn_probed(spark: S, d: str) -> DataFrame:
     return vectors.nearest_probed(asked, rows, 5, middle, probes)
 
 
+def ontology_validate(spark: S, d: str) -> DataFrame:
+    """An ontology for each brand and size of parts: types of parts with a property for each name, relations to the type of the
+    part before, and what they cover. Names that two types share repeat an id, and other ends are not declared."""
+    part = table(spark, d, "part").withColumn("ontology", F.concat(F.col("p_brand"), F.lit("/"), F.col("p_size").cast("string")))
+    none = F.lit(None).cast("string")
+    element = lambda df, kind, i, value_type=none, source=none, target=none: df.select("ontology", F.lit(kind).alias("kind"), i.alias("id"), i.alias("label"), value_type.alias("value_type"), source.alias("source_type"), target.alias("target_type"), none.alias("subject_type"))
+    types = element(part.select("ontology", "p_type").distinct(), "entity", F.col("p_type"))
+    names = element(part.select("ontology", "p_type", "p_name").distinct(), "property", F.col("p_name"), F.lit("string"))
+    dear = part.where("p_retailprice > 1000")
+    to = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    links = element(dear, "relation", F.concat(F.lit("r"), F.col("p_partkey").cast("string")), none, F.col("p_type"), to)
+    covers = part.where("p_size > 2").select("ontology", F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("question_id"), F.col("p_name").alias("element_id"))
+    docs = part.groupBy("ontology", "p_size").agg(F.count("*").alias("n")).select("ontology", F.concat(F.lit("1."), F.col("n").cast("string"), F.lit(".0")).alias("version"), F.when(F.col("p_size") % 2 == 0, "1.2.0").alias("base_version"), F.when(F.col("p_size") % 2 == 0, "1.2.0").alias("approved_version"))
+    return ontology.judge(docs, types.unionByName(names).unionByName(links), covers)
+
+
 def queries() -> dict:
-    found = (knn_probed, phrase_candidates, document_scan, activity_file_scan, telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
+    found = (ontology_validate, knn_probed, phrase_candidates, document_scan, activity_file_scan, telemetry_sliding_stream, index_stream, manifest_walk, manifest_graph_load, collection_build, collection_guarded_sql, collection_result, graph_upsert_stream, fact_batch_validate)
     return {f.__name__: f for f in found}
 
 
@@ -286,6 +302,18 @@ r AS (
 _FRAGMENT = "sha256(source || chr(0) || 'document:' || doc_id || chr(0) || coalesce(text, ''))"
 
 SQL = {
+    "ontology_validate": """
+WITH p AS (SELECT *, p_brand || '/' || p_size AS ontology FROM part),
+e AS (SELECT DISTINCT ontology, p_type AS id FROM p), n AS (SELECT DISTINCT ontology, p_type, p_name AS id FROM p), r AS (SELECT * FROM p WHERE p_retailprice > 1000),
+ids AS (SELECT ontology, id FROM e UNION ALL SELECT ontology, id FROM n UNION ALL SELECT ontology, 'r' || p_partkey FROM r),
+c AS (SELECT ontology, count(*) AS elements FROM ids GROUP BY ontology),
+t AS (SELECT ontology, count(*) AS repeated FROM (SELECT ontology, id FROM ids GROUP BY ontology, id HAVING count(*) > 1) GROUP BY ontology),
+u AS (SELECT ontology, count(*) AS unknown FROM r WHERE p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM e WHERE e.ontology = r.ontology AND e.id = lower(p_type)) GROUP BY ontology),
+o AS (SELECT ontology, p_size, count(*) AS n FROM p GROUP BY ontology, p_size)
+SELECT o.ontology, elements, 0 AS malformed, coalesce(repeated, 0) AS repeated_ids, coalesce(unknown, 0) AS unknown_references,
+       CASE WHEN p_size <= 2 THEN 'ONTOLOGY_SCHEMA_INVALID' WHEN repeated > 0 THEN 'ONTOLOGY_ID_DUPLICATE' WHEN unknown > 0 THEN 'ONTOLOGY_REFERENCE_INVALID'
+            WHEN p_size % 2 = 0 AND n = 2 THEN 'ONTOLOGY_VERSION_CONFLICT' END AS code
+FROM o JOIN c USING (ontology) LEFT JOIN t USING (ontology) LEFT JOIN u USING (ontology)""",
     "phrase_candidates": """
 WITH d AS (SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g')) AS t FROM documents),
 b AS (SELECT item_id, replace(lower(array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[2:4], ' ')), 'ß', 'ss') AS p FROM benchmark),

@@ -170,12 +170,6 @@ def ontology_reference_check(spark: S, d: str) -> DataFrame:
     return rel.join(types, "t", "left_anti").select("n_nationkey", F.col("t").alias("unknown_type"))
 
 
-def ontology_validate(spark: S, d: str) -> DataFrame:
-    types = table(spark, d, "part").select(F.lower("p_type").alias("type_id"), F.concat_ws(".", F.lit("1"), F.col("p_size") % 3, F.lit("x").substr(F.lit(1), (F.col("p_size") == 1).cast("int"))).alias("version"))
-    held = types.groupBy("type_id").agg(F.count("*").alias("n"), F.count(F.when(~F.col("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), 1)).alias("bad_versions"))
-    return held.withColumn("duplicate", F.col("n") > 1)
-
-
 def fact_batch_pinning(spark: S, d: str) -> DataFrame:
     pin = F.sha2(F.concat(F.lit("v"), F.col("doc_id") % 3), 256)
     return table(spark, d, "labels").groupBy(pin.alias("pin")).agg(F.count("*").alias("facts"), F.min("doc_id").alias("first"))
@@ -283,7 +277,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, ontology_validate, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -359,8 +353,6 @@ SELECT response, k, url, content_sha, day FROM k WHERE k <= 5""",
     "ontology_reference_check": """
 WITH r AS (SELECT n_nationkey, n_regionkey AS t FROM nation UNION ALL SELECT n_nationkey, n_nationkey FROM nation)
 SELECT n_nationkey, t AS unknown_type FROM r WHERE t NOT IN (SELECT r_regionkey FROM region)""",
-    "ontology_validate": """
-SELECT lower(p_type) AS type_id, count(*) AS n, count(*) AS bad_versions, count(*) > 1 AS duplicate FROM part GROUP BY 1""",
     "fact_batch_pinning": "SELECT sha256('v' || doc_id % 3) AS pin, count(*) AS facts, min(doc_id) AS first FROM labels GROUP BY 1",
     "collection_inspect": """
 SELECT 'documents' AS name, count(*) AS rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic' FROM labels
