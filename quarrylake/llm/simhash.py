@@ -26,6 +26,11 @@ SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, 0.8, 20
 #: Shards of a document in the search by similarity, one for each of so many least hashes of its shingles. Two texts of
 #: similarity s share no shard with probability (1 - s) ** KEYS: 0.00006 at 0.8.
 KEYS = 6
+#: Bytes of a text's sketch, one of each of so many least hashes, and how many of them two candidates must have in common. Two
+#: texts of similarity 0.8 have fewer with probability 0.00006; of similarity 0.33 they have as many with the same probability.
+SKETCH, SKETCH_SAME = 64, 37
+#: Most texts of a shard that are compared as pairs; texts of larger shards meet by their rarest shingles instead.
+FEW = 64
 #: Most texts and most shingles of a piece of a group whose similarities are computed.
 PIECE_ROWS, PIECE_SHINGLES = 1024, 1 << 22
 #: Counts of a text's shingles by their first bits, which bound how many two texts can share.
@@ -64,11 +69,23 @@ def simhash(hashes) -> int:
     return int(bits.view("<u8")[0])
 
 
+def least_hashes(hashes, factors):
+    """The least of some hashes, not none, under each of the shuffles that odd factors make."""
+    import numpy as np
+
+    found = np.full(len(factors), ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12)]
+        np.minimum(found, np.multiply.outer(part ^ (part >> np.uint64(31)), factors).min(axis=0), out=found)
+    return found
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, keys: int = 0) -> DataFrame:
-    """(id, fp long, keys array<long>): the fingerprint of every whole text; null and blank texts have fingerprint zero.
+    """(id, fp long, keys array<long>, sketch binary): the fingerprint of every whole text; null and blank texts have
+    fingerprint zero.
 
-    keys holds the least of the text's shingle hashes under each of so many fixed shuffles of the hashes; a text without
-    words has none, and there is no such column if keys is 0.
+    keys holds the least of the text's shingle hashes under each of so many fixed shuffles of the hashes, sketch the last byte
+    of the least under each of SKETCH shuffles; a text without words has none. There are no such columns if keys is 0.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -76,24 +93,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        factors = [np.uint64(xxh64_intdigest(str(k), SEED) | 1) for k in range(keys)]
+        factors = np.array([xxh64_intdigest(str(k), SEED) | 1 for k in range(SKETCH)], np.uint64)
         for batch in batches:
-            fps, least, ends = [], [], [0]
+            fps, least, sketches = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 hashes = shingle_hashes(text.as_py(), width)
                 fps.append(simhash(hashes))
                 if keys:
-                    if len(hashes):
-                        mixed = hashes ^ (hashes >> np.uint64(31))
-                        least += [(mixed * f).min() for f in factors]
-                    ends.append(len(least))
+                    found = least_hashes(hashes, factors) if len(hashes) else np.zeros(0, np.uint64)
+                    least.append(found[:keys].view(np.int64))
+                    sketches.append(found.astype(np.uint8).tobytes())
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
             if keys:
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(least, np.uint64).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "keys"][: len(columns)])
+                columns += [pa.array(least, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "keys", "sketch"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"id {kind}, fp long" + (", keys array<long>" if keys else "")
+    out = f"id {kind}, fp long" + (", keys array<long>, sketch binary" if keys else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
@@ -164,6 +180,21 @@ def _link_shard(members: list[int], queries: list[int], radius: int) -> list[tup
     return forest.links()
 
 
+def _link_sketched(members: list[tuple[int, bytes]], radius: int) -> list[tuple[int, int]]:
+    """Links of (fingerprint, sketch) within radius bits whose sketches have SKETCH_SAME bytes in common, as a star forest."""
+    import numpy as np
+
+    forest, tree, sketches = Forest(), BKTree(), {}
+    for fp, sketch in members:
+        own = np.frombuffer(sketch, np.uint8)
+        for other in tree.within(fp, radius):
+            if forest.root(other) != forest.root(fp) and np.count_nonzero(own == sketches[other]) >= SKETCH_SAME:
+                forest.unite(fp, other)
+        tree.add(fp)
+        sketches[fp] = own
+    return forest.links()
+
+
 def _link_similar(members: list[tuple], queries: list[tuple], radius: int, least: float) -> list[tuple[int, int]]:
     """Links of (fingerprint, distinct shingle hashes) with a Jaccard similarity of least or more, as a star forest.
 
@@ -237,6 +268,47 @@ def search(shards: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> Data
     return cells.mapInArrow(run, "u long, v long").distinct()
 
 
+def _counted(shards: DataFrame) -> DataFrame:
+    """shards (fp, pair, bits) with n, the fingerprints of the shard; shards of one are left out."""
+    sizes = stash(shards.groupBy("pair", "bits").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    return stash(shards.join(sizes, ["pair", "bits"]), "simhash-shards")
+
+
+def _compared(shards: DataFrame, sketches: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links that connect the fingerprints of each shard of at most FEW that are near in bits and sketch."""
+    rows = shards.where(F.col("n") <= FEW).join(sketches, "fp").withColumn("pieces", F.lit(1))
+    cells = _cells(rows, ["pair", "bits"], ["fp", "sketch"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        def values(batch) -> list:
+            fps = batch.column(5).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+            return list(zip(fps, batch.column(6).to_pylist(), strict=True))
+
+        for members, _ in _meetings(batches, 4, values):
+            yield _pairs(_link_sketched(members, radius))
+
+    return cells.mapInArrow(run, "u long, v long").distinct()
+
+
+def rarest_shingles(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(fp, bits): shingles of (fp, shingles) such that two sets with a Jaccard similarity of least or more share at least one.
+
+    In any order that holds for all sets, two such sets share one of their first n - ceil(least * n) + 1 shingles, n being the
+    size of each. Here shingles of at most FEW sets stand first, by hash, then the others by how many sets have them, so that
+    a passage of many texts counts only where it leaves hardly anything else. An empty set has none.
+    """
+    rows = sets.select("fp", F.explode("shingles").alias("bits"))
+    common = stash(rows.groupBy("bits").agg(F.count("*").alias("n")).where(F.col("n") > FEW), "simhash-common")
+    own = rows.join(common, "bits").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "bits"))).alias("common"))
+    common_last = F.coalesce(F.transform("common", lambda s: s["bits"]), F.array().cast("array<long>"))
+    size = F.size("shingles")
+    first = (size - F.ceil(size * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
+    ordered = sets.join(own, "fp", "left").select("fp", F.concat(F.array_except("shingles", common_last), common_last).alias("ordered"), first.alias("first"))
+    return ordered.select("fp", F.explode(F.slice("ordered", F.lit(1), F.col("first"))).alias("bits"))
+
+
 def similar_links(sets: DataFrame, radius: int = SIMILAR_RADIUS, least: float = SIMILAR) -> DataFrame:
     """(u, v): links that connect the fingerprints of each group that are joined by similarity: a Jaccard similarity of least or
     more and at most radius differing bits. sets has (group, fp, shingles), shingles distinct; it is read more than once.
@@ -361,9 +433,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs without near-duplicates: of each class exactly one row stays, that with the smallest id; a null id is the greatest.
 
     Texts are linked by equal fingerprints or by a Jaccard similarity of least or more of their sets of width-word shingles; a
-    class is all that links connect. Fingerprints that share a least hash (see KEYS) and lie within SIMILAR_RADIUS bits in
-    their shard's BK-tree form groups of candidates, and the similarity of candidates is computed from the whole texts, so
-    only similar texts are linked. A link is missed where two texts share no least hash or differ in more bits.
+    class is all that links connect. Fingerprints that share a least hash (see KEYS) form a shard. In a shard of at most FEW,
+    those within SIMILAR_RADIUS bits in its BK-tree whose sketches agree are candidates. The texts of all larger shards meet
+    by their rarest shingles, which loses no similar texts: shingles of at most FEW texts are shards again, and texts that are
+    similar but for a fifth to shingles of more than FEW texts form groups. The similarity of candidates is computed from the
+    whole texts in groups that candidates connect, so only similar texts are linked. A link is missed where two texts share no
+    least hash, differ in more bits or have sketches that do not agree.
 
     Null and blank texts are one class. Of rows with equal ids the one with the smallest hash of its text stays, of rows that
     repeat an id and its text the first. Rows are told apart by their number in a copy of docs in the shared folder, which
@@ -373,12 +448,29 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     text = F.col(text_col).cast("string").alias("text")
     key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row"))
     own = stash(fingerprints(held.select(key.alias("key"), text), "key", "text", width, KEYS), "simhash-fingerprints")
-    classes = stash(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-classes")
-    shards = own.select("fp", F.posexplode("keys").alias("pair", "bits")).distinct()
-    near = connected_components(search(shards, SIMILAR_RADIUS))
-    chosen = near.join(classes, near["node"] == classes["fp"]).select(F.col("least.row").alias(ROW), "fp", F.col("component").alias("group"))
+    first = F.min(F.struct("id", "keys", "sketch"))
+    told = stash(own.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), "simhash-classes")
+    classes, sketches = told.select("fp", F.col("first.id").alias("least"), "n"), told.select("fp", "first.sketch")
+
+    shards = _counted(told.select("fp", F.posexplode("first.keys").alias("pair", "bits")))
+    few = stash(_compared(shards, sketches, SIMILAR_RADIUS), "simhash-candidates")
+    many = shards.where(F.col("n") > FEW).select("fp").distinct().withColumn("many", F.lit(1))
+    met = few.select(F.col("u").alias("fp")).unionByName(few.select(F.col("v").alias("fp"))).withColumn("many", F.lit(0)).unionByName(many)
+    met = met.groupBy("fp").agg(F.max("many").cast("long").alias("group"))
+    chosen = stash(met.join(classes, "fp").select(F.col("least.row").alias(ROW), "fp", "group"), "simhash-chosen")
     sets = stash(shingle_sets(held.select(ROW, text).join(chosen, ROW), width), "simhash-sets")
-    joined = connected_components(similar_links(sets, SIMILAR_RADIUS, least))
+
+    rare = rarest_shingles(sets.where(F.col("group") == 1), least).select("fp", F.lit(0).alias("pair"), "bits")
+    rekeyed = _counted(rare)
+    crowd = rekeyed.where(F.col("n") > FEW)
+    lowest = stash(crowd.groupBy("bits").agg(F.min("fp").alias("v")), "simhash-crowds")
+    star = crowd.join(lowest, "bits").select(F.col("fp").alias("u"), "v")
+    near = connected_components(few.unionByName(_compared(rekeyed, sketches, SIMILAR_RADIUS)).unionByName(star))
+
+    grouped = sets.drop("group").join(near.select(F.col("node").alias("fp"), F.col("component").alias("group")), "fp")
+    grouped = stash(grouped.select("group", "fp", "shingles"), "simhash-groups")
+    joined = connected_components(similar_links(grouped, SIMILAR_RADIUS, least))
+    discard(shards, rekeyed, few, chosen, grouped)
     discard(sets)
     found = _labelled(own, classes, joined)
     dropped = found.where("id <> component").select(F.col("id.row").alias(ROW))

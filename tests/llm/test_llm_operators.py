@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from brute_force import brute_similar
 from pyspark.sql import functions as F
 
@@ -560,3 +562,59 @@ def test_toxicity_folds_hold_equal_texts_together(monkeypatch):
     toxicity.train(None, None, ["toxic"])
     p, y = seen[0]
     assert abs(p[y == 1].mean() - p[y == 0].mean()) < 0.25  # out-of-fold probabilities know nothing of random labels
+
+
+def test_rarest_shingles_meet_and_leave_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 4)
+    rng = random.Random(5)
+    passage = rng.sample(range(10_000), 60)
+    sets = [sorted({*rng.sample(range(10_000, 10**6), 60), *passage}) for _ in range(12)]
+    for own in list(sets[:6]):
+        sets.append(sorted({*own[:54], *own[60:], *rng.sample(range(10_000, 10**6), 4)}))
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([*sets, []])], "fp long, shingles array<long>")
+    found = {}
+    for r in simhash.rarest_shingles(rows).collect():
+        found.setdefault(r["fp"], set()).add(r["bits"])
+    assert len(sets) not in found
+    for a in range(len(sets)):
+        assert not found[a] & set(passage)
+        for b in range(a):
+            if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}):
+                assert found[a] & found[b]
+
+
+def test_sketches_tell_similar_texts_from_others():
+    rng = np.random.default_rng(3)
+    factors = np.array([xxhash.xxh64_intdigest(str(k), simhash.SEED) | 1 for k in range(simhash.SKETCH)], np.uint64)
+    same = {0.8: [], 0.33: []}
+    for share, found in same.items():
+        for _ in range(300):
+            n = 120
+            both = round(2 * n * share / (1 + share))
+            hashes = rng.integers(0, 1 << 63, 2 * n - both, np.uint64) * np.uint64(2) + np.uint64(1)
+            a, b = (simhash.least_hashes(part, factors).astype(np.uint8) for part in (hashes[:n], hashes[n - both :]))
+            found.append(int((a == b).sum()))
+    assert abs(np.mean(same[0.8]) / simhash.SKETCH - 0.8) < 0.02
+    assert min(same[0.8]) >= simhash.SKETCH_SAME > max(same[0.33])
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_keep_one_with_crowded_shards_matches_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "PIECE_ROWS", 7)
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(4000)]
+    passages = [rng.choices(words, k=60) for _ in range(2)]
+    texts = {}
+    for k in range(60):
+        texts[k] = " ".join(rng.choices(words, k=60) + passages[k % 2])
+    base = rng.choices(words, k=150)
+    for k in range(60, 90):  # a large group of near copies
+        edited = list(base)
+        for _ in range(rng.randint(0, 3)):
+            edited[rng.randrange(150)] = rng.choice(words)
+        texts[k] = " ".join(edited)
+    for k in range(90, 100):  # texts of shared passages alone
+        texts[k] = " ".join(passages[k % 2] + passages[1 - k % 2] if k < 95 else passages[k % 2])
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
+    assert kept == set(brute_similar(texts).values())
