@@ -12,6 +12,9 @@ from quarrylake.operators import news
 from quarrylake.operators.components import connected_components
 from quarrylake.storage import stash
 
+#: Words of a quote that are looked for before the whole is compared.
+SEED_WORDS = 8
+
 
 def grouped_links(records: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
     """(component, basis, u, v): the links of records with an equal key, by the group that all links together connect.
@@ -82,6 +85,38 @@ def quote_problems(sources: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select(F.lit("NEWS_EVIDENCE_INVALID").alias("code"), rule.alias("rule"), F.concat_ws(":", "kind", F.coalesce("owner", F.lit("")), F.col("source_id").cast("string")).alias("subject"))
 
 
+def _window_hashes(words: str, width: int) -> Column:
+    """The distinct hashes of all windows of width words; null if there are fewer words."""
+    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1))
+    return F.array_distinct(F.transform(starts, lambda at: F.xxhash64(F.array_join(F.slice(words, at, F.lit(width)), " "))))
+
+
+def locate_quotes(docs: DataFrame, id_col: str, text_col: str, quotes: DataFrame, quote_id: str, quote_col: str) -> DataFrame:
+    """(quote_id, id): the documents in which each whole quote stands, word by word; white space divides words.
+
+    A quote looks for its first SEED_WORDS words, or all if it has fewer: their hash is joined with that of every such window
+    of the documents, and only what meets is compared as a whole. A null or blank quote stands nowhere. Rows that repeat a
+    pair of ids are one.
+    """
+    words = F.split(spaced(F.coalesce(F.col(quote_col).cast("string"), F.lit(""))), " ")
+    asked = quotes.select(F.col(quote_id).alias("q"), F.array_join(words, " ").alias("quote"), F.least(F.size(words), F.lit(SEED_WORDS)).alias("width"), words.alias("words")).where("quote <> ''")
+    asked = stash(asked.select("q", "quote", "width", F.xxhash64(F.array_join(F.slice("words", F.lit(1), F.col("width")), " ")).alias("seed")), "archive-quotes")
+    seeds = asked.select("width", "seed").distinct()
+
+    body = spaced(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    held = stash(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), body.alias("body")), "archive-texts")
+    split = held.select("row", F.split("body", " ").alias("words"))
+    met = None
+    for width in sorted(r["width"] for r in seeds.select("width").distinct().collect()):
+        windows = split.select("row", F.explode(_window_hashes("words", width)).alias("seed")).join(seeds.where(F.col("width") == width), "seed")
+        met = windows if met is None else met.unionByName(windows)
+    if met is None:
+        return asked.join(held, F.lit(False)).select(F.col("q").alias("quote_id"), "id")
+    pairs = asked.join(met.distinct(), ["width", "seed"]).join(held, "row")
+    whole = F.contains(F.concat(F.lit(" "), "body", F.lit(" ")), F.concat(F.lit(" "), "quote", F.lit(" ")))
+    return pairs.where(whole).select(F.col("q").alias("quote_id"), "id").distinct()
+
+
 def evidence_problems(decisions: DataFrame, members: DataFrame, citations: DataFrame) -> DataFrame:
     """(code, rule, subject): included sources without a publication citation; event memberships (event_id, source_id) without
     exactly one event citation; event and attribute citations of sources that are not the event's."""

@@ -45,7 +45,13 @@ def archive_groups(spark: S, d: str) -> DataFrame:
     return archives.group_rows(_links(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (news_result_check, archive_groups)}
+def quote_locations(spark: S, d: str) -> DataFrame:
+    """Documents in which whole benchmark items stand."""
+    found = archives.locate_quotes(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return found.select(F.col("quote_id").alias("item_id"), F.col("id").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (news_result_check, archive_groups, quote_locations)}
 
 SQL = {
     "news_result_check": """
@@ -75,6 +81,10 @@ UNION ALL SELECT 'NEWS_EVENT_INVALID', 'not_included', ev || ':' || doc_id FROM
 UNION ALL SELECT 'NEWS_EVENT_INVALID', 'no_event', doc_id::VARCHAR FROM inc WHERE doc_id NOT IN (SELECT doc_id FROM m)
 UNION ALL SELECT 'NEWS_DUPLICATE_EVENT', 'same_content', a.ev || ':' || min(z.ev) FROM evs a JOIN evs z ON a.content = z.content AND a.docs = z.docs AND z.ev < a.ev GROUP BY a.ev
 UNION ALL SELECT 'NEWS_DUPLICATE_EVENT', 'repost_apart', doc_id::VARCHAR FROM r WHERE text IN (SELECT text FROM apart)""",
+    "quote_locations": """
+WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '[\\x20\\t-\\r]+', ' ', 'g')) || ' ' AS body FROM documents),
+b AS (SELECT item_id, trim(regexp_replace(text, '[\\x20\\t-\\r]+', ' ', 'g')) AS quote FROM benchmark)
+SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(body, ' ' || quote || ' ') WHERE quote <> ''""",
     "archive_groups": """
 WITH RECURSIVE k AS (
   SELECT doc_id, 'text' AS basis, lower(text) AS key FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 'head', left(text, 60) FROM documents WHERE trim(left(text, 60)) <> ''

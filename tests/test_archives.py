@@ -52,3 +52,14 @@ def test_groups_unite_keys_and_name_them(spark):
     links = archives.grouped_links(spark.createDataFrame(rows, "id long, url string, text string"), "id", {"url": F.col("url"), "text": F.col("text")})
     assert {tuple(r) for r in links.collect()} == {(2, "text", 2, 5), (2, "url", 2, 9)}
     assert {tuple(r) for r in archives.group_rows(links).collect()} == {(2, 2, "text,url"), (5, 2, "text"), (9, 2, "url")}
+
+
+def test_quotes_are_located_whole(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    docs = [(1, f"a {long} b"), (2, long.replace("w29", "w2")), (3, long.replace(" ", " \n")), (4, None), (5, "one two"), (5, "one two"), (6, "one twofold"), (None, "one two")]
+    quotes = [("long", long), ("short", "one  two"), ("word", "b"), ("none", None), ("blank", " "), ("absent", f"{long} c")]
+    d, q = spark.createDataFrame(docs, "id long, body string"), spark.createDataFrame(quotes, "q string, text string")
+    found = archives.locate_quotes(d, "id", "body", q, "q", "text").collect()
+    assert sorted(map(tuple, found), key=str) == [("long", 1), ("long", 3), ("short", 5), ("short", None), ("word", 1)]
+    assert archives.locate_quotes(d, "id", "body", q.limit(0), "q", "text").count() == 0
+    assert archives.locate_quotes(d.limit(0), "id", "body", q, "q", "text").count() == 0
