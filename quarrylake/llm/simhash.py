@@ -27,7 +27,7 @@ SIMILAR_WORDS, SIMILAR, SIMILAR_RADIUS = 5, 0.8, 20
 #: similarity s share no shard with probability (1 - s) ** KEYS: 0.00006 at 0.8.
 KEYS = 6
 #: Bytes of a text's sketch, one of each of so many least hashes, and how many of them two candidates must have in common. Two
-#: texts of similarity 0.8 have fewer with probability 0.00006; of similarity 0.33 they have as many with the same probability.
+#: texts of similarity 0.8 have fewer with probability 0.00001; of similarity 0.33 they have as many with probability 0.00005.
 SKETCH, SKETCH_SAME = 64, 37
 #: Most texts of a shard that are compared as pairs; texts of larger shards meet by their rarest shingles instead.
 FEW = 64
