@@ -60,7 +60,8 @@ def op2_char_ratio_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False).where("problem is null")
+    """A row for each page; a record that fails a check is not left out."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False).where("record_type is not null")
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

@@ -16,9 +16,11 @@ from quarrylake.storage import scratch_path
 REVISIT_BYTES = 100
 RECORDS_PER_FILE = 1000
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-#: Bytes of a damaged member that are unpacked at a time.
-PIECE = 1 << 14
+#: Bytes of a member that are unpacked at a time, and that a name or comment in its header has at most.
+PIECE, MOST_NAME = 1 << 14, 1 << 12
 TRUNCATED = "member does not end"
+#: Stands among a salvaged record's headers for the fault of its member; no header line has such a name.
+MEMBER_FAULT = ":member"
 #: A gzip member without content. It ends every record, as Spark's text writer ends every line with the same bytes.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,66 +69,80 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def _parse(data: bytes, at: int, end: int) -> tuple[dict, int, int, int] | str:
-    """(headers, start and stop of the block, end of the record) at a version line, or what is wrong."""
-    stop = data.find(b"\r\n\r\n", at, end)
-    if not data.startswith(VERSION, at) or stop < 0:
-        return "no version line" if stop >= 0 else "headers do not end"
-    headers = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+def _parse(data: bytes, at: int) -> tuple[dict, int, int, int] | tuple[str, int]:
+    """(headers, start and stop of the block, end of the record) at a version line, or (what is wrong, where to go on).
+
+    A version line between a failed start and the place to go on would fail too, as it shares the lines that failed: they
+    are read once, however many version lines stand among them.
+    """
+    end = len(data)
+    headers, signed = {}, 0
+    line = data.find(b"\r\n", at)
+    while line >= 0:
+        first = line + 2
+        line = data.find(b"\r\n", first)
+        if line <= first:
+            break
+        name, colon, value = data[first:line].partition(b":")
         if not colon:
-            return "bad header line"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+            return "bad header line", first
+        name = name.strip().lower().decode("latin-1")
+        headers[name] = value.strip().decode("utf-8", "replace")
+        if name == "warc-block-digest":
+            signed = first
+    if line < 0:
+        return "headers do not end", end
     if not headers.get("content-length", "").isdecimal():
-        return "no length"
-    first = stop + 4
+        return "no length", line
+    first = line + 2
     last = first + int(headers["content-length"])
     if last + 4 > end or data[last : last + 4] != b"\r\n\r\n":
-        return "block does not end"
+        return "block does not end", line
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind == "sha256" and hashlib.sha256(memoryview(data)[first:last]).hexdigest() != digest.lower():
-        return "block digest differs"
+        return "block digest differs", signed
     return headers, first, last, last + 4
 
 
-def _unpack(content: bytes, at: int) -> tuple[bytes, int] | str:
-    """(data, end) of the gzip member at a position, or what is wrong. It is fed up to the next likely member at a time."""
-    packed, out, view, begin = zlib.decompressobj(31), [], memoryview(content), at
-    while not packed.eof:
-        if begin >= len(content):
-            return TRUNCATED
-        stop = content.find(MAGIC, begin + 3)
-        stop = len(content) if stop < 0 else stop
-        try:
-            out.append(packed.decompress(view[begin:stop]))
-        except zlib.error as e:
-            return f"member is damaged: {e}"
-        begin = stop
-    return b"".join(out), begin - len(packed.unused_data)
+def _is_member(content: bytes, at: int) -> bool:
+    """Whether a gzip header stands at a position: known flags, and a name and comment that end within MOST_NAME bytes each."""
+    if at + 10 > len(content) or content[at + 3] & 0xE0:
+        return False
+    flags, place = content[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(content[place : place + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            place = content.find(b"\0", place, place + MOST_NAME) + 1
+            if not place:
+                return False
+    return place <= len(content)
 
 
-def _partial(content: bytes, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """(data, position): what a damaged member gives up to its damage, or until most bytes are out, and how far it was read.
+def _inflate(content: bytes, at: int, most: int | None = None) -> tuple[bytes, int, str]:
+    """(data, end, what is wrong) of the gzip member at a position, up to its damage or until most bytes are out.
 
-    It is fed in pieces; the piece that fails, or that gives the last byte asked for, is fed again byte by byte.
+    It is fed in pieces that grow; the piece that fails, or that gives the last byte asked for, is halved down to a byte.
     """
-    packed, out, size, place, step = zlib.decompressobj(31), [], 0, at, PIECE
-    while place < len(content) and not packed.eof and (most is None or size < most):
-        before = packed.copy() if step > 1 else None
+    packed, out, size, place, step, narrow = zlib.decompressobj(31), [], 0, at, 256, False
+    while not packed.eof and (most is None or size < most):
+        if place >= len(content):
+            return b"".join(out), place, TRUNCATED
+        before, data, fault = packed.copy(), b"", ""
         try:
             data = packed.decompress(content[place : place + step])
-        except zlib.error:
-            data = None
-        if step > 1 and (data is None or most is not None and size + len(data) >= most):
-            packed, step = before, 1
+        except zlib.error as e:
+            fault = f"member is damaged: {e}"
+        if step > 1 and (fault or most is not None and size + len(data) >= most):
+            packed, step, narrow = before, step // 2, True
             continue
-        if data is None:
-            break
+        if fault:
+            return b"".join(out), place, fault
         out.append(data)
         size += len(data)
         place = min(place + step, len(content))
-    return b"".join(out), place
+        step = step if narrow else min(2 * step, PIECE)
+    return b"".join(out), place - len(packed.unused_data), ""
 
 
 def _records(data: bytes) -> tuple[list[tuple | str], int]:
@@ -134,33 +150,34 @@ def _records(data: bytes) -> tuple[list[tuple | str], int]:
     items: list[tuple | str] = []
     place = reached = 0
     while 0 <= place < len(data):
-        parsed = _parse(data, place, len(data))
-        if not isinstance(parsed, str):
+        parsed = _parse(data, place) if data.startswith(VERSION, place) else ("no version line", 0)
+        if len(parsed) == 4:
             items.append((parsed[0], data[parsed[1] : parsed[2]]))
             place = reached = parsed[3]
             continue
         if not items or not isinstance(items[-1], str):
-            items.append(parsed)
-        place = data.find(VERSION, place + 1)
+            items.append(parsed[0])
+        place = data.find(VERSION, max(place + 1, parsed[1]))
     return items, reached
 
 
 def _salvage_member(content: bytes, at: int) -> tuple[list[tuple | str], int, str]:
     """(records and gaps, end, what is wrong with the member as a whole) of the member at a position.
 
-    Of a member that is damaged or ends early, the records before that are kept; end is then where they end. If the only
-    record of a damaged member is in order, the damage may be in its headers, which have no digest: it is not kept.
+    Of a member that is damaged or ends early, the records before that are kept, be they one or many; end is then where
+    they end.
     """
-    got = _unpack(content, at)
-    if not isinstance(got, str):
-        items, _ = _records(got[0])
-        return items, got[1], ""
-    items, reached = _records(_partial(content, at)[0])
-    if not reached or len(items) == 1 and got != TRUNCATED:
-        return [], at + 1, got
+    if not _is_member(content, at):
+        return [], at + 1, "no member header"
+    data, end, problem = _inflate(content, at)
+    items, reached = _records(data)
+    if not problem:
+        return items, end, ""
+    if not reached:
+        return [], at + 1, problem
     if isinstance(items[-1], str):  # part of the gap that follows
         items.pop()
-    return items, _partial(content, at, reached)[1], got
+    return items, _inflate(content, at, reached)[1], problem
 
 
 def salvage(content: bytes) -> Iterator[tuple]:
@@ -169,25 +186,29 @@ def salvage(content: bytes) -> Iterator[tuple]:
     Positions are those in the file; records and gaps inside a gzip member have the member's. After a failed check the
     reader looks for the next valid gzip member or version line, inside a member for the next version line of its data; what
     lies between is a gap. Headers have no digest: in a member that fails its checksum, a record's block is verified only.
+    Such records are kept, and their headers name the member's fault as MEMBER_FAULT (else it is empty).
+
+    False starts are told apart without searching the rest of the file: see _parse and _is_member.
     """
-    at, bad, reason = 0, None, ""
+    at, bad, reason, failed = 0, None, "", 0
+    following = _Starts(content)
     while at < len(content):
         items: list[tuple | str] = []
         problem, end = "neither member nor version line", at + 1
         if content.startswith(MAGIC, at):
             items, end, problem = _salvage_member(content, at)
-        elif content.startswith(VERSION, at):
-            parsed = _parse(content, at, len(content))
-            if isinstance(parsed, str):
-                problem = parsed
-            else:
+        elif at >= failed and content.startswith(VERSION, at):
+            parsed = _parse(content, at)
+            if len(parsed) == 4:
                 items, problem, end = [(parsed[0], content[parsed[1] : parsed[2]])], "", parsed[3]
+            else:
+                problem, failed = parsed
         if items and all(isinstance(x, str) for x in items):
             items, problem = [], items[0]
         if problem and not items:
             if bad is None:
                 bad, reason = at, problem
-            at = _next(content, at + 1)
+            at = following.next(at + 1)
             continue
         if bad is not None:
             yield bad, at, None, None, reason
@@ -197,19 +218,30 @@ def salvage(content: bytes) -> Iterator[tuple]:
                 yield at, end, None, None, item
                 continue
             headers, block = item
+            headers[MEMBER_FAULT] = problem
             yield at, end, headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block, None
         if problem and end == len(content):
             yield at, end, None, None, problem
         elif problem:  # the rest of a damaged member
-            bad, reason, end = end, problem, _next(content, end)
+            bad, reason, end = end, problem, following.next(end)
         at = end
     if bad is not None:
         yield bad, len(content), None, None, reason
 
 
-def _next(content: bytes, at: int) -> int:
-    """The next position that looks like a member or a version line, or the end."""
-    return min((p for p in (content.find(MAGIC, at), content.find(VERSION, at)) if p >= 0), default=len(content))
+class _Starts:
+    """The positions that look like a member or a version line, asked for in rising order; each byte is searched once."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.ahead = content, {MAGIC: -1, VERSION: -1}
+
+    def next(self, at: int) -> int:
+        """The first of them from a position on, or the end."""
+        for mark, place in self.ahead.items():
+            if place < at:
+                found = self.content.find(mark, at)
+                self.ahead[mark] = len(self.content) if found < 0 else found
+        return min(self.ahead.values())
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "*") -> DataFrame:
@@ -217,7 +249,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "
 
     Columns: file, offset, stop; record_type, record_id, refers_to (record numbers as text), payload_bytes, payload_digest
     (of the full payload; a revisit has them from its headers), payload (null unless asked for, and of revisits), and
-    problem: null for a record, else why the bytes from offset to stop are quarantined. An archive without bytes gives none.
+    problem: null for a record that passed all checks; of a row without record_type, why the bytes from offset to stop are
+    quarantined; of a record, what is wrong with its payload or the member around it. An archive without bytes gives none.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -235,7 +268,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True, pattern: str = "
                     kind, stated = headers.get("warc-type"), headers.get("warc-payload-digest", "").removeprefix("sha256:")
                     n = int(headers["x-payload-length"]) if kind == "revisit" and headers.get("x-payload-length", "").isdecimal() else len(payload)
                     own = stated if kind == "revisit" else hashlib.sha256(payload).hexdigest()
-                    wrong = "payload digest differs" if kind == "response" and stated and stated != own else None
+                    wrong = "payload digest differs" if kind == "response" and stated and stated != own else headers[MEMBER_FAULT] or None
                     rows.append((name, at, end, kind, number(headers.get("warc-record-id")), number(headers.get("warc-refers-to")), n, own, payload if payloads and kind != "revisit" else None, wrong))
                     size += len(payload)
                     if size > 8 << 20:
