@@ -59,3 +59,24 @@ def codes(df: DataFrame, name: str, into: str) -> DataFrame:
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     moved = placed.join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
     return moved.select(name, (F.col("__before") + F.row_number().over(W.partitionBy("__range").orderBy(name))).alias(into))
+
+
+def sheet_records(rows: DataFrame, header: list[str], keys: list[str], expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, row, one column for each name of header), (path, code)) of sheets given as (path, row, cells), row 1 the header.
+
+    A sheet whose first row is not exactly the header is refused (header); rows whose key cells are all null are skipped, cells
+    that are not there are null. expected (path, n) holds the number of rows that must be left: another number refuses the
+    sheet (count), as does one that was not handed in (missing). Sheets that are refused give no rows.
+    """
+    right = rows.where((F.col("row") == 1) & (F.col("cells") == F.array(*(F.lit(h) for h in header)))).select("path").distinct()
+    problems = rows.select("path").distinct().join(right, "path", "left_anti").select("path", F.lit("header").alias("code"))
+    cells = [F.get("cells", F.lit(k)).alias(h) for k, h in enumerate(header)]
+    kept = rows.where("row > 1").join(right, "path", "left_semi").select("path", "row", *cells)
+    kept = kept.na.drop(how="all", subset=keys)
+    if expected is not None:
+        counted = kept.groupBy("path").agg(F.count("*").alias("found"))
+        due = expected.select("path", "n").join(rows.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").join(counted, "path", "left")
+        due = due.join(problems.select("path"), "path", "left_anti")
+        off = due.where("there is null or n <> coalesce(found, 0)").select("path", F.when(F.col("there").isNull(), "missing").otherwise("count").alias("code"))
+        problems = problems.unionByName(off)
+    return kept.join(problems.select("path"), "path", "left_anti"), problems

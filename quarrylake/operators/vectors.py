@@ -36,6 +36,11 @@ def sound(v: Column, size: int) -> Column:
     return F.coalesce((F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def literal(v: Column) -> Column:
+    """The vector as text, like [0.5,-1.0], each component a double; null for no vector, and null components as null."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.coalesce(x.cast("double").cast("string"), F.lit("null"))), ","), F.lit("]"))
+
+
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], size: int, into: str = "embedding", batch: int = 32) -> DataFrame:
     """df with the vectors that model gives for a text column, in batches of 1 to 128 texts; blank and null texts have none.
 

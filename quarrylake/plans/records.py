@@ -33,14 +33,6 @@ def graph_build_report(spark: S, d: str) -> DataFrame:
     return seen.unionByName(accepted).unionByName(issues.agg(F.count("*").alias("n")).select(F.lit("edges_rejected").alias("measure"), "n"))
 
 
-def graph_controls(spark: S, d: str) -> DataFrame:
-    """Control queries with an expected and an actual count."""
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
-    actual = nodes.groupBy(F.col("label").alias("control")).agg(F.count("*").alias("actual")).unionByName(edges.groupBy(F.col("type").alias("control")).agg(F.count("*").alias("actual")))
-    expected = table(spark, d, "nation").agg(F.count("*").alias("expected")).select(F.explode(F.array(F.lit("Well"), F.lit("IN_FIELD"))).alias("control"), "expected").unionByName(table(spark, d, "supplier").agg(F.count("*").alias("expected")).select(F.explode(F.array(F.lit("Wellbore"), F.lit("OF_WELL"))).alias("control"), "expected"))
-    return expected.join(actual, "control", "left").select("control", "expected", F.coalesce("actual", F.lit(0)).alias("actual"), (F.col("expected") == F.coalesce("actual", F.lit(0))).alias("passed"))
-
-
 def graph_entity_enrich(spark: S, d: str) -> DataFrame:
     bores = table(spark, d, "supplier").select("s_suppkey", "s_name")
     places = table(spark, d, "supplier").where("s_suppkey % 4 <> 0").select("s_suppkey", (F.col("s_suppkey") % 180).alias("lon"), (F.col("s_suppkey") % 90).alias("lat"))
@@ -277,7 +269,7 @@ def witsml_wells(spark: S, d: str) -> DataFrame:
     return files.wells(held).select(F.col("uid").cast("long").alias("s_suppkey"), "name", "elevation", "uom", "status")
 
 
-QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_controls, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, segy_headers, osdu_manifest, witsml_wells)}
+QUERIES = {f.__name__: f for f in (kind_detect, graph_build_report, graph_entity_enrich, package_validate, package_reconcile, csv_row_validation, activity_file_checks, embed_batch, csv_strict_rows, csv_project_dictionaries, catalogue_load, mapping_shape_check, document_json_fragments, document_csv_fragments, record_lookup, web_response_rows, bundle_validate, ontology_reference_check, fact_batch_pinning, collection_inspect, collection_join, collection_source_refs, lexical_candidates, news_validate, archive_analysis_validate, publication_rows, terminology_checks, answer_grading, telemetry_batch, segy_headers, osdu_manifest, witsml_wells)}
 
 SQL = {
     "kind_detect": """
@@ -287,9 +279,6 @@ SELECT c_custkey, CASE WHEN k = 'Seismic' THEN 'out_of_scope' WHEN c_custkey % 3
 WITH logs AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
 SELECT 'nodes_seen' AS measure, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM logs) AS n
 UNION ALL SELECT 'edges_accepted', (SELECT count(*) FROM supplier WHERE s_nationkey <> 3) UNION ALL SELECT 'edges_rejected', (SELECT count(*) FROM supplier WHERE s_nationkey = 3)""",
-    "graph_controls": """
-SELECT c AS control, n AS expected, n AS actual, true AS passed FROM (SELECT unnest(['Well', 'IN_FIELD']) AS c, (SELECT count(*) FROM nation) AS n
-UNION ALL SELECT unnest(['Wellbore', 'OF_WELL']), (SELECT count(*) FROM supplier))""",
     "graph_entity_enrich": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 <> 0 THEN 'POINT (' || s_suppkey % 180 || ' ' || s_suppkey % 90 || ')' END AS wkt FROM supplier",
     "package_validate": "SELECT CASE WHEN l_suppkey % 6 = 0 THEN 'unknown_entity' WHEN l_linenumber <= 2 THEN 'bad_period' END AS problem, count(*) AS n FROM lineitem GROUP BY 1",
     "package_reconcile": """
