@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from quarrylake.plans import archives, briefs, graphs, knowledge, outputs, packages, records
+from quarrylake.plans import archives, briefs, formats, graphs, knowledge, outputs, packages, records
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = graphs.QUERIES | knowledge.QUERIES | records.QUERIES | outputs.QUERIES | packages.QUERIES | archives.QUERIES | briefs.QUERIES
-SQL = graphs.SQL | knowledge.SQL | records.SQL | outputs.SQL | packages.SQL | archives.SQL | briefs.SQL
+QUERIES = graphs.QUERIES | knowledge.QUERIES | records.QUERIES | outputs.QUERIES | packages.QUERIES | archives.QUERIES | briefs.QUERIES | formats.QUERIES
+SQL = graphs.SQL | knowledge.SQL | records.SQL | outputs.SQL | packages.SQL | archives.SQL | briefs.SQL | formats.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
