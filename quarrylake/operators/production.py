@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of field production, the measure each becomes, and what it is multiplied with; money is not.
+FIELD_MEASURES = {
+    "prfPrdOilNetMillSm3": ("oilNetVolumeSm3", 1e6),
+    "prfPrdOilGrossMillSm3": ("oilGrossVolumeSm3", 1e6),
+    "prfPrdGasNetBillSm3": ("gasNetVolumeSm3", 1e9),
+    "prfPrdGasGrossBillSm3": ("gasGrossVolumeSm3", 1e9),
+    "prfPrdNGLNetMillSm3": ("nglNetVolumeSm3", 1e6),
+    "prfPrdCondensateNetMillSm3": ("condensateNetVolumeSm3", 1e6),
+    "prfPrdCondensateGrossMillSm3": ("condensateGrossVolumeSm3", 1e6),
+    "prfPrdOeNetMillSm3": ("oilEquivalentNetVolumeSm3", 1e6),
+    "prfPrdOeGrossMillSm3": ("oilEquivalentGrossVolumeSm3", 1e6),
+    "prfPrdProducedWaterInFieldMillS": ("waterVolumeSm3", 1e6),
+}
+INVESTMENT = ("prfInvestmentsMillNOK", "investmentMillionNok")
+
 
 def number(c: Column) -> Column:
     """A number from text: null for null, blank and "NULL"; null also for what is no finite number. Zero stays zero."""
@@ -47,3 +62,14 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, measures: list[str])
     both = sums(left, "left_sum").join(sums(right, "right_sum"), [key, "measure"], "full_outer").fillna(0.0, ["left_sum", "right_sum"])
     near = F.abs(F.col("left_sum") - F.col("right_sum")) <= F.greatest(F.lit(1e-6), F.abs("left_sum") * 1e-12)
     return both.withColumn("agrees", near)
+
+
+def field_months(df: DataFrame, entity: Column, year: Column, month: Column) -> DataFrame:
+    """Monthly records of a field in standard cubic metres, from columns named as in FIELD_MEASURES in millions or billions.
+
+    A column that df does not have, and a cell without a number, gives null, never zero; the unit column names the unit. A
+    month outside 1 to 12 is left out.
+    """
+    volumes = {into: number(F.col(c)) * F.lit(factor) if c in df.columns else F.lit(None).cast("double") for c, (into, factor) in FIELD_MEASURES.items()}
+    volumes[INVESTMENT[1]] = number(F.col(INVESTMENT[0])) if INVESTMENT[0] in df.columns else F.lit(None).cast("double")
+    return monthly(df, entity, year, month, volumes).withColumn("unit", F.lit("Sm3"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylake.operators import production
 from quarrylake.sources import formats
 from quarrylake.storage import stash, table
 
@@ -50,9 +51,48 @@ def witsml_documents(spark: S, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (segy_catalogue, witsml_documents)}
+def geojson_files(spark: S, d: str) -> DataFrame:
+    """Files of fifty customers each as points and polygons: place and box of each feature, or why the file is refused."""
+    key, g = F.col("c_custkey"), F.floor(F.col("c_custkey") / 50)
+    lon, lat = key % 170, key % 80 + F.when((g % 4 == 1) & (key % 50 == 9), 90).otherwise(0)
+    point = F.format_string('{"properties":{"name":"%s"},"geometry":{"type":"Point","coordinates":[%d,%d]}}', "c_name", lon, lat)
+    polygon = F.format_string('{"properties":{"name":"%s"},"geometry":{"type":"Polygon","coordinates":[[[%d,%d],[%d,%d],[%d,%d]]]}}', "c_name", lon, lat, lon + 5, lat, lon, lat + 3)
+    feature = F.when((key % 3 == 0) & (lat < 80), polygon).otherwise(point)
+    held = table(spark, d, "customer").select(g.alias("g"), feature.alias("f")).groupBy("g").agg(F.collect_list("f").alias("l"))
+    end = F.when(F.col("g") % 5 == 4, "").otherwise("]}")
+    files = held.select(_text("g").alias("path"), F.concat(F.lit('{"features":['), F.array_join("l", ","), end).alias("content"))
+    due = held.select(_text("g").alias("path"), (F.size("l") + F.when(F.col("g") % 7 == 2, 1).otherwise(0)).cast("long").alias("n"))
+    features, problems = formats.geojson(files, due)
+    told = features.select(F.col("path").cast("long").alias("g"), F.col("properties")["name"].alias("name"), "type", "lon", "lat", "west", "east", "south", "north", F.lit(None).cast("string").alias("code"))
+    return told.unionByName(problems.select(F.col("path").cast("long").alias("g"), "code"), allowMissingColumns=True)
+
+
+def field_months(spark: S, d: str) -> DataFrame:
+    """Suppliers as fields: quantities and prices of each month as field production, blank where nothing was returned."""
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"))
+    total = lambda c, where: F.sum(F.when(where, F.col(c).cast("decimal(18,2)")))
+    source = lines.agg(
+        total("l_quantity", F.col("l_returnflag") == "A").cast("string").alias("prfPrdOilNetMillSm3"), F.coalesce(total("l_quantity", F.col("l_returnflag") == "R").cast("string"), F.lit("NULL")).alias("prfPrdGasGrossBillSm3"),
+        total("l_extendedprice", F.lit(True)).cast("string").alias("prfInvestmentsMillNOK"),
+    )
+    found = production.field_months(source, F.col("l_suppkey"), F.col("y"), F.col("m"))
+    return found.select(F.col("entity").alias("l_suppkey"), "period_start", "period_end", F.round("oilNetVolumeSm3").alias("oil"), F.round("gasGrossVolumeSm3").alias("gas"), F.col("nglNetVolumeSm3").alias("ngl"), F.col("investmentMillionNok").alias("invested"))
+
+
+QUERIES = {f.__name__: f for f in (segy_catalogue, witsml_documents, geojson_files, field_months)}
 
 SQL = {
+    "geojson_files": """
+WITH c AS (SELECT c_name, c_custkey // 50 AS g, c_custkey % 170 AS lon, c_custkey % 80 + CASE WHEN c_custkey // 50 % 4 = 1 AND c_custkey % 50 = 9 THEN 90 ELSE 0 END AS lat, c_custkey % 3 = 0 AS third FROM customer),
+f AS (SELECT *, third AND lat < 80 AS ring, max(lat) OVER (PARTITION BY g) > 90 AS far FROM c),
+s AS (SELECT *, CASE WHEN g % 5 = 4 THEN 'invalid' WHEN far THEN 'geometry' WHEN g % 7 = 2 THEN 'count' END AS code FROM f)
+SELECT g, c_name AS name, CASE WHEN ring THEN 'Polygon' ELSE 'Point' END AS type, CASE WHEN NOT ring THEN lon::DOUBLE END AS lon, CASE WHEN NOT ring THEN lat::DOUBLE END AS lat,
+  CASE WHEN ring THEN lon::DOUBLE END AS west, CASE WHEN ring THEN lon + 5.0::DOUBLE END AS east, CASE WHEN ring THEN lat::DOUBLE END AS south, CASE WHEN ring THEN lat + 3.0::DOUBLE END AS north, code FROM s WHERE code IS NULL
+UNION ALL SELECT DISTINCT g, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, code FROM s WHERE code IS NOT NULL""",
+    "field_months": """
+WITH m AS (SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS start, sum(l_quantity::DECIMAL(18,2)) FILTER (l_returnflag = 'A') AS a, sum(l_quantity::DECIMAL(18,2)) FILTER (l_returnflag = 'R') AS r,
+  sum(l_extendedprice::DECIMAL(18,2)) AS p FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, start AS period_start, (start + INTERVAL 1 MONTH)::DATE AS period_end, round(a::DOUBLE * 1e6) AS oil, round(r::DOUBLE * 1e9) AS gas, NULL::DOUBLE AS ngl, p::DOUBLE AS invested FROM m""",
     "segy_catalogue": """
 WITH p AS (SELECT *, CASE WHEN p_size % 11 = 0 THEN 'empty' WHEN p_size % 7 = 0 THEN 'corrupt_input' WHEN p_size % 5 = 0 THEN 'unsupported_version' ELSE 'ok' END AS status FROM part)
 SELECT p_partkey, status, CASE status WHEN 'empty' THEN 'empty_file' WHEN 'corrupt_input' THEN 'truncated_header' WHEN 'unsupported_version' THEN 'segy_revision_ge_2' END AS reason,

@@ -141,3 +141,39 @@ def witsml(files: DataFrame) -> DataFrame:
         "path", status.alias("status"), reason.alias("reason"), shown.alias("version"), "place", "uid", "name", "field", "time_zone", "elevation",
         *(F.when(F.col("place").isNotNull(), F.col(c)).alias(c) for c in ("texts", "measures", "location")), "missing",
     )
+
+
+def geojson(files: DataFrame, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((path, place, type, properties, lon, lat, wkt, west, east, south, north), (path, code)) of GeoJSON files (path, content).
+
+    place counts a file's features from 0; properties maps names to text. A point has a position and its text form, a polygon
+    the box of its outer ring; what does not apply is null. Codes: invalid (no JSON object with a list of features), geometry
+    (a feature whose geometry is neither a point nor a polygon of finite positions within 180 and 90 degrees), count (another
+    number of features than expected (path, n)), missing (expected, not there). Files with a problem give no features.
+    """
+    spark = files.sparkSession
+    value = files.select("path", F.try_variant_get(F.try_parse_json(F.col("content").cast("string")), "$.features", "variant").alias("list"))
+    listed = F.coalesce(F.schema_of_variant("list").startswith("ARRAY"), F.lit(False))
+    problems = value.where(~listed).select("path", F.lit("invalid").alias("code"))
+    every = spark.sql("SELECT path, CAST(e.pos AS LONG) AS place, e.value AS f FROM {held}, LATERAL variant_explode(list) e", held=value.where(listed))
+    get = lambda p, t: F.try_variant_get("f", p, t)
+    kind = get("$.geometry.type", "string")
+    point = F.when(kind == "Point", get("$.geometry.coordinates", "array<double>"))
+    ring = F.when(kind == "Polygon", get("$.geometry.coordinates[0]", "array<array<double>>"))
+    rows = every.select("path", "place", kind.alias("type"), get("$.properties", "map<string,string>").alias("properties"), point.alias("point"), ring.alias("ring"))
+    at = lambda p, k: F.get(p, F.lit(k))
+    placed = lambda p: F.coalesce((F.size(p) >= 2) & (F.abs(at(p, 0)) <= 180) & (F.abs(at(p, 1)) <= 90), F.lit(False))
+    sound = F.coalesce(placed(F.col("point")) | ((F.size("ring") > 0) & F.forall("ring", placed)), F.lit(False))
+    faulty = rows.where(~sound).select("path", F.lit("geometry").alias("code")).distinct()
+    problems = problems.unionByName(faulty)
+    if expected is not None:
+        counted = rows.groupBy("path").agg(F.count("*").alias("found"))
+        due = expected.select("path", "n").join(files.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").join(counted, "path", "left")
+        due = due.join(problems.select("path"), "path", "left_anti").where("there is null or n <> coalesce(found, 0)")
+        problems = problems.unionByName(due.select("path", F.when(F.col("there").isNull(), "missing").otherwise("count").alias("code")))
+    lon, lat, axis = at(F.col("point"), 0), at(F.col("point"), 1), lambda k: F.transform("ring", lambda p: at(p, k))
+    features = rows.join(problems.select("path").distinct(), "path", "left_anti").select(
+        "path", "place", "type", "properties", lon.alias("lon"), lat.alias("lat"), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")).alias("wkt"),
+        F.array_min(axis(0)).alias("west"), F.array_max(axis(0)).alias("east"), F.array_min(axis(1)).alias("south"), F.array_max(axis(1)).alias("north"),
+    )
+    return features, problems

@@ -65,3 +65,31 @@ def test_witsml(spark):
     assert by["ok", 1]["missing"] == ["wells[1].wellheadElevation.uom", "wells[1].field", "wells[1].timeZone"]
     assert by["prefixed", 0]["missing"] == ["wellheadElevation", "field", "timeZone"]
     assert formats.witsml(df.limit(0)).count() == formats.segy(df.limit(0), "C").count() == 0
+
+
+def test_geojson(spark):
+    point = lambda x, y: '{"type":"Feature","properties":{"id":7,"n":"a"},"geometry":{"type":"Point","coordinates":[%s,%s]}}' % (x, y)
+    polygon = '{"properties":null,"geometry":{"type":"Polygon","coordinates":[[[1,2],[5,2],[3,-4],[1,2]],[[0,0]]]}}'
+    docs = {
+        "good": f'{{"features":[{point(1.5, 2)},{polygon}]}}', "few": f'{{"features":[{point(1, 2)}]}}', "none": '{"features":[]}', "far": f'{{"features":[{point(181, 2)}]}}', "short": '{"features":[{"geometry":{"type":"Point","coordinates":[1]}}]}',
+        "line": '{"features":[{"geometry":{"type":"LineString","coordinates":[[1,2]]}}]}', "null": None, "text": "x", "map": '{"features":{}}', "bare": '{"features":[{}]}', "hole": '{"features":[{"geometry":{"type":"Polygon","coordinates":[]}}]}',
+    }
+    files = spark.createDataFrame(list(docs.items()), "path string, content string")
+    due = spark.createDataFrame([("good", 2), ("few", 2), ("none", 0), ("gone", 1), ("far", 9)], "path string, n long")
+    features, problems = formats.geojson(files, due)
+    assert {tuple(r) for r in problems.collect()} == {(n, "geometry") for n in ("far", "short", "line", "bare", "hole")} | {(n, "invalid") for n in ("null", "text", "map")} | {("few", "count"), ("gone", "missing")}
+    first, second = sorted(features.collect(), key=lambda r: r["place"])
+    assert tuple(first) == ("good", 0, "Point", {"id": "7", "n": "a"}, 1.5, 2.0, "POINT (1.5 2.0)", None, None, None, None)
+    assert tuple(second)[2:] == ("Polygon", None, None, None, None, 1.0, 5.0, -4.0, 2.0)
+
+
+def test_field_months(spark):
+    from quarrylake.operators import production
+
+    rows = [(1, 2020, 12, "1.5", "0", "NULL"), (1, 2020, 13, "1", "1", "1"), (2, 2021, 1, " ", None, "7")]
+    df = spark.createDataFrame(rows, "f long, y int, m int, prfPrdOilNetMillSm3 string, prfPrdGasNetBillSm3 string, prfInvestmentsMillNOK string")
+    got = {r["entity"]: r for r in production.field_months(df, *map(df.__getitem__, ("f", "y", "m"))).collect()}
+    assert set(got) == {1, 2} and (str(got[1]["period_start"]), str(got[1]["period_end"])) == ("2020-12-01", "2021-01-01")
+    assert [got[1][c] for c in ("oilNetVolumeSm3", "gasNetVolumeSm3", "waterVolumeSm3", "investmentMillionNok", "unit")] == [1.5e6, 0.0, None, None, "Sm3"]
+    assert [got[2][c] for c in ("oilNetVolumeSm3", "gasNetVolumeSm3", "investmentMillionNok")] == [None, None, 7.0]
+    assert len(production.FIELD_MEASURES) == 10
