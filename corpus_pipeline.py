@@ -29,8 +29,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, in training order, with how many words it takes and where."""
-    return mixing.curriculum(docs)
+    """The texts in training order, one row for each time that the mix takes a document, with how many words it takes."""
+    return mixing.training(docs, stored=True)
 
 
 STAGES = [

@@ -20,10 +20,10 @@ BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 16
 CHUNK_BITS = 12
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of every whole text; null and blank texts have none."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *kept: str) -> DataFrame:
+    """(doc_id, source, size), and columns to keep: words of every whole text; null and blank texts have none."""
     words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.cast("long").alias("size"), *kept)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -78,14 +78,14 @@ def _position(w: Column, demand: Column, schedules: tuple[tuple[float, ...], ...
 
 
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, schedules: tuple[tuple[float, ...], ...] = SCHEDULES) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, taken, position, positions) for each row of sized, a stored table of (row, doc_id,
+    """(row, doc_id, source, size, source_size, target, passes) for each row of sized, a stored table of (row, doc_id,
     source, size), where row is a number of its own for each row, of neighbouring rows alike but for the low bits.
 
     The documents of a source stand in the order of a hash of their id. The mix takes the first floor(target) words of
     that sequence repeated, so a document is taken 0 to repeat times, and the last one up to the word where the target is
-    reached. position is where in training, 0 to 1, the source's cumulative demand reaches the document's first taken
-    word: its weight schedule is integrated over training and the integral inverted. positions has one for each time that the mix takes the document;
-    position is the first of them, null if nothing is taken.
+    reached. passes has (nth, words, position) for each time that the mix takes the document, in this order: nth counts from
+    0, words are those that it takes, and position is where in training, 0 to 1, the source's cumulative demand reaches the
+    first of them: its weight schedule is integrated over training and the integral inverted.
 
     Cumulative sums are taken in three levels: over bucket sums, over the different (id, size) of a bucket, and over the rows
     that repeat one, by chunks of neighbouring rows. So neither a source nor an id with a third of all rows is in one task.
@@ -121,32 +121,76 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     reached = [F.lit(k) * F.col("source_size") + F.col("first") for k in range(repeat)]
     taken = [F.least(F.greatest(goal - at, F.lit(0)), F.col("size")) for at in reached]
     position = lambda at: F.round(_position(F.col("w"), F.try_divide(at.cast("double"), F.col("target")), schedules), 9)
-    passes = F.filter(F.array(*(F.when(n > 0, position(at)) for n, at in zip(taken, reached, strict=True))), lambda x: x.isNotNull())
-    return (
-        placed.withColumn("taken", sum(taken, F.lit(0)).cast("long"))
-        .withColumn("positions", passes)
-        .withColumn("position", F.get("positions", F.lit(0)))
-        .select("row", "doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
-    )
+    taking = lambda k: F.struct(F.lit(k).alias("nth"), taken[k].cast("long").alias("words"), position(reached[k]).alias("position"))
+    passes = F.filter(F.array(*(F.when(taken[k] > 0, taking(k)) for k in range(repeat))), lambda x: x.isNotNull())
+    return placed.withColumn("passes", passes).select("row", "doc_id", "source", "size", "source_size", "target", "passes")
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """The passes of mix(), range-sorted by training position: (row, doc_id, source, size, source_size, target, nth, words,
+    position). A document due twice stands in two places; documents of which nothing is taken come last, once, with nulls."""
+    kept = [c for c in mixed.columns if c != "passes"]
+    each = mixed.select(*kept, F.explode_outer("passes").alias("each")).select(*kept, "each.nth", "each.words", "each.position")
+    return each.orderBy(F.col("position").asc_nulls_last(), "doc_id", "row")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """mix() of documents: their words are counted once and the counts kept in the shared folder."""
-    sized = sizes(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id())
-    return mix(stash(sized, "mix-sizes")).drop("row")
+    """(doc_id, source, size, source_size, target, taken, position, positions) for each row of docs, gathered from its passes.
+
+    Words are counted once, and the counts and the training order kept in the shared folder. taken sums the words of a
+    document's passes; positions has the position of each, position the first, null if nothing is taken.
+    """
+    sized = stash(sizes(docs, id_col, text_col, source_col).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    order = stash(training_order(mix(sized)), "mix-order")
+    own = ["doc_id", "source", "size", "source_size", "target"]
+    found = order.groupBy("row", *own).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.min("position").alias("position"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return found.select(*own, "taken", "position", "positions")
+
+
+def _numbered(docs: DataFrame, stored: bool) -> DataFrame:
+    """docs with mix_row, a number of its own for each row, the same each time that it is read.
+
+    Rows of a stored table are told apart by file and place in it. Only file names meet in one task. Other tables are
+    copied to the shared folder with their numbers.
+    """
+    if not stored:
+        return stash(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-rows")
+    files = docs.select(F.col("_metadata.file_path").alias("mix_file")).distinct()
+    files = files.withColumn("mix_number", F.row_number().over(W.orderBy("mix_file")).cast("long"))
+    rows = docs.select("*", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_at"))
+    rows = rows.join(F.broadcast(files), "mix_file").withColumn("mix_row", F.shiftleft("mix_number", 40) + F.col("mix_at"))
+    return rows.select(*docs.columns, "mix_row")
+
+
+def _mixed(held: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return mix(stash(sizes(held, id_col, text_col, source_col, "mix_row").withColumnRenamed("mix_row", "row"), "mix-sizes"))
 
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents that the mix takes words of, range-sorted by training position.
+    """The documents that the mix takes words of, each once, range-sorted by the position of its first pass.
 
-    Adds mix_size, mix_source_size, mix_target, mix_taken, mix_position and mix_positions (see mix()); columns of docs with
-    these names are replaced. One row for each document taken: it is due again at each later entry of mix_positions. Repeated
-    rows keep their own taken words; blank texts and an empty table give no rows.
+    Adds mix_size, mix_source_size, mix_target, mix_taken, mix_position and mix_positions (see mixture()); columns of docs with
+    these names are replaced. training() has a row for each pass. Repeated rows keep their own taken words; blank texts
+    and an empty table give no rows.
     """
     names = ["size", "source_size", "target", "taken", "position", "positions"]
-    words = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    held = docs.drop("mix_row", *(f"mix_{c}" for c in names)).withColumn("mix_size", words).withColumn("mix_row", F.monotonically_increasing_id())
-    held = stash(held, "mix-rows")  # fixes the row numbers; words are counted once
-    sized = held.select(F.col("mix_row").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("mix_size").alias("size"))
-    mixed = mix(sized).where("taken > 0").select(F.col("row").alias("mix_row"), *(F.col(c).alias(f"mix_{c}") for c in names))
-    return held.drop("mix_size").join(mixed, "mix_row").orderBy("mix_position", id_col, "mix_row").drop("mix_row")
+    held = _numbered(docs.drop("mix_row", *(f"mix_{c}" for c in names)), False)
+    mixed = _mixed(held, id_col, text_col, source_col).where("size(passes) > 0")
+    mixed = mixed.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])).withColumn("positions", F.col("passes.position")).withColumn("position", F.col("positions")[0])
+    mixed = mixed.select(F.col("row").alias("mix_row"), *(F.col(c).alias(f"mix_{c}") for c in names))
+    return held.join(mixed, "mix_row").orderBy("mix_position", id_col, "mix_row").drop("mix_row")
+
+
+def training(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", stored: bool = False) -> DataFrame:
+    """The texts in training order: one row for each time that the mix takes a document, range-sorted by position.
+
+    Adds mix_size, mix_source_size, mix_target, mix_pass (from 0), mix_taken (words of this pass) and mix_position; columns of
+    docs with these names are replaced. stored: docs are Parquet files as they are, so their rows need no copy with row
+    numbers. Repeated rows keep their own passes; blank texts and an empty table give no rows.
+    """
+    names = {"size": "size", "source_size": "source_size", "target": "target", "nth": "pass", "words": "taken", "position": "position"}
+    new = [f"mix_{c}" for c in names.values()]
+    held = _numbered(docs.drop("mix_row", "mix_file", "mix_number", "mix_at", *new), stored)
+    each = _mixed(held, id_col, text_col, source_col).select("*", F.explode("passes").alias("each")).select("*", "each.*")
+    each = each.select(F.col("row").alias("mix_row"), *(F.col(c).alias(f"mix_{n}") for c, n in names.items()))
+    return held.join(each, "mix_row").orderBy("mix_position", id_col, "mix_row").drop("mix_row")

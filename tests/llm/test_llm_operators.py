@@ -618,3 +618,27 @@ def test_keep_one_with_crowded_shards_matches_all_pairs(spark, monkeypatch, few)
         texts[k] = " ".join(passages[k % 2] + passages[1 - k % 2] if k < 95 else passages[k % 2])
     kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
     assert kept == set(brute_similar(texts).values())
+
+
+def test_training_order_has_a_row_for_each_pass(spark, tmp_path):
+    rows = awkward() + [(4, "five words are in here", "en", "a")] * 50 + [(k, "one two three", "en", "b") for k in range(500, 540)]
+    docs_of(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = mixing.mixture(docs).collect()
+    due = Counter((r["doc_id"], r["source"], r["size"], at) for r in found for at in r["positions"])
+    assert any(len(r["positions"]) == 2 for r in found)
+    target = {r["source"]: r["target"] for r in found}
+    for stored in (False, True):
+        got, words = mixing.training(docs, stored=stored).collect(), Counter()
+        assert Counter((r["doc_id"], r["source"], r["mix_size"], r["mix_position"]) for r in got) == due
+        places = [r["mix_position"] for r in got]
+        assert places == sorted(places)
+        for r in got:
+            words[r["source"]] += r["mix_taken"]
+            assert 0 < r["mix_taken"] <= r["mix_size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+        assert all(words[s] == math.floor(target[s]) for s in target)
+    sized = mixing.sizes(docs).withColumn("row", F.monotonically_increasing_id())
+    order = mixing.training_order(mixing.mix(sized)).collect()
+    assert [r["position"] for r in order if r["nth"] is not None] == sorted(at for r in found for at in r["positions"])
+    assert all(r["nth"] is None for r in order[sum(due.values()) :]) and len({r["row"] for r in order}) == len(rows)
+    assert mixing.training(docs_of(spark, EMPTY)).count() == 0
