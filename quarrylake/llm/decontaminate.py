@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.storage import stash
+from quarrylake.storage import discard, stash
 
 WINDOW = 13
 #: Most distinct benchmark terms, or rows of the tables made of anchors, that are broadcast; more are joined by a shuffle,
@@ -157,6 +157,8 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id
     Rows are told by id and a hash of id and text: rows that repeat both are contaminated alike. Null ids are a value of
     their own, null texts and texts without words stay. Empty tables give docs as it is.
     """
-    bad = report(docs, bench, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
+    found = report(docs, bench, id_col, text_col)
+    bad = stash(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct(), "contaminated")
+    discard(found)  # the postings and matches, which are all that it reads
     same = docs[id_col].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[id_col], docs[text_col]) == bad["bad_hash"])
     return docs.join(bad, same, "left_anti")

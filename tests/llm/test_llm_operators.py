@@ -642,3 +642,18 @@ def test_training_order_has_a_row_for_each_pass(spark, tmp_path):
     assert [r["position"] for r in order if r["nth"] is not None] == sorted(at for r in found for at in r["positions"])
     assert all(r["nth"] is None for r in order[sum(due.values()) :]) and len({r["row"] for r in order}) == len(rows)
     assert mixing.training(docs_of(spark, EMPTY)).count() == 0
+
+
+def test_decontamination_leaves_no_postings_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from quarrylake.storage import shared_dir
+
+    words = " ".join(f"word{k}" for k in range(13))
+    docs = docs_of(spark, [(1, words, "en", "a"), (1, words, "en", "a"), (2, "other text", "en", "a"), (None, None, "en", "a")])
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    kept = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, words)], "item_id long, text string"))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert "contaminated" in left and "postings" not in left
