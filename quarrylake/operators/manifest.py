@@ -20,6 +20,9 @@ FIELDS = {"Well": ["FacilityID"], "Wellbore": ["FacilityID", "SequenceNumber"],
 PARENTS = {"Wellbore": ("BELONGS_TO_WELL", "WellID", "Well"), "WellLog": ("BELONGS_TO_WELLBORE", "WellboreID", "Wellbore")}
 SURROGATE, FALLBACK = "surrogate-key:", "urn:osdu-demo:WellLog:"
 ISSUES = "source string, osdu_id string, reason string, fatal boolean"
+#: Levels that a round descends, and most rows in a file of what lies deeper: a reader holds thousands of rows of a file at once.
+LEVELS, DEEP_ROWS = 8, 256
+NODES = "array<struct<place:array<int>,value:variant,scope:string>>"
 
 
 def _type(v: Column) -> Column:
@@ -45,36 +48,50 @@ def _record_type(kind: Column) -> Column:
     return F.when(F.try_element_at(known, of) == group, of)
 
 
+def _node(place: Column, value: Column) -> Column:
+    """A value with its place and what is done with it. The kinds of all supported types have --Well in them; single values
+    have no kind and no parts, so descending into them ends there."""
+    kind, own_id = (F.try_variant_get(value, f"$.{field}", "string") for field in ("kind", "id"))
+    looks = F.coalesce(F.contains(own_id, F.lit("--Well")), F.lit(False)) | F.coalesce(F.contains(kind, F.lit("--Well")), F.lit(False))
+    scope = F.when(value.isNull(), "broken").when(kind == ENVELOPE, "descend").when(looks, "record").when(_text(value, "kind").isNotNull(), "skip").otherwise("descend")
+    return F.struct(place.alias("place"), value.alias("value"), scope.alias("scope"))
+
+
+def _below(nodes: Column) -> Column:
+    """The nodes with the parts of those to descend into in their place; skipped ones go, all others stay."""
+
+    def parts(node: Column) -> Column:
+        of = F.coalesce(F.try_variant_get(node["value"], "$", "array<variant>"), F.map_values(F.try_variant_get(node["value"], "$", "map<string,variant>")))
+        below = F.transform(of, lambda value, at: _node(F.concat(node["place"], F.array(at)), value))
+        return F.coalesce(F.when(node["scope"] == "descend", below).when(node["scope"] != "skip", F.array(node)), F.array().cast(NODES))
+
+    return F.flatten(F.transform(nodes, parts))
+
+
 def walk(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records (path, place, record), issues) of JSON files (path, content).
 
-    Lists, envelopes and objects without a kind are descended into, to any depth: each round explodes all that is left, so
-    a nesting of depth n takes n rounds over ever fewer rows. Objects whose kind names a supported type, or whose id or kind
-    looks like one, are records; others with a kind are out of scope. place has the positions on the way down: records sort
-    by it in document order, an object's fields by name. A file that is no UTF-8 or no JSON, that repeats a field of an
-    object, or that holds no record is a fatal issue. Empty files are not seen by a scan.
+    Lists, envelopes and objects without a kind are descended into, to any depth: LEVELS at a time, in the tasks that parse
+    the files, so a file is held by itself and never written again; only what lies deeper is written for a next round.
+    Objects whose kind names a supported type, or whose id or kind looks like one, are records; others with a kind are out of
+    scope. place has the positions on the way down: records sort by it in document order, an object's fields by name. A file
+    that is no UTF-8 or no JSON, that repeats a field of an object, or that holds no record is a fatal issue. Empty files are
+    not seen by a scan.
     """
-    spark = files.sparkSession
     text = F.regexp_replace(F.col("content").cast("string"), r"^\x{FEFF}", "")
     parsed = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.try_parse_json(text))
-    kind, looks = _text(F.col("value"), "kind"), F.lit(False)
-    for field in ("id", "kind"):
-        looks = looks | F.coalesce(F.contains(F.try_variant_get("value", f"$.{field}", "string"), F.lit("--Well")), F.lit(False))
-    scope = (
-        F.when(_type(F.col("value")).startswith("ARRAY"), "descend").when(~_type(F.col("value")).startswith("OBJECT"), "skip").when(kind == ENVELOPE, "descend")
-        .when(_record_type(_bare(kind)).isNotNull() | looks, "record").when(kind.isNotNull(), "skip").otherwise("descend")
-    )
-    first = files.select("path", F.array().cast("array<int>").alias("place"), parsed.alias("value"))
-    left = stash(first.withColumn("scope", F.when(F.col("value").isNull(), "broken").otherwise(scope)), "manifest")
-    broken, records = left.where("scope = 'broken'").select("path"), left.where("scope = 'record'").select("path", "place", "value")
-    while left.where("scope = 'descend'").head(1):
-        below = spark.sql("SELECT path, concat(place, array(e.pos)) AS place, e.value FROM {held}, LATERAL variant_explode(value) e", held=left.where("scope = 'descend'"))
-        nested = below.where(F.coalesce(F.schema_of_variant("value"), F.lit("VOID")).rlike("^(ARRAY|OBJECT)"))
-        left = stash(nested.withColumn("scope", scope).where("scope <> 'skip'"), "manifest")
-        records = records.unionByName(left.where("scope = 'record'").select("path", "place", "value"))
-    without = files.select("path").join(broken, "path", "left_anti").join(records.select("path"), "path", "left_anti")
+    left, rows, records, broken = files.select("path", F.array().cast("array<int>").alias("place"), parsed.alias("value")), None, None, None
+    while records is None or left.head(1):
+        nodes = F.array(_node(F.col("place"), F.col("value")))
+        for _ in range(LEVELS):
+            nodes = _below(nodes)
+        found = stash(left.select("path", F.inline(F.filter(nodes, lambda n: n["scope"] != "skip"))), "manifest", rows)
+        left, rows, own = found.where("scope = 'descend'").drop("scope"), DEEP_ROWS, found.where("scope = 'record'").select("path", "place", F.col("value").alias("record"))
+        records, broken = (own, found.where("scope = 'broken'").select("path")) if records is None else (records.unionByName(own), broken)
+    seen = broken.unionByName(records.select("path")).distinct()
+    without = files.select("path").join(seen, "path", "left_anti")
     issue = lambda df, reason: df.select(F.col("path").alias("source"), F.lit(None).cast("string").alias("osdu_id"), F.lit(reason).alias("reason"), F.lit(True).alias("fatal"))
-    return records.withColumnRenamed("value", "record"), issue(broken, "invalid JSON").unionByName(issue(without, "no supported records"))
+    return records, issue(broken, "invalid JSON").unionByName(issue(without, "no supported records"))
 
 
 def judge(records: DataFrame) -> DataFrame:
