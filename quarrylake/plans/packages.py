@@ -262,8 +262,9 @@ def knn_probed(spark: S, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
     middle = vectors.centers(rows, 16)
-    probes, _ = vectors.probes_for(asked, rows, 5, middle)
-    return vectors.nearest_probed(asked, rows, 5, middle, probes)
+    held = vectors.in_cells(rows, middle)
+    probes, _ = vectors.probes_for(asked, held, 5, middle)
+    return vectors.nearest_probed(asked, held, 5, middle, probes)
 
 
 def ontology_validate(spark: S, d: str) -> DataFrame:

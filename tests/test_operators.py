@@ -257,3 +257,35 @@ def test_probed_neighbours_reach_the_recall_and_all_cells_are_exact(spark):
     assert vectors.recall(vectors.nearest_probed(asked, e, 5, middle, probes), exact) >= 0.9
     assert sorted(map(tuple, vectors.nearest_probed(asked, e, 5, middle, 12).collect())) == sorted(map(tuple, exact.collect()))
     assert vectors.nearest(asked.limit(0), e, 5).count() == 0 and vectors.nearest(asked, e.limit(0), 5).count() == 0
+
+
+def test_many_queries_are_one_pass_and_equal_brute_force(spark, monkeypatch):
+    """Queries of many cells go to the tasks once, not once for each cell, and rows are put into cells once."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(700, 6)), 1)
+    x[::3] *= 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:400], x[:400] * 3.0])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None), (5001, [1.0]), (5002, [0.5, None, 0.5, 0.1, 0.2, 0.3]), (5003, [float("nan")] * 6)]
+    e = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    asked = e.where("id % 5 = 0 and id < 5000").withColumnRenamed("id", "query_id")
+    distance = np.round(1 - x @ x.T, 5) + 0.0
+    middle, jobs, cells = vectors.centers(e.where("id < 5000"), 8), [], []
+    near, cells_of = vectors._near, vectors._cells_of
+    monkeypatch.setattr(vectors, "_near", lambda *a: jobs.append(1) or near(*a))
+    monkeypatch.setattr(vectors, "_cells_of", lambda df, m, probes, into: cells.append(probes) or cells_of(df, m, probes, into))
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100)
+    own = (x @ middle.T).argmax(1)
+    held = vectors.in_cells(e, middle)
+    for probes in (3, 8):
+        jobs.clear()
+        found = vectors.nearest_probed(asked, held, 4, middle, probes).collect()
+        assert len(jobs) == 1
+        got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in found}
+        for q in range(0, len(x), 5):
+            near_cells = set(np.argsort(-(middle @ x[q]), kind="stable")[:probes].tolist())
+            of = sorted((distance[q, k], k) for k in range(len(x)) if own[k] in near_cells)[:4]
+            assert [got[q, n + 1] for n in range(len(of))] == [(i, d) for d, i in of]
+    assert cells.count(1) == 1
