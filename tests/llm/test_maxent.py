@@ -189,3 +189,20 @@ def test_contexts_are_not_cut_between_parts(small):
     inner = one != words.end
     pair = one[inner].astype(np.int64) << 20 | two[inner]
     assert np.unique(pair).size == np.unique(pair << 8 | own[inner]).size and 20 < len(set(own.tolist())) <= 37 and own.min() >= 0 and own.max() < 37
+
+
+def test_the_model_of_many_parts_is_that_of_one(spark, monkeypatch):
+    """Features that contexts share learn from the whole corpus, not from the part that a context was dealt to."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, source string").repartition(5)
+    whole = {r["doc_id"]: r["score"] for r in maxent.score(docs).collect()}
+    monkeypatch.setattr(maxent, "PART_TOKENS", 300)
+    monkeypatch.setattr(maxent, "DEAL_TOKENS", 700)
+    cut = {r["doc_id"]: r["score"] for r in maxent.score(docs).collect()}
+    assert len(cut) == 400 and all(cut[i] == pytest.approx(whole[i], abs=2e-3) for i in whole)
+
+
+def test_tasks_sums_are_packed_whole():
+    rng = np.random.default_rng(6)
+    columns = [np.sort(rng.integers(0, 1 << 18, 999)).astype(np.int32), rng.integers(0, 1 << 18, 999).astype(np.int32), rng.integers(0, 1 << 11, 999).astype(np.int32)]
+    packed = [maxent._pack([c[x:y] for c in columns]) for x, y in ((0, 400), (400, 401), (401, 999))]
+    assert all(np.array_equal(a, b) for a, b in zip(maxent._unpack(packed, [400, 1, 598]), columns, strict=True))
